@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidra.plans.scratch import drop_scratch, materialize, scratch, scratch_path  # noqa: F401
+
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,9 +15,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE_SQL = SPACE.replace("\\", "\\\\")
 WORD_SQL = WORD.replace("\\", "\\\\")
 
-_LOCAL: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,37 +36,32 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"__c{at[n]}").alias(n) for n in names])
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    A folder of our own is made only where the session names none, as in
-    tests on one machine.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="evidra-")
-    return _LOCAL[app]
+
+def let(value: str, name: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` bound to ``value``, evaluated once a row."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def materialize(df: DataFrame, label: str = "t") -> DataFrame:
-    """Write to the shared folder and read back.
+#: Words of the filter below, 64 bits each: it never takes more than 4 MB.
+FILTER_WORDS = 1 << 18
 
-    Cuts the lineage at files that outlive executors; a lost executor costs
-    only the tasks it was running.
-    """
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/evidra-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def bloom_filter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` that may have their ``key`` in ``wanted`` (same column name).
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    One bit a key in a table of fixed size, which is broadcast; rows let
+    through by chance are left to the join that follows, so the filter saves
+    shuffling and decides nothing.
+    """
 
+    def at(name: str):
+        return F.xxhash64(F.col(name), F.lit("filter"))
 
-def let(value: str, name: str, body: str) -> str:
-    """SQL for ``body`` with ``name`` bound to ``value``, evaluated once a row."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    bits = wanted.where(F.col(key).isNotNull()).select(at(key).alias("h")).select(F.pmod("h", F.lit(FILTER_WORDS)).cast("int").alias("__word"), F.expr("shiftleft(1L, CAST(shiftrightunsigned(h, 58) AS INT))").alias("bit"))
+    words = bits.groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    hashed = df.withColumn("__word", F.pmod(at(key), F.lit(FILTER_WORDS)).cast("int"))
+    hit = F.col("__bits").bitwiseAND(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(xxhash64(`{key}`, 'filter'), 58) AS INT))")) != 0
+    return hashed.join(F.broadcast(words), "__word").where(hit).drop("__word", "__bits")

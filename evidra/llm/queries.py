@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op4_mixing, op9_sharding, op10_quality_rules
+from . import op1_packing, op3_minhash, op4_mixing, op9_sharding, op10_quality_rules
 from .common import pick, table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_minhash.deduplicate(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -23,4 +31,4 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing_sources, op9_shard_lookup, op10_host_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_minhash_dedup, op4_mixing_sources, op9_shard_lookup, op10_host_rules)}
