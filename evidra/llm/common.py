@@ -49,19 +49,21 @@ def let(value: str, name: str, body: str) -> str:
 FILTER_WORDS = 1 << 18
 
 
-def bloom_filter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows of ``df`` that may have their ``key`` in ``wanted`` (same column name).
+def bloom_flag(df: DataFrame, key: str, wanted: DataFrame, flag: str) -> DataFrame:
+    """``df`` with ``flag``: whether its ``key`` may be in ``wanted`` (same column name).
 
-    One bit a key in a table of fixed size, which is broadcast; rows let
-    through by chance are left to the join that follows, so the filter saves
-    shuffling and decides nothing.
+    One bit a key in a table of fixed size, which is broadcast; rows flagged
+    by chance are left to the join that follows, so the filter saves shuffling
+    and decides nothing.  Nulls are flagged if ``wanted`` holds any.
     """
+    hashed = f"xxhash64(`{key}`, 'filter')"
+    bit = f"shiftleft(1L, CAST(shiftrightunsigned({hashed}, 58) AS INT))"
+    word = f"CAST(pmod({hashed}, {FILTER_WORDS}) AS INT)"
+    words = wanted.select(F.expr(word).alias("__word"), F.expr(bit).alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    joined = df.withColumn("__word", F.expr(word)).join(F.broadcast(words), "__word", "left")
+    return joined.withColumn(flag, F.coalesce(F.col("__bits").bitwiseAND(F.expr(bit)) != 0, F.lit(False))).drop("__word", "__bits")
 
-    def at(name: str):
-        return F.xxhash64(F.col(name), F.lit("filter"))
 
-    bits = wanted.where(F.col(key).isNotNull()).select(at(key).alias("h")).select(F.pmod("h", F.lit(FILTER_WORDS)).cast("int").alias("__word"), F.expr("shiftleft(1L, CAST(shiftrightunsigned(h, 58) AS INT))").alias("bit"))
-    words = bits.groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
-    hashed = df.withColumn("__word", F.pmod(at(key), F.lit(FILTER_WORDS)).cast("int"))
-    hit = F.col("__bits").bitwiseAND(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(xxhash64(`{key}`, 'filter'), 58) AS INT))")) != 0
-    return hashed.join(F.broadcast(words), "__word").where(hit).drop("__word", "__bits")
+def bloom_filter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` that ``bloom_flag`` flags."""
+    return bloom_flag(df, key, wanted, "__hit").where("__hit").drop("__hit")
