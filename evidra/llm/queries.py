@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_packing, op3_minhash, op4_mixing, op7_line_dedup, op9_sharding, op10_quality_rules
+from . import op1_packing, op2_quality, op3_minhash, op4_mixing, op7_line_dedup, op9_sharding, op10_quality_rules
 from .common import pick, table
 
 
@@ -14,6 +14,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_minhash.deduplicate(table(spark, sf_dir, "documents"), percent=85)
 
@@ -36,4 +40,4 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_minhash_dedup, op4_mixing_sources, op7_line_dedup_join, op9_shard_lookup, op10_host_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_minhash_dedup, op4_mixing_sources, op7_line_dedup_join, op9_shard_lookup, op10_host_rules)}
