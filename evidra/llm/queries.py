@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_packing, op2_quality, op3_minhash, op4_mixing, op7_line_dedup, op9_sharding, op10_quality_rules
+from . import op1_packing, op2_quality, op3_minhash, op4_mixing, op5_topk, op7_line_dedup, op9_sharding, op10_quality_rules
 from .common import pick, table
 
 
@@ -26,6 +26,10 @@ def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_va_file_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_line_dedup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     return op7_line_dedup.deduplicate(docs, counts=True).select("doc_id", "n_lines", "n_removed", "text")
@@ -40,4 +44,4 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_minhash_dedup, op4_mixing_sources, op7_line_dedup_join, op9_shard_lookup, op10_host_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_minhash_dedup, op4_mixing_sources, op5_va_file_top_k, op7_line_dedup_join, op9_shard_lookup, op10_host_rules)}
