@@ -112,5 +112,16 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+OP8 = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing_sources": OP4, "op5_va_file_top_k": OP5, "op9_shard_lookup": OP9, "op10_host_rules": OP10}
+    return {"op4_mixing_sources": OP4, "op5_va_file_top_k": OP5, "op8_warc_captures": OP8, "op9_shard_lookup": OP9, "op10_host_rules": OP10}

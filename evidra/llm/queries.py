@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import op1_packing, op2_quality, op3_minhash, op4_mixing, op5_topk, op7_line_dedup, op9_sharding, op10_quality_rules
+from . import op1_packing, op2_quality, op3_minhash, op4_mixing, op5_topk, op6_html, op7_line_dedup, op8_warc, op9_sharding, op10_quality_rules
 from .common import pick, table
 
 
@@ -30,11 +31,20 @@ def op5_va_file_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op6_html.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_line_dedup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     return op7_line_dedup.deduplicate(docs, counts=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op8_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_sharding.place(pick(table(spark, sf_dir, "documents"), "doc_id")).select("doc_id", "slot", "shard")
 
@@ -44,4 +54,4 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_minhash_dedup, op4_mixing_sources, op5_va_file_top_k, op7_line_dedup_join, op9_shard_lookup, op10_host_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_minhash_dedup, op4_mixing_sources, op5_va_file_top_k, op6_html_extraction, op7_line_dedup_join, op8_warc_captures, op9_shard_lookup, op10_host_rules)}
