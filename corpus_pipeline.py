@@ -1,22 +1,50 @@
-"""The corpus pipeline: five stages from ``documents`` to packed sequences."""
+"""The corpus pipeline: five stages from ``documents`` to packed sequences.
+
+Each stage works on all that its predecessor kept, and its decisions take
+effect: documents that quality rules reject go, repeated lines go, one
+document of each near-duplicate group stays, the mix takes documents as often
+as their source's target asks, and what is left is packed.  All stages but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidra.llm import op10_quality_rules
+from evidra.llm import op1_packing, op3_minhash, op4_mixing, op7_line_dedup, op10_quality_rules
+from evidra.llm.common import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op10_quality_rules.filter_documents(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op7_line_dedup.deduplicate(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op3_minhash.keep_one(docs, percent=80)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op4_mixing.mix(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op1_packing.pack(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
+
+#: Line deduplication, MinHash and packing are not expressible in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, name.replace(" ", "-"))
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +68,27 @@ def bloom_flag(df: DataFrame, key: str, wanted: DataFrame, flag: str) -> DataFra
 def bloom_filter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows of ``df`` that ``bloom_flag`` flags."""
     return bloom_flag(df, key, wanted, "__hit").where("__hit").drop("__hit")
+
+
+def filter_bits(wanted: DataFrame, hashed: str) -> np.ndarray:
+    """The filter's words for a column that holds hashes already, for Python on the executors.
+
+    At most ``FILTER_WORDS`` rows reach the driver, whatever the input.
+    """
+    words = wanted.select(F.expr(f"CAST(`{hashed}` & {FILTER_WORDS - 1}L AS INT)").alias("w"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(`{hashed}`, 58) AS INT))").alias("bit"))
+    bits = np.zeros(FILTER_WORDS, np.int64)
+    for batch in words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
+        bits[batch.column("w").to_numpy()] = batch.column("bits").to_numpy()
+    return bits.view(np.uint64)
+
+
+def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is not in ``gone`` (same column name); null matches null.
+
+    Only rows that the filter flags are joined, so most rows are not moved.
+    """
+    gone = materialize(gone.select(F.col(key).alias("__gone")).distinct(), "gone")
+    flagged = bloom_flag(df.withColumn("__key", df[key]), "__key", gone.select(F.col("__gone").alias("__key")), "__hit")
+    hit = flagged.where("__hit")
+    rest = hit.join(gone, hit["__key"].eqNullSafe(gone["__gone"]), "left_anti")
+    return flagged.where("NOT __hit").unionByName(rest).drop("__key", "__hit")

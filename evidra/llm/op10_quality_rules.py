@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_SQL, WORD_SQL, let, materialize, pick
+from .common import SPACE_SQL, WORD_SQL, let, materialize, pick, without
 
 RULES = ("base", "word_length", "symbols", "dup_lines")
 
@@ -164,5 +164,5 @@ def filter_documents(docs: DataFrame, rules: HostRules = HostRules(), host: str
     Verdicts are joined by ``doc_id``; rows that share one share their verdict
     only if every one of them is kept, and rows without one are judged as one.
     """
-    verdicts = judge(docs, rules, host).groupBy(F.col("doc_id").alias("__id")).agg(F.min("kept").alias("__kept")).where("NOT __kept").select("__id")
-    return docs.join(verdicts, docs["doc_id"].eqNullSafe(verdicts["__id"]), "left_anti")
+    verdicts = judge(docs, rules, host).groupBy("doc_id").agg(F.min("kept").alias("kept"))
+    return without(docs, "doc_id", verdicts.where("NOT kept"))

@@ -50,7 +50,8 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     level = F.min(F.when(free, F.struct("place", "rest", "rest_weight"))).over(everything)
     leveled = run.select("source", "source_size", "weight", "cap", "place", level.alias("level"))
     target = F.when(F.col("level").isNull() | (F.col("place") < F.col("level.place")), F.col("cap").cast("double")).otherwise((F.col("weight") * F.col("level.rest")).cast("double") / F.col("level.rest_weight"))
-    return leveled.select("source", "source_size", target.alias("target"))
+    # written, so that the planner knows its size and broadcasts it only while it is small
+    return materialize(leveled.select("source", "source_size", target.alias("target")), "targets")
 
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = SEED) -> DataFrame:
