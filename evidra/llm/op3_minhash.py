@@ -6,16 +6,19 @@ places.  The shifted values of one shingle lie side by side in ``pi``, so a
 signature is the column-wise minimum of as many slices as there are shingles.
 
 Documents with one set form a class and are compared once.  Classes that
-share a band meet in its bucket.  A bucket's members are compared with one
-pivot at a time, never all with all: after each round the confirmed links are
-closed into components, buckets that lie inside one component are done, and a
-pivot leaves its bucket once every member of other components has been held
-against it.  Buckets with few members left are finished by their remaining
-pairs.  So every pair of a bucket ends up in one component or verified.
+share a band meet in its bucket.  Two rounds hold each member against one
+pivot, the one with which it shares most bands; the confirmed links are closed
+into components, and a bucket inside one component is done.  What is left is
+compared pair by pair across components: buckets with few members by a join,
+larger ones in blocks of bounded size that emit nothing but links.  So every
+pair of a bucket ends up in one component or compared, and no group is
+collected or listed pair by pair.
 
 Banding finds a pair of similarity s with probability 1 - (1 - s^r)^b: with
 the defaults (40 bands of 5) it misses one pair in 8 million at 0.8 and one
-in 15 billion at 0.85.  Links are confirmed on the full sets.
+in 15 billion at 0.85.  Links are confirmed on the full sets; only in the last
+round pairs whose signatures agree in six standard deviations less than the
+threshold are left out before that (one in a billion).
 
 Defined cases: a null text or one without words has an empty set, is linked
 with nothing and is its own component; a null doc_id is never linked and its
@@ -28,6 +31,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,13 +39,13 @@ from pyspark.sql import functions as F
 
 from evidra.plans.components import connected_components
 
-from .common import bloom_filter, drop_scratch, materialize, pick
+from .common import bloom_filter, drop_scratch, materialize, pick, without
 
 WORDS = 5
 BANDS, ROWS = 40, 5
 UNIVERSE = 1 << 20
-#: Buckets with at most this many members are finished by their remaining pairs.
-FEW = 24
+#: Buckets with more members than this are compared in blocks of so many.
+FEW, BLOCK = 24, 512
 _MASK = (1 << 64) - 1
 
 
@@ -109,32 +113,28 @@ def bands(sig: np.ndarray, n: int = BANDS, rows: int = ROWS) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int = WORDS, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_id (of the whole set), bands."""
+    """doc_id, n_shingles, set_id (of the whole set), bands, sig (the low byte of each coordinate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sizes, ids, keys = [], [], []
+                sizes, ids, keys, sigs = [], [], [], []
                 for text in part.column(1):
                     found = shingles(text.as_py(), words)
                     sizes.append(len(found))
                     ids.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                    keys.append(bands(signature(found, n_bands * rows), n_bands, rows) if len(found) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "bands"])
+                    sig = signature(found, n_bands * rows) if len(found) else None
+                    keys.append(bands(sig, n_bands, rows) if len(found) else None)
+                    sigs.append(sig.astype(np.uint8).tobytes() if len(found) else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_id", "bands", "sig"])
 
-    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>, sig binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.
-
-    Only texts that some pair needs are moved.
-    """
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held = bloom_filter(texts, "doc_id", needed).join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    kept = materialize(held, "texts")
+    """The pairs (a, b) with whether their full sets are similar enough."""
+    kept = materialize(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "texts")
     joined = pairs.join(kept.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(kept.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,55 +155,120 @@ def _sizes_allow(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def links(sketched: DataFrame, docs: DataFrame, percent: int = 80, words: int = WORDS) -> tuple[DataFrame | None, DataFrame | None]:
-    """(links, components) between classes, each named by its least doc_id."""
-    classes = sketched.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("cls"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+def _alike(percent: int) -> int:
+    """Equal coordinates of 200 below which a pair is taken for unlike: six deviations under the threshold."""
+    size, p = BANDS * ROWS, percent / 100
+    return int(size * p - 6 * (size * p * (1 - p)) ** 0.5)
+
+
+def _block(percent: int, words: int):
+    """Links inside one block pair of a bucket with many members, as many as join components.
+
+    A pair is compared in the first band that it shares only, and not if its
+    ends are in one component already, by earlier rounds or links of this block.
+    """
+    least = _alike(percent)
+
+    def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        block = block.drop_duplicates(["cls", "side"]).sort_values("cls")
+        out = []
+        left, right = block[block.side != 1], block[block.side != 0]
+        if len(left) and len(right):
+            cls, label, n = right.cls.to_numpy(), right.label.to_numpy(), right.n.to_numpy()
+            keys = np.stack(right.bands.to_numpy())
+            sigs = np.stack([np.frombuffer(x, np.uint8) for x in right.sig])
+            before = keys[:, : int(np.flatnonzero(keys[0] == key[0])[0])]
+            sets: dict[int, np.ndarray] = {}
+
+            def of(c: int, text: str) -> np.ndarray:
+                if c not in sets:
+                    sets[c] = shingles(text, words)
+                return sets[c]
+
+            texts = right.text.tolist()
+            for c, lab, m, own, sig, text in zip(left.cls, left.label, left.n, left.bands, left.sig, left.text, strict=True):
+                near = (label != lab) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ~(before == own[: before.shape[1]]).any(1)
+                near &= cls > c if (block.side == 2).all() else cls != c
+                for j in np.flatnonzero(near):
+                    if (sigs[j] == np.frombuffer(sig, np.uint8)).sum() < least:
+                        continue
+                    one, two = of(c, text), of(cls[j], texts[j])
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    if 100 * both >= percent * (len(one) + len(two) - both):
+                        out.append((min(c, cls[j]), max(c, cls[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """doc_id, text of the needed doc_ids; no other text is moved."""
+    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return bloom_filter(texts, "doc_id", needed).join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def links(sketched: DataFrame, docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
+    """(node, component) of the linked classes, each named by its least doc_id."""
+    usable = sketched.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
+    classes = usable.groupBy("set_id").agg(F.min("doc_id").alias("cls"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     rows = materialize(classes.select("cls", "n", F.explode("bands").alias("key")), "bands")
-    mixed = rows.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
-    members = materialize(rows.join(mixed, "key", "left_semi").withColumn("label", F.col("cls")), "members")
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = materialize(rows.join(shared, "key").withColumn("label", F.col("cls")), "members")
     drop_scratch(rows)
-    checked = found = labels = None
-    turn = 0
-    while not members.isEmpty():
-        turn += 1
-        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("cls", "key", F.lit(turn)).alias("h"), F.col("cls").alias("pivot"), F.col("n").alias("np"), F.col("label").alias("lp"))).alias("p"))
-        pivots = materialize(sizes.select("key", "m", "p.pivot", "p.np", "p.lp"), "pivots")
-        star = members.join(pivots, "key").where("label <> lp").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"), F.col("n").alias("na"), F.col("np").alias("nb"))
-        if turn > 1:  # the first round links most buckets; what is left of the small ones is finished at once
-            small = members.join(pivots.where(F.col("m") <= FEW).select("key"), "key", "left_semi")
-            other = small.select("key", F.col("cls").alias("c2"), F.col("n").alias("nb"), F.col("label").alias("l2"))
-            rest = small.withColumnRenamed("n", "na").join(other, "key").where("cls < c2 AND label <> l2").select(F.col("cls").alias("a"), F.col("c2").alias("b"), "na", "nb")
-            star = star.union(rest)
-        pairs = star.where(_sizes_allow(percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-        if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        if turn == 1:  # most members need one link only: try the partner with the most bands in common first
-            best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-            pairs = best.select("a", "b")
-        pairs = materialize(pairs.select("a", "b"), "pairs")
-        seen = verified(pairs, docs, percent, words)
-        checked = seen if checked is None else checked.union(seen)
-        found = checked.where("linked").select("a", "b")
+    found = labels = None
+    for turn in (1, 2):  # most members need one link only: the pivot with which they share most bands
+        pivots = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("cls", "key", F.lit(turn)).alias("h"), F.col("cls").alias("pivot"), F.col("n").alias("np"), F.col("label").alias("lp"))).alias("p"))
+        star = members.join(pivots.select("key", "p.pivot", "p.np", "p.lp"), "key").where("label <> lp").select(F.col("cls").alias("b"), F.col("pivot").alias("a"), F.col("n").alias("na"), F.col("np").alias("nb"))
+        best = star.where(_sizes_allow(percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+        pairs = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        linked = verified(pairs, docs, percent, words).where("linked").select("a", "b")
+        found = linked if found is None else found.union(linked)
         labels = connected_components(found)
-        fresh = members.drop("label").join(labels.select(F.col("node").alias("cls"), F.col("component").alias("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        if turn > 1:
-            done = pivots.select("key", "m", "pivot")
-            fresh = fresh.join(done, "key").where(f"m > {FEW} AND cls <> pivot").drop("m", "pivot")
-        fresh = materialize(fresh.select("cls", "n", "key", "label"), "members")
-        open_keys = fresh.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        members = materialize(fresh.join(open_keys, "key", "left_semi"), "members")
-    return found, labels
+        members = relabelled(members, labels)
+    # every pair that is left: in small buckets as pairs, in large ones block by block
+    few = members.where(F.col("m") <= FEW).select("key", "cls", "n", "label")
+    other = few.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    pairs = few.withColumnRenamed("n", "na").join(other, "key").where("cls < b AND label <> lb").where(_sizes_allow(percent)).select(F.col("cls").alias("a"), "b").distinct()
+    open_ids = members.select("cls").distinct()
+    sigs = materialize(usable.select(F.col("doc_id").alias("cls"), "sig", "bands").join(open_ids, "cls", "left_semi").dropDuplicates(["cls"]), "sigs")
+    sig = sigs.select("cls", "sig")
+    compared = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_similar(_alike(percent)), "a long, b long")
+    linked = verified(materialize(compared, "pairs"), docs, percent, words).where("linked").select("a", "b")
+    many = members.where(F.col("m") > FEW)
+    texts = _texts(docs, many.select(F.col("cls").alias("doc_id")).distinct())
+    full = many.join(sigs, "cls").join(texts.withColumnRenamed("doc_id", "cls"), "cls")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = full.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("key", "cls", "n", "label", "sig", "bands", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    side = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1)
+    dealt = dealt.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), side.alias("side"), "cls", "n", "label", "sig", "bands", "text")
+    hot = materialize(dealt.groupBy("key", "i", "j").applyInPandas(_block(percent, words), "a long, b long"), "hot")
+    return connected_components(found.union(linked).union(hot))
+
+
+def relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that still hold two components."""
+    fresh = members.drop("label", "m").join(labels.select(F.col("node").alias("cls"), F.col("component").alias("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    fresh = materialize(fresh.select("cls", "n", "key", "label"), "members")
+    mixed = fresh.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "m")
+    return materialize(fresh.join(mixed, "key"), "members")
+
+
+def _similar(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.array([np.frombuffer(x, np.uint8) for x in batch.column(i).to_pylist()]).reshape(batch.num_rows, -1) for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((one == two).sum(1) >= least, pa.bool_()))
+
+    return run
 
 
 def deduplicate(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a document."""
     sketched = materialize(sketches(docs, words), "sketches")
-    _, labels = links(sketched, docs, percent, words)
+    labels = links(sketched, docs, percent, words)
     named = sketched.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("cls"))
-    if labels is not None:
-        named = named.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("set_id", F.coalesce("component", "cls").alias("component"))
-    else:
-        named = named.withColumnRenamed("cls", "component")
+    named = named.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("set_id", F.coalesce("component", "cls").alias("component"))
     linked = F.col("set_id").isNotNull() & F.col("doc_id").isNotNull()
     out = sketched.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     component = F.when(linked, F.col("component")).otherwise(F.col("doc_id"))
@@ -212,5 +277,4 @@ def deduplicate(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataF
 
 def keep_one(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
     """The documents without those that repeat an earlier one; all columns."""
-    gone = deduplicate(docs, percent, words).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    return without(docs, "doc_id", deduplicate(docs, percent, words).where("NOT kept"))
