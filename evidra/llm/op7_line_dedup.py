@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bloom_filter, bloom_flag, let, materialize, pick
+from .common import FILTER_WORDS, WORD, bloom_filter, bloom_flag, filter_bits, let, materialize, pick
 from .editdist import distance_within
 
 EDITS = 2
@@ -75,82 +75,119 @@ def _lines(text: str | None, min_chars: int) -> Iterator[tuple[int, str]]:
             yield no, line
 
 
-def _signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
-
-
 def _halves(line: str) -> tuple[int, int]:
     h = xxhash.xxh3_128_intdigest(line)
     return h & 0xFFFFFFFFFFFFFFFF, h >> 64
 
 
+class _Rows:
+    """Columns of rows that are handed over some thousands at a time."""
+
+    def __init__(self, schema: pa.Schema, most: int = 20_000):
+        self.schema, self.most = schema, most
+        self.columns: list[list] = [[] for _ in schema]
+
+    def __len__(self) -> int:
+        return len(self.columns[0])
+
+    def full(self) -> bool:
+        return len(self) >= self.most
+
+    def batch(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(np.array(c, np.uint64).view(np.int64)) if f.metadata else pa.array(c, f.type) for c, f in zip(self.columns, self.schema, strict=True)], schema=self.schema)
+        self.columns = [[] for _ in self.schema]
+        return out
+
+
+def _hashed(name: str) -> pa.Field:
+    return pa.field(name, pa.int64(), metadata={"from": "unsigned"})
+
+
+_PLACE = [pa.field("doc", pa.int64()), pa.field("line", pa.int32())]
+_ID = [_hashed("h1"), _hashed("h2")]
+
+
+def _may_hold(bits: np.ndarray | None, h: int) -> bool:
+    return bits is not None and bool(int(bits[h & (FILTER_WORDS - 1)]) >> (h >> 58) & 1)
+
+
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc, line, h1, h2: every line that takes part, by the 128 bits of its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _Rows(pa.schema(_PLACE + _ID))
         for batch in batches:
-            ids, numbers, one, two = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for no, line in _lines(text.as_py(), min_chars):
-                    a, b = _halves(line)
-                    ids.append(doc_id)
-                    numbers.append(no)
-                    one.append(a)
-                    two.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), _signed(one), _signed(two)], ["doc", "line", "h1", "h2"])
+                    for column, value in zip(rows.columns, (doc_id, no, *_halves(line)), strict=True):
+                        column.append(value)
+                if rows.full():
+                    yield rows.batch()
+        yield rows.batch()
 
     return docs.mapInArrow(run, "doc long, line int, h1 long, h2 long")
 
 
-def line_keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """key: one row for each key of each line."""
+def line_texts(docs: DataFrame, min_chars: int, only: np.ndarray) -> DataFrame:
+    """doc, line, h1, h2, text of the lines whose h1 the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict = {}
+        rows = _Rows(pa.schema(_PLACE + _ID + [pa.field("text", pa.string())]), 5000)
         for batch in batches:
-            keys: list[int] = []
-            for text in batch.column(1):
-                for _, line in _lines(text.as_py(), min_chars):
-                    keys += keys_of(line, edits, plans)
-            yield pa.RecordBatch.from_arrays([_signed(keys)], ["key"])
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for no, line in _lines(text.as_py(), min_chars):
+                    h1, h2 = _halves(line)
+                    if _may_hold(only, h1):
+                        for column, value in zip(rows.columns, (doc_id, no, h1, h2, line), strict=True):
+                            column.append(value)
+                if rows.full():
+                    yield rows.batch()
+        yield rows.batch()
 
-    return docs.mapInArrow(run, "key long")
+    return docs.mapInArrow(run, "doc long, line int, h1 long, h2 long, text string")
 
 
-def keyed_lines(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """key, h1, h2 likewise, with the line's hash."""
+def line_keys(texts: DataFrame, edits: int, min_chars: int, skip: np.ndarray | None = None) -> DataFrame:
+    """key: one row for each key of each line, but for lines whose h1 ``skip`` holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict = {}
+        rows = _Rows(pa.schema([_hashed("key")]), 100_000)
         for batch in batches:
-            keys, one, two = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(0):
                 for _, line in _lines(text.as_py(), min_chars):
-                    found = keys_of(line, edits, plans)
-                    a, b = _halves(line)
-                    keys += found
-                    one += [a] * len(found)
-                    two += [b] * len(found)
-            yield pa.RecordBatch.from_arrays([_signed(keys), _signed(one), _signed(two)], ["key", "h1", "h2"])
+                    if skip is None or not _may_hold(skip, _halves(line)[0]):
+                        rows.columns[0] += keys_of(line, edits, plans)
+                if rows.full():
+                    yield rows.batch()
+        yield rows.batch()
+
+    return texts.mapInArrow(run, "key long")
 
-    return docs.mapInArrow(run, "key long, h1 long, h2 long")
 
+def keyed_lines(texts: DataFrame, edits: int, min_chars: int, only: np.ndarray, skip: np.ndarray | None = None) -> DataFrame:
+    """key, h1, h2 likewise, of the keys that ``only`` lets through."""
 
-def line_texts(docs: DataFrame, min_chars: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plans: dict = {}
+        rows = _Rows(pa.schema([_hashed("key"), *_ID]), 20_000)
         for batch in batches:
-            ids, numbers, one, two, lines = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for no, line in _lines(text.as_py(), min_chars):
-                    a, b = _halves(line)
-                    ids.append(doc_id)
-                    numbers.append(no)
-                    one.append(a)
-                    two.append(b)
-                    lines.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), _signed(one), _signed(two), pa.array(lines, pa.string())], ["doc", "line", "h1", "h2", "text"])
+            for text in batch.column(0):
+                for _, line in _lines(text.as_py(), min_chars):
+                    h1, h2 = _halves(line)
+                    if skip is not None and _may_hold(skip, h1):
+                        continue
+                    found = keys_of(line, edits, plans)
+                    keys = np.array(found, np.uint64)
+                    held = only[(keys & np.uint64(FILTER_WORDS - 1)).astype(np.int64)] >> (keys >> np.uint64(58)) & np.uint64(1)
+                    for i in np.flatnonzero(held):
+                        for column, value in zip(rows.columns, (found[i], h1, h2), strict=True):
+                            column.append(value)
+                if rows.full():
+                    yield rows.batch()
+        yield rows.batch()
 
-    return docs.mapInArrow(run, "doc long, line int, h1 long, h2 long, text string")
+    return texts.mapInArrow(run, "key long, h1 long, h2 long")
 
 
 def _letters(lines: list[str]) -> np.ndarray:
@@ -182,17 +219,25 @@ def _compare(edits: int):
     return run
 
 
-def near_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(lines that share a key with another: h1, h2, doc, line, text; links a1, a2, b1, b2)."""
-    met = line_keys(docs, edits, min_chars).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    met = materialize(met, "keys")
-    held = bloom_filter(keyed_lines(docs, edits, min_chars), "key", met).join(met, "key", "left_semi")
-    members = materialize(held.groupBy("key", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).drop("n"), "members")
-    sizes = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
+def near_links(docs: DataFrame, seen: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(lines that share a key with another: h1, h2, doc, line, text; links a1, a2, b1, b2).
+
+    Lines that occur once are keyed where they stand; lines that may occur
+    again are first brought to one copy.
+    """
+    first = F.min(F.struct("doc", "line", "text"))
+    again = filter_bits(seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"), "h1")
+    one = materialize(line_texts(docs, min_chars, again).groupBy("h1", "h2").agg(first.alias("f")).select("f.text"), "repeated")
+    text = docs.select("text")
+    keys = line_keys(text, edits, min_chars, again).union(line_keys(one, edits, min_chars))
+    met = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
+    meeting = filter_bits(met, "key")
+    held = keyed_lines(text, edits, min_chars, meeting, again).union(keyed_lines(one, edits, min_chars, meeting)).join(met, "key", "left_semi")
+    members = materialize(held.distinct(), "members")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = materialize(members.join(sizes, "key"), "members")
     wanted = materialize(members.select("h1", "h2").distinct(), "wanted")
-    texts = bloom_filter(line_texts(docs, min_chars), "h1", wanted.select("h1").distinct()).join(wanted, ["h1", "h2"], "left_semi")
-    first = F.min(F.struct("doc", "line", "text"))
+    texts = line_texts(docs, min_chars, filter_bits(wanted, "h1")).join(wanted, ["h1", "h2"], "left_semi")
     lines = materialize(texts.groupBy("h1", "h2").agg(first.alias("f")).select("h1", "h2", "f.doc", "f.line", "f.text"), "lines")
 
     few = members.where(F.col("m") <= FEW).select("key", "h1", "h2")
@@ -221,12 +266,12 @@ def near_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 def removals(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc, gone: the numbers of the lines that go from each document that loses any."""
     source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines, links = near_links(source, edits, min_chars)
+    seen = materialize(occurrences(source, min_chars), "seen")
+    lines, links = near_links(source, seen, edits, min_chars)
     place = lines.select("h1", "h2", F.struct("doc", "line").alias("at"))
     sided = links.join(place.toDF("a1", "a2", "at_a"), ["a1", "a2"]).join(place.toDF("b1", "b2", "at_b"), ["b1", "b2"])
     later = F.when(F.col("at_a") < F.col("at_b"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).otherwise(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")))
     near = sided.select(later.alias("x")).select("x.h1", "x.h2").distinct().withColumn("all", F.lit(True))
-    seen = materialize(occurrences(source, min_chars), "seen")
     repeated = seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line")).alias("first")).where("n > 1").drop("n")
     gone = materialize(repeated.join(near, ["h1", "h2"], "full_outer"), "gone")
     held = bloom_filter(seen, "h1", gone.select("h1")).join(gone, ["h1", "h2"])
