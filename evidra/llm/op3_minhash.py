@@ -186,15 +186,24 @@ def _block(percent: int, words: int):
                 return sets[c]
 
             texts = right.text.tolist()
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while parent.setdefault(x, x) != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            alone = (block.side == 2).all()
             for c, lab, m, own, sig, text in zip(left.cls, left.label, left.n, left.bands, left.sig, left.text, strict=True):
                 near = (label != lab) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ~(before == own[: before.shape[1]]).any(1)
-                near &= cls > c if (block.side == 2).all() else cls != c
+                near &= cls > c if alone else cls != c
                 for j in np.flatnonzero(near):
-                    if (sigs[j] == np.frombuffer(sig, np.uint8)).sum() < least:
+                    if root(lab) == root(label[j]) or (sigs[j] == np.frombuffer(sig, np.uint8)).sum() < least:
                         continue
                     one, two = of(c, text), of(cls[j], texts[j])
                     both = len(np.intersect1d(one, two, assume_unique=True))
                     if 100 * both >= percent * (len(one) + len(two) - both):
+                        parent[root(lab)] = root(label[j])
                         out.append((min(c, cls[j]), max(c, cls[j])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
