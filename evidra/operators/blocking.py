@@ -36,7 +36,7 @@ def publication_keys(records: DataFrame) -> DataFrame:
     volume, pages = (T.metadata_text("metadata", *k) for k in (("volume",), ("pages", "page", "page_range")))
     families = [
         _one("doi", blank("doi")),
-        *[_one(c, F.lower(blank(c))) for c in ("pmid", "wos_ut", "scopus_eid", "openalex_id")],
+        *[_one(c, F.lower(blank(c))) for c in "pmid wos_ut scopus_eid openalex_id".split()],
         _one("title_exact", title),
         _years("title_sig_year", sign, F.col("year")),
         F.when(F.col("year").isNull(), _one("title_sig", sign)),

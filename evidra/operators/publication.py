@@ -18,7 +18,7 @@ from evidra.plans.scratch import materialize
 
 from . import blocking
 
-IDENTIFIERS = ("pmid", "wos_ut", "scopus_eid", "openalex_id")
+IDENTIFIERS = tuple("pmid wos_ut scopus_eid openalex_id".split())
 AUTO_MERGE, IN_REVIEW, KEEP_SEPARATE = "AUTO_MERGE", "REVIEW", "KEEP_SEPARATE"
 FEATURES = (
     "doi_exact", "doi_conflict", "strong_id_exact", "strong_id_conflict", "publication_form_conflict",

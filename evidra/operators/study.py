@@ -48,12 +48,12 @@ def _meta(*keys: str) -> list[Column]:
 
 
 def sample_size() -> Column:
-    return F.coalesce(*[N.first_number(c) for c in _meta("sample_size", "enrollment", "enrolment", "enrollment_count", "n_participants", "participants")])
+    return F.coalesce(*[N.first_number(c) for c in _meta(*"sample_size enrollment enrolment enrollment_count n_participants participants".split())])
 
 
 def recruitment() -> Column:
-    start = F.coalesce(*[N.year_in(c) for c in _meta("recruitment_start", "start_date", "study_start", "enrollment_start")])
-    end = F.coalesce(*[N.year_in(c) for c in _meta("recruitment_end", "completion_date", "study_end", "enrollment_end")])
+    start = F.coalesce(*[N.year_in(c) for c in _meta(*"recruitment_start start_date study_start enrollment_start".split())])
+    end = F.coalesce(*[N.year_in(c) for c in _meta(*"recruitment_end completion_date study_end enrollment_end".split())])
     return N.interval(start, end)
 
 
@@ -69,11 +69,11 @@ def described(records: DataFrame) -> DataFrame:
 
 
 def prepared(known: DataFrame) -> DataFrame:
-    words = lambda *keys: T.study_tokens(F.concat_ws(" ", *_meta(*keys)))
+    words = lambda keys: T.study_tokens(F.concat_ws(" ", *_meta(*keys.split())))
     return known.select(
         "idx", "registry_ids", "acronyms", "role", "year", T.study_tokens("title").alias("words"), T.study_author_keys("authors").alias("authors"), sample_size().alias("size"), recruitment().alias("recruited"),
-        words("country", "countries", "study_country", "sites").alias("country"), words("intervention", "interventions", "treatment", "exposure").alias("intervention"),
-        words("population", "condition", "conditions", "disease", "participants_description").alias("population"),
+        words("country countries study_country sites").alias("country"), words("intervention interventions treatment exposure").alias("intervention"),
+        words("population condition conditions disease participants_description").alias("population"),
     )
 
 

@@ -63,7 +63,7 @@ def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(years, k == F.col("o_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
         k.alias("idx"), title.alias("title"), F.array(F.concat(F.lit("Author"), (k % 40).cast("string"), F.lit(" X"))).alias("authors"), (2000 + k % 9).cast("int").alias("year"),
         F.lit(None).cast("string").alias("journal"), F.concat(F.lit("Registered as NCT"), F.lpad(F.floor(k / 3).cast("string"), 8, "0"), F.when(k % 10 == 0, " and ISRCTN 12345678").otherwise("")).alias("abstract"),
-        *[F.lit(None).cast("string").alias(x) for x in ("doi", "pmid", "wos_ut", "scopus_eid", "openalex_id")],
+        *[F.lit(None).cast("string").alias(x) for x in "doi pmid wos_ut scopus_eid openalex_id".split()],
         F.array(F.struct(F.lit("db").alias("source"), k.cast("string").alias("source_id"), F.lit("q").alias("query"), F.lit(None).cast("string").alias("retrieved_at"), F.lit(1).alias("rank"))).alias("source_hits"),
         F.create_map(F.lit("sample_size"), F.col("size").cast("string"), F.lit("country"), F.col("n_name"), F.lit("intervention"), F.col("c_mktsegment"), F.lit("recruitment_start"), F.col("y0").cast("string"), F.lit("recruitment_end"), F.col("y1").cast("string")).alias("metadata"),
     )
