@@ -170,7 +170,19 @@ def keyed_lines(texts: DataFrame, edits: int, min_chars: int, only: np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict = {}
-        rows = _Rows(pa.schema([_hashed("key"), *_ID]), 20_000)
+        rows = _Rows(pa.schema([_hashed("key")]), 100_000)
+        owners: list[int] = []  # h1, h2 of each line in turn, and how many keys it has
+        counts: list[int] = []
+
+        def held() -> pa.RecordBatch:
+            keys, ids = np.array(rows.columns[0], np.uint64), np.array(owners, np.uint64).view(np.int64).reshape(-1, 2)
+            ids = np.repeat(ids, np.array(counts, np.int64), 0)
+            keep = (only[(keys & np.uint64(FILTER_WORDS - 1)).astype(np.int64)] >> (keys >> np.uint64(58)) & np.uint64(1)).astype(bool)
+            rows.columns[0].clear()
+            owners.clear()
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(ids[keep, 0]), pa.array(ids[keep, 1])], ["key", "h1", "h2"])
+
         for batch in batches:
             for text in batch.column(0):
                 for _, line in _lines(text.as_py(), min_chars):
@@ -178,14 +190,12 @@ def keyed_lines(texts: DataFrame, edits: int, min_chars: int, only: np.ndarray,
                     if skip is not None and _may_hold(skip, h1):
                         continue
                     found = keys_of(line, edits, plans)
-                    keys = np.array(found, np.uint64)
-                    held = only[(keys & np.uint64(FILTER_WORDS - 1)).astype(np.int64)] >> (keys >> np.uint64(58)) & np.uint64(1)
-                    for i in np.flatnonzero(held):
-                        for column, value in zip(rows.columns, (found[i], h1, h2), strict=True):
-                            column.append(value)
+                    rows.columns[0] += found
+                    owners += (h1, h2)
+                    counts.append(len(found))
                 if rows.full():
-                    yield rows.batch()
-        yield rows.batch()
+                    yield held()
+        yield held()
 
     return texts.mapInArrow(run, "key long, h1 long, h2 long")
 
@@ -219,14 +229,14 @@ def _compare(edits: int):
     return run
 
 
-def near_links(docs: DataFrame, seen: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+def near_links(docs: DataFrame, repeated: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """(lines that share a key with another: h1, h2, doc, line, text; links a1, a2, b1, b2).
 
     Lines that occur once are keyed where they stand; lines that may occur
     again are first brought to one copy.
     """
     first = F.min(F.struct("doc", "line", "text"))
-    again = filter_bits(seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"), "h1")
+    again = filter_bits(repeated.select("h1"), "h1")
     one = materialize(line_texts(docs, min_chars, again).groupBy("h1", "h2").agg(first.alias("f")).select("f.text"), "repeated")
     text = docs.select("text")
     keys = line_keys(text, edits, min_chars, again).union(line_keys(one, edits, min_chars))
@@ -267,12 +277,12 @@ def removals(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
     """doc, gone: the numbers of the lines that go from each document that loses any."""
     source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = materialize(occurrences(source, min_chars), "seen")
-    lines, links = near_links(source, seen, edits, min_chars)
+    repeated = materialize(seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line")).alias("first")).where("n > 1").drop("n"), "repeated")
+    lines, links = near_links(source, repeated, edits, min_chars)
     place = lines.select("h1", "h2", F.struct("doc", "line").alias("at"))
     sided = links.join(place.toDF("a1", "a2", "at_a"), ["a1", "a2"]).join(place.toDF("b1", "b2", "at_b"), ["b1", "b2"])
     later = F.when(F.col("at_a") < F.col("at_b"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).otherwise(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")))
     near = sided.select(later.alias("x")).select("x.h1", "x.h2").distinct().withColumn("all", F.lit(True))
-    repeated = seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line")).alias("first")).where("n > 1").drop("n")
     gone = materialize(repeated.join(near, ["h1", "h2"], "full_outer"), "gone")
     held = bloom_filter(seen, "h1", gone.select("h1")).join(gone, ["h1", "h2"])
     out = held.where("all OR NOT struct(doc, line) <=> first").select("doc", "line")
