@@ -115,7 +115,8 @@ def features(both: DataFrame, config: Config = Config()) -> DataFrame:
     }
     same_title = (a["title"] != "") & (a["title"] == b["title"])
     same_id = functools.reduce(lambda x, c: x.when(a[c] == b[c], f"{c}_exact"), IDENTIFIERS[1:], F.when(a["pmid"] == b["pmid"], "pmid_exact"))
-    return both.select("left_index", "right_index", F.struct(*[made[f].alias(f) for f in FEATURES]).alias("features"), same_title.alias("same_title"), same_id.alias("same_id"))
+    # written: each feature is computed once, though scores, rules and explanations name it often
+    return materialize(both.select("left_index", "right_index", F.struct(*[made[f].alias(f) for f in FEATURES]).alias("features"), same_title.alias("same_title"), same_id.alias("same_id")), "features")
 
 
 def weighted(x: Column, weights: dict[str, float], intercept: float, names: tuple[str, ...]) -> Column:

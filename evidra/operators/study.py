@@ -54,7 +54,7 @@ def sample_size() -> Column:
 def recruitment() -> Column:
     start = F.coalesce(*[N.year_in(c) for c in _meta(*"recruitment_start start_date study_start enrollment_start".split())])
     end = F.coalesce(*[N.year_in(c) for c in _meta(*"recruitment_end completion_date study_end enrollment_end".split())])
-    return N.interval(start, end)
+    return T.let(F.struct(start.alias("s"), end.alias("e")), lambda x: N.interval(x["s"], x["e"]))
 
 
 def described(records: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def features(both: DataFrame) -> DataFrame:
         "role_complementarity": N.role_complementarity(a["role"], b["role"]),
         "review_record": review,
     }
-    return both.select("left_index", "right_index", F.struct(*[made[f].cast("double").alias(f) for f in FEATURES]).alias("features"))
+    return materialize(both.select("left_index", "right_index", F.struct(*[made[f].cast("double").alias(f) for f in FEATURES]).alias("features")), "study-features")
 
 
 def assess(made: DataFrame, config: Config = Config()) -> DataFrame:

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.functions.text import norm_plain
+from evidra.functions.text import let, norm_plain
 
 from . import language as L
 
@@ -44,12 +44,23 @@ def _holds(text: Column, value: str) -> Column:
     return F.contains(text, F.lit(f" {' '.join(words)} "))
 
 
-def _positions(text: Column, value: str) -> tuple[Column, int]:
-    """Where the words of a literal start among the words of the text, and how many words it has."""
-    size = max(1, len(_words(value)))
-    tokens = F.split(F.trim(text), " ")
-    run = lambda i: F.array_join(F.slice(tokens, i + 1, size), " ")
-    return F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: run(i).rlike(f"^{_pattern(value)}$")), size
+def _near(text: Column, left: str, right: str, n: int) -> Column:
+    """Whether the words of both literals stand at most n words apart, in either order."""
+    a, b = (_words(x) for x in (left, right))
+    if not a or not b:
+        return F.lit(False)
+
+    def fits(token: Column, word: str) -> Column:
+        return token.rlike(f"^{_pattern(word)}$") if "*" in word or "?" in word else token == word
+
+    def starts(words: Column, wanted: list[str]) -> Column:
+        at = F.filter(F.transform(words, lambda t, i: F.when(fits(t, wanted[0]), i)), lambda i: i.isNotNull())
+        rest = lambda i: functools.reduce(lambda x, y: x & y, [F.coalesce(fits(F.get(words, i + k), w), F.lit(False)) for k, w in enumerate(wanted) if k], F.lit(True))
+        return F.filter(at, rest)
+
+    apart = lambda i, j: F.when(i < j, j - i - len(a)).otherwise(i - j - len(b))
+    close = lambda p: F.exists(p["a"], lambda i: F.exists(p["b"], lambda j: (i != j) & (apart(i, j) >= 0) & (apart(i, j) <= n)))
+    return let(F.split(F.trim(text), " "), lambda words: let(F.struct(starts(words, a).alias("a"), starts(words, b).alias("b")), close))
 
 
 def predicate(df: DataFrame, node: L.Node, fields: tuple[str, ...] = L.DEFAULT_FIELDS) -> Column:
@@ -73,11 +84,8 @@ def predicate(df: DataFrame, node: L.Node, fields: tuple[str, ...] = L.DEFAULT_F
             if a is None or b is None:  # a window needs words on both sides
                 return predicate(df, left, fields) & predicate(df, right, fields)
             text = _text(df, scope)
-            (pa, la), (pb, lb) = _positions(text, a), _positions(text, b)
-            apart = lambda i, j: F.when(i < j, j - i - la).otherwise(i - j - lb)
-            near = F.exists(pa, lambda i: F.exists(pb, lambda j: (i != j) & (apart(i, j) >= 0) & (apart(i, j) <= n)))
             # both must occur at all: a cheap test before words are counted
-            return F.coalesce(F.when(_holds(text, a) & _holds(text, b), near), F.lit(False))
+            return F.coalesce(F.when(_holds(text, a) & _holds(text, b), _near(text, a, b, n)), F.lit(False))
     raise TypeError(type(node))
 
 
