@@ -166,7 +166,7 @@ def read_ris(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r\n?", "\n").alias("value"), F.input_file_name().alias("file"))
     entries = raw.select("file", F.posexplode(F.split("value", r"(?m)^ER  -.*$")).alias("pos", "body")).where(F.col("body").rlike(r"(?m)^[A-Z0-9]{2}  -"))
     joined = F.regexp_replace("body", r"\n(?![A-Z0-9]{2}  -)[ \t]*", " ")
-    all_of = lambda t: F.filter(F.transform(F.regexp_extract_all(joined, F.lit(rf"(?m)^(?:{t})  -[ ]?(.*)$"), F.lit(1)), F.trim), lambda v: v != "")
+    all_of = lambda t: F.filter(F.transform(F.regexp_extract_all(joined, F.lit(rf"(?m)^(?:{t})  -[ ]?(.*)$"), F.lit(1)), lambda a: F.trim(a)), lambda v: v != "")
     first = lambda *ts: F.coalesce(*[F.get(all_of(t), F.lit(0)) for t in ts])
     out = entries.select(
         "file", "pos", first("TI", "T1", "CT").alias("title"), all_of("AU|A1").alias("authors"), N.year_in(first("PY", "Y1", "DA")).alias("year"), first("JO", "JF", "T2", "JA").alias("journal"), first("AB", "N2").alias("abstract"),
@@ -182,7 +182,7 @@ def read_endnote(spark: SparkSession, path: str) -> DataFrame:
         f"`rec-number` string, database string, caption {style}, contributors struct<authors:struct<author:array<{style}>>>, titles struct<title:{style},`secondary-title`:{style}>, periodical struct<`full-title`:{style}>, "
         f"pages {style}, volume {style}, number {style}, dates struct<year:{style}>, `accession-num` {style}, abstract {style}, `electronic-resource-num` {style}"
     )
-    raw = spark.read.format("xml").option("rowTag", "record").schema(schema).load(path)
+    raw = spark.read.format("xml").option("rowTag", "record").option("ignoreSurroundingSpaces", False).schema(schema).load(path)
     text = lambda c: _clean(F.concat_ws("", F.col(c + ".style")))
     caption = F.lower(F.coalesce(text("caption"), F.lit("")))
     known = F.when(caption == "duplicate", True).when(caption.isin("", "unique"), False)
