@@ -4,8 +4,8 @@ Each page is written as three records, its response (or a revisit of an equal
 payload), the request and the metadata; the latter two name the first in
 ``WARC-Concurrent-To``.  Records end with two line ends, the last byte of
 which is the text writer's line separator, so Spark's own committed writer
-makes the files.  They are read whole, record by record by ``Content-Length``,
-and one nested row a capture is assembled by joining through those names.
+makes the files.  They are read record by record by ``Content-Length``, and one
+nested row a capture is assembled by joining through those names.
 
 Of records with equal payloads of at least ``least`` bytes, that with the
 smallest page_id is the response and the others revisit it.
@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,25 +92,22 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
     text.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of each record; raises on what is no WARC."""
-    at = 0
-    while at < len(content):
-        if content[at : at + 2] == b"\r\n":
-            at += 2
+def parse(archive: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, block) of each record, one in memory at a time; raises on what is no WARC."""
+    while line := archive.readline():
+        if not line.strip(b"\r\n"):
             continue
-        end = content.find(b"\r\n\r\n", at)
-        if content[at : at + 5] != b"WARC/" or end < 0:
-            raise ValueError(f"no record at byte {at}")
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no record begins with {line[:20]!r}")
         headers = {}
-        for line in content[at:end].split(b"\r\n")[1:]:
+        while line := archive.readline().rstrip(b"\r\n"):
             name, _, value = line.partition(b":")
             headers[name.decode().strip().lower()] = value.decode("utf-8", "replace").strip()
-        start = end + 4
-        at = start + int(headers["content-length"])
-        if at > len(content):
+        size = int(headers["content-length"])
+        block = archive.read(size)
+        if len(block) < size:
             raise ValueError("a record is cut off")
-        yield headers, content[start:at]
+        yield headers, block
 
 
 def _row(headers: dict[str, str], block: bytes, payloads: bool) -> dict:
@@ -137,11 +136,12 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                content = content.as_py()
-                if content[:2] == b"\x1f\x8b":
-                    content = gzip.decompress(content)
+                data = content.as_py()
+                archive: BinaryIO = io.BytesIO(data)
+                if data[:2] == b"\x1f\x8b":
+                    archive = io.BufferedReader(gzip.GzipFile(fileobj=archive), 1 << 20)
                 rows = []
-                for headers, block in parse(content):
+                for headers, block in parse(archive):
                     rows.append(_row(headers, block, payloads))
                     if len(rows) >= 1000:
                         yield pa.RecordBatch.from_pylist(rows, schema)
