@@ -91,17 +91,3 @@ def checks(flows: DataFrame) -> DataFrame:
         "assessed without outcome": (x["reports_assessed_for_eligibility"] != 0) & (resolved < x["reports_assessed_for_eligibility"]),
     }
     return derived(flows).select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("failed")) for k, v in rules.items()])).alias("c")).select("c.*")
-
-
-#: Items of the search-reporting checklist, and which facts of a run each needs.
-MATRIX = (
-    ("Database name", "databases"), ("Several databases on one platform", "platforms"), ("Study registries", "registers"), ("Online and print browsing", "browsing"), ("Citation searching", "citations"),
-    ("Contacts", "contacts"), ("Other methods", "other_methods"), ("Full search strategies", "strategies"), ("Limits and restrictions", "limits"), ("Search filters", "filters"), ("Prior work", "prior_work"),
-    ("Updates", "updates"), ("Dates of searches", "dates"), ("Peer review", "peer_review"), ("Total records", "totals"), ("Deduplication", "deduplication"),
-)
-
-
-def reporting_matrix(spark, facts: dict[str, str]) -> DataFrame:
-    """item, topic, status, evidence: REPORTED where the run's facts cover an item, else NEEDS_INPUT."""
-    rows = [(i, topic, "REPORTED" if facts.get(key) else "NEEDS_INPUT", facts.get(key)) for i, (topic, key) in enumerate(MATRIX, 1)]
-    return spark.createDataFrame(rows, "item int, topic string, status string, evidence string")

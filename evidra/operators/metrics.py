@@ -25,7 +25,8 @@ def rates(counts: DataFrame, empty: float, f1_empty: float = 0.0) -> DataFrame:
     d = lambda a, b: N.safe_divide(a, b, empty)
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
     out = counts.withColumn("sensitivity", d(tp, tp + fn)).withColumn("specificity", d(tn, tn + fp)).withColumn("precision", d(tp, tp + fp)).withColumn("accuracy", d(tp + tn, tp + tn + fp + fn))
-    return out.withColumn("f1", N.safe_divide(2 * tp, 2 * tp + fp + fn, f1_empty))
+    both = F.col("precision") + F.col("sensitivity")
+    return out.withColumn("f1", N.safe_divide(2 * F.col("precision") * F.col("sensitivity"), both, f1_empty))
 
 
 def pair_metrics(scored: DataFrame, threshold: float = 0.985, p: str = "p", gold: str = "gold") -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 TITLE_ABSTRACT, FULL_TEXT = STAGES = ("TITLE_ABSTRACT", "FULL_TEXT")
 INCLUDE, EXCLUDE, MAYBE, NOT_SCREENED = DECISIONS = ("INCLUDE", "EXCLUDE", "MAYBE", "NOT_SCREENED")
-REASONS = ("WRONG_POPULATION", "WRONG_INTERVENTION", "WRONG_COMPARATOR", "WRONG_OUTCOME", "WRONG_DESIGN", "DUPLICATE", "NOT_RETRIEVABLE", "OTHER")
+# The usual codes for exclusion; a review may hand in its own.
+REASONS = ("WRONG_POPULATION", "WRONG_INTERVENTION_EXPOSURE", "WRONG_COMPARATOR", "WRONG_OUTCOME", "WRONG_STUDY_DESIGN", "NOT_PRIMARY_RESEARCH", "NOT_RETRIEVABLE", "OTHER")
 
 
 def problems(events: DataFrame, reasons: tuple[str, ...] = REASONS, full_text_needs_reason: bool = True) -> DataFrame:

@@ -160,14 +160,22 @@ def gated(edges: DataFrame, known: DataFrame) -> DataFrame:
     """Accepting edges with refused, and the families of both ends.
 
     The gate refuses unions only inside a component of all accepting edges, so
-    components are settled each by itself, in parallel.
+    components are settled each by itself, in parallel.  Where all registered
+    members of a component share a registration no union can be refused: such
+    a component, however large, is one family and is not gathered anywhere.
     """
     accepting = edges.where(F.col("decision").isin(SAME, DUPLICATE)).select("left_index", "right_index", "decision", "study_probability")
     component = connected_components(accepting, "left_index", "right_index")
     ids = known.select("idx", "registry_ids")
-    rows = accepting.join(component.withColumnRenamed("node", "left_index"), "left_index").join(ids.toDF("left_index", "left_ids"), "left_index").join(ids.toDF("right_index", "right_ids"), "right_index")
+    registered = component.join(ids.toDF("node", "ids"), "node").where(F.size("ids") > 0)
+    members = registered.groupBy("component").agg(F.count(F.lit(1)).alias("registered"))
+    shared = registered.select("component", "node", F.explode(F.array_distinct("ids")).alias("id")).groupBy("component", "id").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max("n").alias("n"))
+    mixed = members.join(shared, "component").where("n < registered").select("component", F.lit(True).alias("mixed"))
+    placed = materialize(accepting.join(component.withColumnRenamed("node", "left_index"), "left_index").join(mixed, "component", "left"), "placed")
+    plain = placed.where("mixed IS NULL").select("left_index", "right_index", F.lit(False).alias("refused"), F.col("component").alias("family"), F.col("component").alias("other"))
+    rows = placed.where("mixed").join(ids.toDF("left_index", "left_ids"), "left_index").join(ids.toDF("right_index", "right_ids"), "right_index")
     settled = rows.groupBy("component").applyInPandas(lambda pdf: _gate(pdf), "left_index long, right_index long, refused boolean, family long, other long")
-    return accepting.join(settled, ["left_index", "right_index"])
+    return accepting.join(plain.unionByName(settled), ["left_index", "right_index"])
 
 
 def families(known: DataFrame, settled: DataFrame) -> DataFrame:

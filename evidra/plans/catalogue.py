@@ -123,8 +123,9 @@ def interval_overlap(spark, sf_dir):
 
 @query
 def role_complementarity(spark, sf_dir):
-    roles = spark.createDataFrame([(r,) for r in T.ROLES], "role string")
-    return roles.join(roles.withColumnRenamed("role", "other")).select("role", "other", N.role_complementarity(F.col("role"), F.col("other")).alias("value"))
+    each = F.explode(F.array(*[F.lit(r) for r in T.ROLES]))
+    roles = spark.range(1).select(each.alias("role")).select("role", each.alias("other"))
+    return roles.select("role", "other", N.role_complementarity(F.col("role"), F.col("other")).alias("value"))
 
 
 @query
@@ -135,7 +136,7 @@ def html_strip(spark, sf_dir):
 @query
 def abstract_from_inverted_index(spark, sf_dir):
     d = views.table(spark, sf_dir, "documents")
-    words = d.select("doc_id", F.posexplode(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, 30)).alias("p", "w"))
+    words = d.select("doc_id", F.posexplode(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("p", "w"))
     index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("inverted"))
     return index.select("doc_id", T.abstract_from_index("inverted").alias("abstract"))
 
@@ -204,6 +205,53 @@ def hit_rank(spark, sf_dir):
     return grid.withColumn("i", within).join(base, ["source", "bucket"]).select("source", "source_id", (F.col("base") + F.col("i")).alias("rank"))
 
 
+def _bodies(spark, sf_dir, wrap, *columns):
+    """Response bodies of a hundred items each, made of the documents."""
+    d = views.records(spark, sf_dir).select("*", F.floor(F.col("idx") / 100).alias("page"))
+    return d.groupBy("page").agg(wrap(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.struct(*columns).alias("item")))), lambda x: x["item"])).alias("value")).select("value", F.lit("q").alias("query"), F.lit(None).cast("string").alias("retrieved_at"), (F.col("page") * 100 + 1).alias("first_rank"))
+
+
+def _read_back(bodies, source):
+    from evidra.sources import payloads
+
+    r = payloads.parse(bodies, source)
+    return r.select(F.col("source_hits")[0]["source_id"].alias("source_id"), "title", joined("authors").alias("authors"), "year", "journal", "doi", "pmid", F.col("metadata")["type"].alias("kind"))
+
+
+@query
+def openalex_records(spark, sf_dir):
+    named = F.transform("authors", lambda a: F.struct(F.struct(a.alias("display_name")).alias("author")))
+    place = F.struct(F.struct(F.col("journal").alias("display_name")).alias("source"))
+    ids = F.struct(F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), "pmid").alias("pmid"))
+    columns = [F.concat(F.lit("W"), "idx").alias("id"), "title", named.alias("authorships"), F.col("year").alias("publication_year"), place.alias("primary_location"), F.concat(F.lit("https://doi.org/"), F.upper("doi")).alias("doi"), ids.alias("ids"), F.col("metadata")["type"].alias("type")]
+    return _read_back(_bodies(spark, sf_dir, lambda items: F.to_json(F.struct(items.alias("results"))), *columns), "openalex")
+
+
+@query
+def crossref_records(spark, sf_dir):
+    named = F.transform("authors", lambda a: F.struct(F.regexp_extract(a, "^(.*) [AB]$", 1).alias("family"), F.right(a, F.lit(1)).alias("given")))
+    date = F.struct(F.array(F.array(F.coalesce("year", F.lit(0)), F.lit(5))).alias("date-parts"))
+    columns = [F.coalesce("doi", F.concat(F.lit("x"), "idx")).alias("DOI"), F.array("title").alias("title"), named.alias("author"), date.alias("issued"), F.array("journal").alias("container-title"), F.col("metadata")["type"].alias("type")]
+    return _read_back(_bodies(spark, sf_dir, lambda items: F.to_json(F.struct(F.struct(items.alias("items")).alias("message"))), *columns), "crossref")
+
+
+@query
+def pubmed_records(spark, sf_dir):
+    def escaped(c):
+        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            c = F.replace(c, F.lit(sign), F.lit(name))
+        return c
+
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    some = lambda name, c: F.coalesce(tag(name, escaped(c)), F.lit(""))
+    people = F.array_join(F.transform("authors", lambda a: tag("Author", F.concat(some("LastName", F.regexp_extract(a, "^(.*) [AB]$", 1)), some("ForeName", F.right(a, F.lit(1)))))), "")
+    dated = F.concat(tag("Title", escaped(F.col("journal"))), tag("JournalIssue", tag("PubDate", some("Year", F.col("year").cast("string")))))
+    article = tag("Article", F.concat(tag("Journal", dated), some("ArticleTitle", F.col("title")), tag("AuthorList", people)))
+    ids = F.concat(F.lit("<PubmedData><ArticleIdList>"), F.coalesce(F.concat(F.lit('<ArticleId IdType="doi">'), "doi", F.lit("</ArticleId>")), F.lit("")), F.lit("</ArticleIdList></PubmedData>"))
+    whole = tag("PubmedArticle", F.concat(tag("MedlineCitation", F.concat(tag("PMID", F.col("idx").cast("string")), article)), ids))
+    return _read_back(_bodies(spark, sf_dir, lambda items: F.array_join(F.transform(items, lambda x: x["x"]), "\n"), whole.alias("x")), "pubmed")
+
+
 # blocking and deduplication
 
 
@@ -216,7 +264,7 @@ def block_keys(spark, sf_dir):
 @query
 def block_sizes_capped(spark, sf_dir):
     sizes = blocking.block_sizes(blocking.publication_keys(views.records(spark, sf_dir)))
-    return sizes.where("members > 1").select("block_key", "members", (F.col("members") > 50).alias("dropped"))
+    return sizes.where("members > 1").select("block_key", "members", (F.col("members") > blocking.CAP).alias("dropped"))
 
 
 @query
@@ -226,7 +274,9 @@ def candidate_pairs_blocked(spark, sf_dir):
 
 @query
 def candidate_pairs_exhaustive(spark, sf_dir):
-    return blocking.exhaustive_pairs(views.records(spark, sf_dir).where("idx % 10 = 0"))
+    """Every pair of records while they are few, else those that share a block."""
+    r = views.records(spark, sf_dir)
+    return blocking.candidate_pairs(r, blocking.publication_keys(r), publication.Config().exhaustive_limit)[0]
 
 
 @query
@@ -258,7 +308,7 @@ def dedup_decisions_native(spark, sf_dir):
 
 @query
 def explain_topk(spark, sf_dir):
-    e = _edges(spark, sf_dir)[1].where("left_index % 20 = left_index % 5")
+    e = _edges(spark, sf_dir)[1]
     top = publication.top_contributions(F.col("contributions"), 2)
     return e.select("left_index", "right_index", F.split_part(F.get(top, F.lit(0)), F.lit(":"), F.lit(1)).alias("first"))
 
@@ -373,6 +423,15 @@ def screen_final(spark, sf_dir):
     return screening.state(views.screening_events(spark, sf_dir)).select("record_id", "stage", "decision")
 
 
+@query
+def screen_final_stream(spark, sf_dir):
+    """The final decisions once more, by the stream of events."""
+    from evidra.streaming import ledger
+
+    events = views.screening_events(spark, sf_dir, views.stream(spark, sf_dir, "events"))
+    return ledger.newest(ledger.drain(ledger.final_decisions(events))).select("record_id", "stage", "decision")
+
+
 @query
 def screen_conflicts(spark, sf_dir):
     c = screening.conflicts(views.screening_events(spark, sf_dir))

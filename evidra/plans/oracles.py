@@ -102,7 +102,7 @@ ORACLES |= {
     "interval_overlap": f"{ST} SELECT idx, {overlap('y0', 'y1', '1993', '1994')} AS similarity FROM studies",
     "role_complementarity": f"WITH r AS (SELECT unnest({list(T.ROLES)!r}) AS role) SELECT a.role, b.role AS other, CASE WHEN a.role = b.role THEN 0.0::DOUBLE WHEN (a.role, b.role) IN ({PAIRS}) THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS value FROM r a, r b",
     "html_strip": r"""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title FROM pages""",
-    "abstract_from_inverted_index": r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')[1:30] AS w FROM documents)
+    "abstract_from_inverted_index": r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents)
       SELECT doc_id, array_to_string(w, ' ') AS abstract FROM w WHERE len(w) > 0""",
 }
 
@@ -131,6 +131,18 @@ ORACLES |= {
     "hit_rank": "SELECT o_orderpriority AS source, o_orderkey AS source_id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS rank FROM orders",
 }
 
+def _parsed(name: str, source_id: str, title: str, **other: str) -> str:
+    """The records that a service's bodies hold, straight from the documents."""
+    c = {"authors": "array_to_string(authors, '|')", "year": "year", "doi": "doi", "pmid": "CAST(NULL AS VARCHAR)", "kind": "kind"} | other
+    return f"{R} SELECT {source_id} AS source_id, coalesce(nullif({title}, ''), '[Untitled {name} record]') AS title, {c['authors']} AS authors, {c['year']} AS year, source AS journal, {c['doi']} AS doi, {c['pmid']} AS pmid, {c['kind']} AS kind FROM records"
+
+
+ORACLES |= {
+    "openalex_records": _parsed("OpenAlex", "'W' || idx", "trim(title)", pmid="pmid"),
+    "crossref_records": _parsed("Crossref", "coalesce(doi, 'x' || idx)", "trim(title)", doi="coalesce(doi, 'x' || idx)"),
+    "pubmed_records": _parsed("PubMed", "CAST(idx AS VARCHAR)", r"trim(regexp_replace(title, '\s+', ' ', 'g'))", pmid="CAST(idx AS VARCHAR)", kind="CAST(NULL AS VARCHAR)"),
+}
+
 PREPARED = f"""{R}, p AS (
   SELECT idx, doi, pmid, year, {fold('title')} AS title, {substantive('title')} AS words, {AUTHORS} AS akeys, {LEAD} AS lead, {fold('journal')} AS journal, {FORM} AS form, {fold('volume')} AS volume, {fold('pages')} AS pages,
     4.0::DOUBLE * (doi IS NOT NULL)::INT + 2.0::DOUBLE * (abstract <> '')::INT + 2 * 0.3::DOUBLE + 1.0::DOUBLE * (journal <> '')::INT + 0.8::DOUBLE * (year IS NOT NULL)::INT + ((doi IS NOT NULL)::INT + (pmid IS NOT NULL)::INT) * 0.5::DOUBLE + 0.25::DOUBLE + least(length(records.title), 200) / 200.0::DOUBLE AS quality,
@@ -170,16 +182,16 @@ CLUSTERS = f"""{EDGES}, u AS (SELECT left_index AS a, right_index AS b FROM g WH
 _ORD = "ORDER BY CASE WHEN idx = representative_index THEN -1 ELSE idx END"
 ORACLES |= {
     "block_keys": f"{PREPARED} SELECT split_part(block_key, ':', 1) AS family, count(*) AS keys, count(DISTINCT block_key) AS blocks FROM (SELECT DISTINCT idx, block_key FROM k) GROUP BY 1",
-    "block_sizes_capped": f"{PREPARED} SELECT block_key, members, members > 50 AS dropped FROM b WHERE members > 1",
+    "block_sizes_capped": f"{PREPARED} SELECT block_key, members, members > 500 AS dropped FROM b WHERE members > 1",
     "candidate_pairs_blocked": f"{PREPARED} SELECT left_index, right_index FROM c",
-    "candidate_pairs_exhaustive": "SELECT a.doc_id AS left_index, b.doc_id AS right_index FROM documents a JOIN documents b ON a.doc_id < b.doc_id WHERE a.doc_id % 10 = 0 AND b.doc_id % 10 = 0",
+    "candidate_pairs_exhaustive": f"{PREPARED}, n AS (SELECT count(*) <= 2000 AS small FROM p) SELECT left_index, right_index FROM c, n WHERE NOT small UNION ALL SELECT a.idx, b.idx FROM n, p a JOIN p b ON a.idx < b.idx WHERE small",
     "author_year_band_pairs": f"""{ST}, k AS (SELECT idx, unnest(list_transform([-1, 0, 1], lambda d: author || ':' || CAST(CAST(floor(year / 5) AS BIGINT) + d AS VARCHAR))) AS block_key FROM studies
       ), h AS (SELECT k.* FROM k JOIN (SELECT block_key FROM k GROUP BY 1 HAVING count(*) BETWEEN 2 AND 500) USING (block_key)) SELECT DISTINCT x.idx AS left_index, y.idx AS right_index FROM h x JOIN h y ON x.block_key = y.block_key AND x.idx < y.idx""",
     "title_jaccard_pairs": f"{EDGES} SELECT left_index, right_index, round(tj, 9) AS jaccard FROM g",
     "dedup_score_native": f"{EDGES} SELECT left_index, right_index, round(probability, 9) AS probability FROM g",
     "dedup_decisions_native": f"{EDGES} SELECT decision, count(*) AS pairs FROM g GROUP BY decision",
     "explain_topk": f"""{EDGES}, t AS (SELECT left_index, right_index, list_filter([{{'v': 10 * doi_exact, 'i': 0, 'n': 'doi_exact'}}, {{'v': -10 * doi_conflict, 'i': 1, 'n': 'doi_conflict'}}, {{'v': 8 * id_exact, 'i': 2, 'n': 'strong_id_exact'}}, {{'v': -5 * id_conflict, 'i': 3, 'n': 'strong_id_conflict'}}, {{'v': -4 * form_conflict, 'i': 4, 'n': 'publication_form_conflict'}},
-      {{'v': 4.8 * ts, 'i': 5, 'n': 'title_similarity'}}, {{'v': 2.2 * tj, 'i': 6, 'n': 'title_token_jaccard'}}, {{'v': 2.0 * au, 'i': 7, 'n': 'author_similarity'}}, {{'v': 1.2 * ys, 'i': 8, 'n': 'year_similarity'}}, {{'v': 1.0 * js, 'i': 9, 'n': 'journal_similarity'}}, {{'v': 0.45 * vo, 'i': 10, 'n': 'volume_exact'}}, {{'v': 0.55 * pg, 'i': 11, 'n': 'pages_exact'}}], lambda x: x.v <> 0) AS c FROM g WHERE left_index % 20 = left_index % 5)
+      {{'v': 4.8 * ts, 'i': 5, 'n': 'title_similarity'}}, {{'v': 2.2 * tj, 'i': 6, 'n': 'title_token_jaccard'}}, {{'v': 2.0 * au, 'i': 7, 'n': 'author_similarity'}}, {{'v': 1.2 * ys, 'i': 8, 'n': 'year_similarity'}}, {{'v': 1.0 * js, 'i': 9, 'n': 'journal_similarity'}}, {{'v': 0.45 * vo, 'i': 10, 'n': 'volume_exact'}}, {{'v': 0.55 * pg, 'i': 11, 'n': 'pages_exact'}}], lambda x: x.v <> 0) AS c FROM g)
       SELECT left_index, right_index, (list_sort(list_transform(c, lambda x: {{'v': -abs(x.v), 'i': x.i, 'n': x.n}}))[1]).n AS first FROM t""",
     "connected_components_publications": f"{CLUSTERS} SELECT node, component FROM cc",
     "representative": f"{CLUSTERS} SELECT idx, cluster_id, representative_index, cluster_size FROM rep",
@@ -224,11 +236,12 @@ _FATE = f"""{_NOW}, fate AS (SELECT record_id, coalesce(bool_or(stage = 'TITLE_A
   coalesce(bool_or(stage = 'FULL_TEXT' AND decision = 'EXCLUDE' AND code = 'NOT_RETRIEVABLE'), false) AS missing, coalesce(bool_or(stage = 'FULL_TEXT' AND decision = 'INCLUDE'), false) AS inc, max(CASE WHEN stage = 'FULL_TEXT' AND decision = 'EXCLUDE' THEN CASE WHEN code = '-' THEN 'OTHER' ELSE code END END) AS reason FROM fin GROUP BY record_id)"""
 _REASONS = "SELECT reason, count(*) AS reports FROM fate WHERE sought AND NOT missing AND reason IS NOT NULL GROUP BY reason"
 _FLOW = f"""{_FATE}, sc AS (SELECT count(*) FILTER (screened) AS records_screened, count(*) FILTER (excluded) AS records_excluded, count(*) FILTER (sought) AS reports_sought_for_retrieval, count(*) FILTER (missing) AS reports_not_retrieved, count(*) FILTER (sought AND NOT missing) AS reports_assessed_for_eligibility, count(*) FILTER (sought AND NOT missing AND inc) AS reports_included FROM fate
-), flow AS (SELECT 'database' AS category, upper(source[1]) || source[2:] AS label, count(*) AS count FROM documents GROUP BY source UNION ALL SELECT 'removed', 'duplicates_removed', count(*) - count(DISTINCT substr(text, 1, 2000)) FROM documents
+), flow AS (SELECT 'database' AS category, upper(source[1]) || source[2:] AS label, count(*) AS count FROM documents GROUP BY source UNION ALL SELECT 'removed', 'duplicates_removed', count(*) - count(DISTINCT text) FROM documents
   UNION ALL SELECT 'stage', label, n FROM (UNPIVOT sc ON COLUMNS(*) INTO NAME label VALUE n) UNION ALL SELECT 'reason', reason, reports FROM ({_REASONS}))"""
 ORACLES |= {
     "screen_latest": f"{_NOW} SELECT record_id, stage, reviewer, decision, seq FROM latest",
     "screen_final": f"{_NOW} SELECT record_id, stage, decision FROM fin",
+    "screen_final_stream": f"{_NOW} SELECT record_id, stage, decision FROM fin",
     "screen_conflicts": f"{_NOW} SELECT record_id, stage, decisions FROM fin WHERE conflict",
     "screen_counts": f"{_NOW} SELECT g.stage, g.decision, count(fin.record_id) AS records FROM ({_CAT}) g LEFT JOIN fin ON fin.stage = g.stage AND fin.decision = g.decision GROUP BY 1, 2".replace(f"({_CAT}) g", f"(SELECT * FROM {_CAT}) g"),
     "screen_kappa": f"""{_NOW}, pr AS (SELECT a.stage, a.reviewer AS reviewer_a, b.reviewer AS reviewer_b, a.decision AS da, b.decision AS db FROM latest a JOIN latest b ON a.record_id = b.record_id AND a.stage = b.stage AND a.reviewer < b.reviewer

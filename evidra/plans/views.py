@@ -20,7 +20,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
-    title = F.substring(F.trim(F.split_part("text", F.lit("."), F.lit(1))), 1, 200)
+    title = F.trim(F.split_part("text", F.lit("."), F.lit(1)))
     kinds = F.element_at(F.array(*[F.lit(k) for k in ("journal-article", "preprint", "journal-article", "conference paper", "journal-article", "book chapter", "journal-article")]), (i % 7 + 1).cast("int"))
     return d.select(
         i.alias("idx"),
@@ -28,7 +28,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.concat(F.split_part(title, F.lit(" "), F.lit(1)), F.lit(" A")), F.concat("lang", F.lit(" B"))).alias("authors"),
         F.when(i % 11 != 0, (2000 + i % 25).cast("int")).alias("year"),
         F.col("source").alias("journal"),
-        F.substring("text", 1, 2000).alias("abstract"),
+        F.col("text").alias("abstract"),
         F.when(i % 3 != 0, F.concat(F.lit("10.5555/"), F.md5("text"))).alias("doi"),
         F.when(i % 5 == 0, F.substring(F.md5(title), 1, 8)).alias("pmid"),
         F.lit(None).cast("string").alias("wos_ut"),
@@ -46,11 +46,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 RECORDS_SQL = """
 records AS (
   SELECT doc_id AS idx, title, [split_part(title, ' ', 1) || ' A', lang || ' B'] AS authors,
-    CASE WHEN doc_id % 11 <> 0 THEN CAST(2000 + doc_id % 25 AS INTEGER) END AS year, source AS journal, substr(text, 1, 2000) AS abstract,
+    CASE WHEN doc_id % 11 <> 0 THEN CAST(2000 + doc_id % 25 AS INTEGER) END AS year, source AS journal, text AS abstract,
     CASE WHEN doc_id % 3 <> 0 THEN '10.5555/' || md5(text) END AS doi, CASE WHEN doc_id % 5 = 0 THEN substr(md5(title), 1, 8) END AS pmid,
     ['journal-article', 'preprint', 'journal-article', 'conference paper', 'journal-article', 'book chapter', 'journal-article'][doc_id % 7 + 1] AS kind,
     CAST(doc_id % 13 AS VARCHAR) AS volume, CAST(length(text) AS VARCHAR) AS pages, source, lang
-  FROM (SELECT *, substr(trim(split_part(text, '.', 1)), 1, 200) AS title FROM documents)
+  FROM (SELECT *, trim(split_part(text, '.', 1)) AS title FROM documents)
 )"""
 
 
@@ -81,9 +81,15 @@ studies AS (
 )"""
 
 
-def screening_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ledger from ``events``: seq is the order of appending."""
-    e = table(spark, sf_dir, "events")
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files; named by a pattern, which may stand for one file or a folder."""
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+
+
+def screening_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """A ledger from ``events``, the table or a stream of it: seq is the order of appending."""
+    e = table(spark, sf_dir, "events") if events is None else events
     k = F.get_json_object("props", "$.k")
     kind = F.col("event_type")
     decision = F.when(kind == "view", "INCLUDE").when(kind.isin("click", "error"), "EXCLUDE").when(kind == "purchase", "MAYBE").otherwise("INCLUDE")

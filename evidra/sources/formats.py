@@ -193,6 +193,24 @@ def read_endnote(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def numbered(records: DataFrame) -> DataFrame:
+    """One file's records with what gold records have: idx in the file's order, all columns, ids apart, groups of one."""
+    order = Window.orderBy(F.monotonically_increasing_id())  # the order of one file, so one sequence
+    rows = records.withColumn("idx", F.row_number().over(order).cast("long") - 1)
+    facts = [c for c in ("volume", "issue", "pages", "accession") if c in rows.columns]
+    if "metadata" not in rows.columns:
+        meta = F.create_map(*[x for c in facts for x in (F.lit(c), F.col(c).cast("string"))]) if facts else F.create_map().cast("map<string,string>")
+        rows = rows.withColumn("metadata", F.map_filter(meta, lambda k, v: v.isNotNull()))
+    for c in ("doi", "pmid", "wos_ut", "scopus_eid", "openalex_id", "journal", "abstract"):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast("string"))
+    raw = F.coalesce(F.nullif(F.trim("record_id"), F.lit("")), F.concat(F.lit("ROW"), (F.col("idx") + 1).cast("string")))
+    rows = rows.withColumn("__raw", raw)
+    again = F.row_number().over(Window.partitionBy("__raw").orderBy("idx")) > 1
+    rows = rows.withColumn("record_id", F.when(again, F.concat("__raw", F.lit("__ROW"), (F.col("idx") + 1).cast("string"))).otherwise(F.col("__raw")))
+    return rows.withColumn("gold_group", F.concat(F.lit("__SINGLE_"), F.col("idx").cast("string"))).drop("__raw", *facts)
+
+
 LEDGER = "event_id string, record_id string, stage string, decision string, reviewer string, timestamp string, reason_code string, reason_text string, note string, adjudication boolean, metadata map<string,string>"
 
 
