@@ -30,8 +30,9 @@ from .common import materialize, pick
 
 #: Up to this code point the two libraries' character classes agree.
 OTHER = re.compile("[^\x00-\u024f]")
-#: Buckets in which pieces of a length are numbered; bounds no result, only how many tasks share a length.
-BUCKETS = 1024
+#: Pieces of a length are numbered in so many buckets at least, and in as many more as keep a bucket to so many
+#: pieces; bounds no result, only how many tasks share a length.
+BUCKETS, IN_BUCKET = 1024, 250_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -155,9 +156,9 @@ def plan(counts: dict[int, int], limits: Limits = Limits()) -> np.ndarray:
     return np.array(rows, np.int64).reshape(-1, 6)
 
 
-def number(found: DataFrame) -> DataFrame:
+def number(found: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Adds ``rank``: 0, 1, ... among the pieces of the same length."""
-    bucketed = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
+    bucketed = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     counts = bucketed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -186,7 +187,8 @@ def assign(found: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return number(found).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank")).mapInArrow(run, PIECES + ", sequence_id long, offset long")
+    buckets = max(BUCKETS, -(-max(counts.values(), default=0) // IN_BUCKET))
+    return number(found, buckets).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank")).mapInArrow(run, PIECES + ", sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, limits: Limits = Limits(), end: int = 0, vocabulary: str | None = None) -> DataFrame:
