@@ -36,6 +36,8 @@ FEATURES = 192
 SCALE = 1 << 14
 PENALTIES = (1e-5, 1e-4, 1e-3, 1e-2, 1e-1)
 BINS = 2000
+#: Partitions that sum equations at most; each hands on two matrices, however many rows it has seen.
+SUMS = 512
 _SYMBOLS = re.compile(r"[#*$%&|<>{}\[\]\\^~=_@]")
 _MARKS = re.compile(r"[!?.,;:]")
 _DIGITS = re.compile(r"[0-9]")
@@ -191,7 +193,7 @@ def fit(found: DataFrame, labels: DataFrame, features: int = FEATURES, seed: int
         return model
     d = features + 2
     sums = np.zeros((2, d, d))
-    for r in rows.mapInArrow(_equations(weights, shift, mean, spread), "half int, i int, j int, v long").groupBy("half", "i", "j").agg(F.sum("v").alias("v")).toLocalIterator():
+    for r in rows.coalesce(SUMS).mapInArrow(_equations(weights, shift, mean, spread), "half int, i int, j int, v long").groupBy("half", "i", "j").agg(F.sum("v").alias("v")).toLocalIterator():
         sums[r["half"], r["i"], r["j"]] = r["v"]
     halves = [h for h in (0, 1) if sums[h, 0, 0]]
 
