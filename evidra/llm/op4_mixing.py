@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, pick
+from .common import WORD, materialize, pick, shuffle_partitions
 
 SEED = "mix-1"
 
@@ -25,33 +25,40 @@ def sizes(docs: DataFrame) -> DataFrame:
     return pick(docs, "doc_id", "text", "source").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
+def ranked(totals: DataFrame) -> DataFrame:
+    """The sources with ``rank``, 0, 1, ... by code point, null last: ranges are ordered apart, and counted."""
+    spark, by_name = totals.sparkSession, F.col("source").asc_nulls_last()
+    ranges = materialize(totals.repartitionByRange(min(200, shuffle_partitions(spark)), by_name).withColumn("part", F.spark_partition_id()), "sources")
+    sizes = {r["part"]: r["n"] for r in ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
+    before = [sum(n for p, n in sizes.items() if p < part) for part in range(max(sizes, default=0) + 1)]
+    within = F.row_number().over(Window.partitionBy("part").orderBy(by_name)) - 1
+    return ranges.select("source", "source_size", (F.array(*[F.lit(n) for n in before])[F.col("part")] + within).alias("rank"))
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """Each source's total and target; rows are sources, not documents.
 
     Targets are weight shares of the whole; one that is above ``most`` times
     its source stops there and the excess is shared by weight among the rest.
-    Sorted by cap over weight, the sources that stop are a prefix, so one
-    running sum gives the level at which the others stand.
+    Sources that stop never start again, so the level at which the others
+    stand is found by summing until no further source stops, and no task holds
+    all sources.
     """
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights)) + 1).cast("long")
-    caps = totals.select("source", "source_size", weight.alias("weight"), (most * F.col("source_size")).alias("cap"))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    run = caps.select(
-        "*",
-        (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))).alias("rest"),
-        (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))).alias("rest_weight"),
-        F.row_number().over(order).alias("place"),
-    )
-    free = F.col("cap").cast("double") * F.col("rest_weight") > F.col("weight") * F.col("rest").cast("double")
-    level = F.min(F.when(free, F.struct("place", "rest", "rest_weight"))).over(everything)
-    leveled = run.select("source", "source_size", "weight", "cap", "place", level.alias("level"))
-    target = F.when(F.col("level").isNull() | (F.col("place") < F.col("level.place")), F.col("cap").cast("double")).otherwise((F.col("weight") * F.col("level.rest")).cast("double") / F.col("level.rest_weight"))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights)).cast("int") + 1).cast("long")
+    caps = materialize(ranked(totals).select("source", "source_size", weight.alias("weight"), (most * F.col("source_size")).alias("cap")), "caps")
+    whole = caps.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    rest, rest_weight = whole
+    while True:
+        stops = F.col("cap").cast("double") * F.lit(float(rest_weight)) <= F.col("weight") * F.lit(float(rest))
+        cap, gone = caps.where(stops).agg(F.coalesce(F.sum("cap"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+        if (rest, rest_weight) == (whole[0] - cap, whole[1] - gone):
+            break
+        rest, rest_weight = whole[0] - cap, whole[1] - gone
+    level = F.lit(0.0) if not rest_weight else (F.col("weight") * F.lit(rest)).cast("double") / F.lit(float(rest_weight))
+    target = F.when(stops, F.col("cap").cast("double")).otherwise(level)
     # written, so that the planner knows its size and broadcasts it only while it is small
-    return materialize(leveled.select("source", "source_size", target.alias("target")), "targets")
+    return materialize(caps.select("source", "source_size", target.alias("target")), "targets")
 
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = SEED) -> DataFrame:
