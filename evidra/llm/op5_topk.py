@@ -28,8 +28,9 @@ from .common import materialize, pick
 CELLS = 32
 #: Vectors in a block of the file, and queries in a block of queries.
 BLOCK, QUERIES = 4096, 1024
-#: Ways into which the file is dealt; each meets a copy of every block of queries.
-LANES = 32
+#: Ways into which the file is dealt, each of which meets a copy of every block of queries: so many at least, and as
+#: many more as keep a way to so many blocks.
+LANES, IN_LANE = 32, 64
 
 
 def integers(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -53,9 +54,9 @@ def grid(vectors: DataFrame, d: int, cells: int = CELLS) -> np.ndarray:
     return np.floor(lo[:, None] + (hi - lo)[:, None] * np.arange(cells + 1) / cells)
 
 
-def file(vectors: DataFrame, bounds: np.ndarray, block: int = BLOCK) -> DataFrame:
+def file(vectors: DataFrame, bounds: np.ndarray, block: int | None = None) -> DataFrame:
     """The vector-approximation file: ids, cells and exact vectors, block by block."""
-    d, cells = len(bounds), bounds.shape[1] - 1
+    d, cells, block = len(bounds), bounds.shape[1] - 1, block or BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,7 +72,7 @@ def file(vectors: DataFrame, bounds: np.ndarray, block: int = BLOCK) -> DataFram
     return materialize(vectors.select("id", "v").mapInArrow(run, "ids binary, cells binary, exact binary"), "vafile")
 
 
-def query_blocks(rows: DataFrame, d: int, size: int = QUERIES) -> DataFrame:
+def query_blocks(rows: DataFrame, d: int, lanes: int = LANES, size: int = QUERIES) -> DataFrame:
     """lane, qids, q, least: the queries (id, v, least) in blocks, one copy a lane of the file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +85,7 @@ def query_blocks(rows: DataFrame, d: int, size: int = QUERIES) -> DataFrame:
             )
 
     blocks = rows.repartition(max(1, -(-rows.count() // size)), "id").mapInArrow(run, "qids binary, q binary, least binary")
-    return blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
+    return blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
 
 
 def _integers(raw: bytes, d: int) -> np.ndarray:
@@ -154,14 +155,16 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vecto
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     vectors = vectors.where(F.size("v") == d)
     bounds = grid(vectors, d)
-    va = file(vectors, bounds).withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(LANES)).cast("int"))
+    blocks = file(vectors, bounds)
+    lanes = max(LANES, -(-blocks.count() // IN_LANE))
+    va = blocks.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
     queries = vectors.where(F.col("id") % every == 0)
-    first = query_blocks(queries.withColumn("least", F.lit(float("-inf"))), d)
+    first = query_blocks(queries.withColumn("least", F.lit(float("-inf"))), d, lanes)
     low = va.select("lane", "ids", "cells").join(first, "lane").select("ids", "cells", "qids", "q").mapInArrow(_sure(bounds, k), "query_id long, low double")
     best = Window.partitionBy("query_id").orderBy(F.desc("low"))
     kth = low.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("low").alias("least"))
     bounded = queries.join(materialize(kth, "least").groupBy("id").agg(F.min("least").alias("least")), "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-    second = query_blocks(materialize(bounded.select("id", "v", "least"), "queries"), d)
+    second = query_blocks(materialize(bounded.select("id", "v", "least"), "queries"), d, lanes)
     read = va.join(second, "lane").select("ids", "cells", "exact", "qids", "q", "least").mapInArrow(_read(bounds, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return read.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
