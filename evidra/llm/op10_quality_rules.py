@@ -6,11 +6,14 @@ beta prior fitted to the hosts themselves, and the host's verdicts are joined
 back to its documents:
 
 * a host whose shrunk rate of any rule is above ``block_rate`` is blocked:
-  none of its documents is kept;
+  its documents that fail any rule go;
 * a host whose shrunk rate of a rule is above ``watch_rate`` is watched for
   that rule: its documents that fail the rule go, its others stay;
 * elsewhere only base failures go.
 
+A document that fails no rule stays, whatever its host: the verdict settles
+how strictly a host's failures are taken, and condemns no clean document.
+
 Defined cases: a null or empty text has zero words and fails the base rule; a
 null host is one host of its own; repeated rows are judged alike, each
 counting once; an empty table gives an empty result; other columns of the
@@ -151,10 +154,10 @@ def judge(docs: DataFrame, rules: HostRules = HostRules(), host: str = "source")
     hosts = host_counts(measured)
     verdicts = host_verdicts(hosts, beta_priors(hosts, rules), rules).withColumnRenamed("host", "__host")
     joined = measured.join(verdicts, measured["host"].eqNullSafe(verdicts["__host"]), "left").drop("__host")
-    out = F.col("blocked")
+    out = F.lit(False)
     for r in RULES:
         if r != "base":
-            out = out | (F.col(f"watch_{r}") & F.col(f"{r}_failed"))
+            out = out | ((F.col("blocked") | F.col(f"watch_{r}")) & F.col(f"{r}_failed"))
     return joined.withColumn("host_failed", out).withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
 
 

@@ -92,7 +92,7 @@ WITH a AS (
   FROM rates GROUP BY source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 AS base_failed,
-  NOT f1 AND NOT (blocked OR (w2 AND f2) OR (w3 AND f3) OR (w4 AND f4)) AS kept
+  NOT f1 AND NOT ((blocked OR w2) AND f2 OR (blocked OR w3) AND f3 OR (blocked OR w4) AND f4) AS kept
 FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source
 """
 
