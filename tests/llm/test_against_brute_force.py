@@ -12,7 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from evidra.llm import editdist, op1_packing, op3_minhash, op6_html, op7_line_dedup, op9_sharding, oracles, queries
+from evidra.llm import editdist, op1_packing, op3_minhash, op4_mixing, op5_topk, op6_html, op7_line_dedup, op9_sharding, oracles, queries
 
 TABLES = "documents embeddings pages labels".split()
 
@@ -97,6 +97,46 @@ def test_quality(spark, sf):
     assert sum(g > b for g in good for b in bad) / (len(good) * len(bad)) > 0.98
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_mixing(spark, seed):
+    """Targets by sharing the excess out until nobody is above the cap; documents near them."""
+    draw = random.Random(seed)
+    names = [None, "", "a", "B", "é", "😀", *(f"s{i}" for i in range(20))]
+    size = {n: draw.choice([0, 1, 5, 5, 40, 300, 2000]) for n in names}
+    rows = [(i * 100 + k, "w " * (size[n] // 10 if k < 10 else size[n] % 10), n) for i, n in enumerate(names) for k in range(11)]
+    weight = {n: i % 3 + 1 for i, n in enumerate([*sorted(n for n in names if n is not None), None])}
+    total, free, want = sum(size.values()), set(names), {}
+    while free:
+        level = (total - sum(want.values())) / sum(weight[n] for n in free)
+        over = {n for n in free if weight[n] * level > 3 * size[n]}
+        want |= {n: 3.0 * size[n] for n in over} if over else {n: weight[n] * level for n in free}
+        free = free - over if over else set()
+    got = op4_mixing.plan_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken = Counter()
+    for r in got:
+        assert r.source_size == size[r.source] and abs(r.target - want[r.source]) < 1e-6 and 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+    assert all(abs(taken[n] - want[n]) <= size[n] // 10 * 10 + 10 for n in names)
+    mixed = Counter(r.doc_id for r in op4_mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert all(mixed[r.doc_id] == r.copies for r in got)
+
+
+def test_search_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(op5_topk, "BLOCK", 40)
+    monkeypatch.setattr(op5_topk, "LANES", 3)
+    monkeypatch.setattr(op5_topk, "IN_LANE", 2)
+    draw = np.random.default_rng(4)
+    v = np.round(draw.standard_normal((700, 6)), 1).astype(np.float32)
+    rows = [(i, [float(x) for x in v[i]]) for i in range(700)]
+    got = op5_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)).collect()
+    w = np.floor(256 * v.astype(float)).astype(int)
+    want = set()
+    for q in range(0, 700, 50):
+        best = sorted((-int(w[q] @ w[i]), i) for i in range(700) if i != q)[:5]
+        want |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
+
+
 def _near_copies(n: int = 60) -> list[tuple[int, str]]:
     """A group whose links form chains, copies, unrelated texts and texts that share a passage."""
     draw = random.Random(5)
