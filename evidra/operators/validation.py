@@ -168,7 +168,7 @@ def load_blind(spark: SparkSession, folder: str) -> DataFrame:
     """dataset, tp, tn, fp, fn of every metrics file below a folder that holds blind results; results informed by gold are left out."""
     schema = "dataset string, mode string, true_positive long, true_negative long, false_positive long, false_negative long"
     raw = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*metrics*.json").schema(schema).json(folder)
-    path = F.lower(F.input_file_name())
+    raw, path = raw.withColumn("path", F.lower(F.input_file_name())), F.col("path")
     informed = path.contains("gold_preferred") | path.contains("gold-preferred") | path.contains("retention_reproduction")
     rows = raw.where("true_positive IS NOT NULL AND dataset IS NOT NULL").withColumn("informed", informed | F.coalesce(~F.col("mode").isin(*BLIND), F.lit(False))).withColumn("best", path.contains("blind_engine_quality"))
     one = rows.where("NOT informed").groupBy("dataset").agg(F.max_by(F.struct(F.col("true_positive").alias("tp"), F.col("true_negative").alias("tn"), F.col("false_positive").alias("fp"), F.col("false_negative").alias("fn")), F.struct("best", path)).alias("m"))

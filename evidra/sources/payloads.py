@@ -188,7 +188,7 @@ def _wos_expanded(v: Column) -> dict[str, Column]:
     name = lambda n: first(text(n, "display_name"), text(n, "full_name"), text(n, "wos_standard"))
     given = many(v, "dynamic_data", "cluster_related", "identifiers", "identifier")
     # of identifiers of one kind the last counts
-    identifier = lambda *kinds: first(*[F.element_at(F.filter(texts(F.filter(given, lambda i: F.replace(F.lower(F.coalesce(text(i, "type"), F.lit(""))), F.lit(" "), F.lit("")) == k), lambda i: first(text(i, "value"), text(i, "content"))), lambda t: t.isNotNull()), -1) for k in kinds])
+    identifier = lambda *kinds: first(*[F.try_element_at(F.filter(texts(F.filter(given, lambda i: F.replace(F.lower(F.coalesce(text(i, "type"), F.lit(""))), F.lit(" "), F.lit("")) == k), lambda i: first(text(i, "value"), text(i, "content"))), lambda t: t.isNotNull()), F.lit(-1)) for k in kinds])
     # paragraphs: texts, or objects that hold their text under p or content, alone or in lists
     one = lambda x: first(plain(x), F.nullif(F.concat_ws(" ", texts(F.concat(*[many(x, k) for k in ("p", "content")]), plain)), F.lit("")))
     abstract = F.nullif(F.concat_ws(" ", texts(F.flatten(F.transform(many(v, *record, "abstracts", "abstract"), lambda a: F.when(inner(a, "abstract_text").isNotNull(), many(a, "abstract_text", "p")).otherwise(F.array(a)))), one)), F.lit(""))
