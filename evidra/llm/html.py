@@ -36,7 +36,6 @@ _NOISE = frozenset(
     copyright legal print hidden""".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog tooltip".split())
-_CONTENT = frozenset("article content main post entry story body text page wrapper container".split())
 
 
 @dataclass

@@ -13,10 +13,12 @@ through ``mix`` and are ignored by ``plan_mix``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, pick, shuffle_partitions
+from evidra.plans.ordering import numbered
+
+from .common import WORD, materialize, pick
 
 SEED = "mix-1"
 
@@ -26,13 +28,8 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def ranked(totals: DataFrame) -> DataFrame:
-    """The sources with ``rank``, 0, 1, ... by code point, null last: ranges are ordered apart, and counted."""
-    spark, by_name = totals.sparkSession, F.col("source").asc_nulls_last()
-    ranges = materialize(totals.repartitionByRange(min(200, shuffle_partitions(spark)), by_name).withColumn("part", F.spark_partition_id()), "sources")
-    sizes = {r["part"]: r["n"] for r in ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
-    before = [sum(n for p, n in sizes.items() if p < part) for part in range(max(sizes, default=0) + 1)]
-    within = F.row_number().over(Window.partitionBy("part").orderBy(by_name)) - 1
-    return ranges.select("source", "source_size", (F.array(*[F.lit(n) for n in before])[F.col("part")] + within).alias("rank"))
+    """The sources with ``rank``, 0, 1, ... by code point, null last."""
+    return numbered(totals, F.col("source").asc_nulls_last(), name="rank")
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
