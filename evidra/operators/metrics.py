@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import numbers as N
+from evidra.plans import ordering
 
 
 def confusion(predicted: Column, gold: Column) -> list[Column]:
@@ -128,6 +129,12 @@ def predicted_removals(clustered: DataFrame, prefer: str | None = None) -> DataF
     return clustered.withColumn("predicted_removed", keep > 1)
 
 
+def named_partition(clustered: DataFrame) -> DataFrame:
+    """Adds predicted_label, PRED-0000001 and so on in the order of each cluster's first record."""
+    first = ordering.numbered(clustered.groupBy("predicted").agg(F.min("idx").alias("__first")), "__first", name="__n")
+    return clustered.join(first.select("predicted", F.format_string("PRED-%07d", F.col("__n") + 1).alias("predicted_label")), "predicted")
+
+
 def removal_metrics(labelled: DataFrame, by: Iterable[str] = ()) -> DataFrame:
     """Confusion of removals; empty sensitivity, specificity and precision are 1, F1 is 0."""
     return rates(labelled.groupBy(*by).agg(*confusion(F.col("predicted_removed"), F.col("gold_removed"))), 1.0)

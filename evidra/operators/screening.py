@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidra.plans import ordering
+
 TITLE_ABSTRACT, FULL_TEXT = STAGES = ("TITLE_ABSTRACT", "FULL_TEXT")
 INCLUDE, EXCLUDE, MAYBE, NOT_SCREENED = DECISIONS = ("INCLUDE", "EXCLUDE", "MAYBE", "NOT_SCREENED")
 # The usual codes for exclusion; a review may hand in its own.
@@ -96,5 +98,5 @@ def asreview_labels(events: DataFrame) -> DataFrame:
 
 
 def numbered(events: DataFrame, *order: str) -> DataFrame:
-    """``seq`` for logs that have none, by columns that give their order; one sequence, so for imports, not for hot paths."""
-    return events.withColumn("seq", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    """``seq`` for logs that have none, by columns that give their order."""
+    return ordering.numbered(events, *order, name="seq")

@@ -527,7 +527,7 @@ def blocking_recall(spark, sf_dir):
 @query
 def ablation(spark, sf_dir):
     r = views.records(spark, sf_dir)
-    pairs = blocking.blocked_pairs(blocking.publication_keys(r).where("block_key LIKE 'title_sig%' OR block_key LIKE 'doi%'"))
+    pairs = blocking.blocked_pairs(blocking.publication_keys(r))
     made = materialize(publication.features(publication.paired(pairs, publication.prepared(r)), NATIVE).withColumn("gold", F.col("features.doi_exact") == 1.0), "features")
 
     def assess(x, weights):
@@ -549,6 +549,11 @@ def partition_metrics(spark, sf_dir):
     return m.select("records", "removed_singulars", "missed_duplicates", F.round("retention", 9).alias("retention"), F.round("duplicate_recall", 9).alias("duplicate_recall"))
 
 
+@query
+def named_partition(spark, sf_dir):
+    return metrics.named_partition(_partition(spark, sf_dir)).select("idx", "predicted_label")
+
+
 def _removal(spark, sf_dir, prefer=None):
     from pyspark.sql import Window
 

@@ -6,6 +6,7 @@ from evidra.functions import numbers as N
 from evidra.functions import text as T
 from evidra.operators import metrics
 from evidra.operators import screening as S
+from evidra.operators import study
 
 from . import catalogue, dialects
 from .views import EVENTS_SQL, RECORDS_SQL, STUDIES_SQL
@@ -288,6 +289,7 @@ ORACLES |= {
     "threshold_sweep": f"{_G}, t AS (SELECT unnest({metrics.thresholds(0.05)!r}::DOUBLE[]) AS threshold), c AS (SELECT threshold, {cm('p >= threshold', 'gold')} FROM g, t GROUP BY threshold) SELECT round(threshold, 6) AS threshold, tp, tn, fp, fn, round({div('tp', 'tp + fp', 1.0)}, 9) AS precision, round({div('tp', 'tp + fn', 0.0)}, 9) AS recall FROM c",
     "retrieval_set_metrics": f"{_G}, c AS (SELECT count(*) FILTER (gold AND p > 0.7) AS b, count(*) FILTER (gold) AS g, count(*) FILTER (p > 0.7) AS f FROM g) SELECT b AS both, g AS gold, f AS found, round({div('b', 'f', 0.0)}, 9) AS precision, round({div('b', 'g', 0.0)}, 9) AS recall, round({div('2 * b', 'g + f', 0.0)}, 9) AS f1, round({div('b', 'g + f - b', 0.0)}, 9) AS jaccard, round({div('abs(f - g)', 'g', 0.0)}, 9) AS count_error FROM c",
     "partition_metrics": f"{_PART}, a AS (SELECT sum(x) AS removed_singulars FROM (SELECT count(DISTINCT gold_group) - 1 AS x FROM d GROUP BY predicted)), b AS (SELECT sum(x) AS missed_duplicates, count(*) AS gp FROM (SELECT count(DISTINCT predicted) - 1 AS x FROM d GROUP BY gold_group)), n AS (SELECT count(*) AS records FROM d) SELECT records, CAST(removed_singulars AS BIGINT) AS removed_singulars, CAST(missed_duplicates AS BIGINT) AS missed_duplicates, round(1 - {div('removed_singulars', 'gp', 0.0)}, 9) AS retention, round(1 - {div('missed_duplicates', 'records - gp', 0.0)}, 9) AS duplicate_recall FROM a, b, n",
+    "named_partition": f"{_PART}, f AS (SELECT predicted, min(idx) AS f FROM d GROUP BY predicted), n AS (SELECT predicted, row_number() OVER (ORDER BY f) AS n FROM f) SELECT idx, 'PRED-' || lpad(CAST(n AS VARCHAR), 7, '0') AS predicted_label FROM d JOIN n USING (predicted)",
     "removal_metrics": f"{_REM}, c AS (SELECT {cm('blind', 'gold_removed')} FROM r) SELECT tp, tn, fp, fn, round({_SENS}, 9) AS sensitivity, round({div('tn', 'tn + fp', 1.0)}, 9) AS specificity, round({_F1}, 9) AS f1 FROM c",
     "retention_modes": f"{_REM} SELECT 'blind' AS mode, {cm('blind', 'gold_removed')} FROM r UNION ALL SELECT 'gold_preferred', {cm('pref', 'gold_removed')} FROM r",
     "percent_contract": f"{_REM}, c AS (SELECT {cm('blind', 'gold_removed')} FROM r) SELECT round({div('100 * tp', 'tp + fn', 100.0)}, 7) AS sensitivity, round({div('100 * tn', 'tn + fp', 100.0)}, 7) AS specificity FROM c",
@@ -298,3 +300,69 @@ ORACLES |= {
     "windowed_events": "SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
     "session_events": "WITH a AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a), c AS (SELECT user_id, s, count(*) AS n FROM b GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id",
 }
+
+
+# a flow's checks, and record formats
+
+_SUM = "coalesce(sum(count) FILTER (category = '{0}'), 0)"
+_OF = "coalesce(max(count) FILTER (label = '{0}'), 0)"
+_STAGES = ("records_screened", "records_excluded", "reports_sought_for_retrieval", "reports_not_retrieved", "reports_assessed_for_eligibility", "reports_included")
+_CHECKS = {
+    **{f"{c} is negative": f"{c} < 0" for c in ("duplicates_removed", *_STAGES)},
+    "more duplicates than records": "duplicates_removed > total",
+    "more screened than left after removals": "records_screened > greatest(0, total - duplicates_removed)",
+    "more excluded than screened": "records_excluded > records_screened",
+    "sought is not screened less excluded": "records_screened <> 0 AND reports_sought_for_retrieval <> records_screened - records_excluded",
+    "more not retrieved than sought": "reports_not_retrieved > reports_sought_for_retrieval",
+    "assessed is not sought less not retrieved": "reports_assessed_for_eligibility <> reports_sought_for_retrieval - reports_not_retrieved",
+    "more outcomes than assessed": "reasons + reports_included > reports_assessed_for_eligibility",
+    "assessed without outcome": "reports_assessed_for_eligibility <> 0 AND reasons + reports_included < reports_assessed_for_eligibility",
+}
+_WHITE = r"[ \t\n\x0B\f\r]+"
+
+
+def squeezed(x: str) -> str:
+    return f"nullif(trim(regexp_replace({x}, '{_WHITE}', ' ', 'g')), '')"
+
+
+def tag(name: str, x: str) -> str:
+    return f"'{name}  - ' || {squeezed(x)}"
+
+
+_RECORD_ID = ORACLES["stable_record_id"].split("SELECT idx, ")[1].split(" AS record_id")[0]
+_KIND = "CASE WHEN contains(kind, 'conference') THEN 'CONF' WHEN contains(kind, 'book') THEN 'BOOK' ELSE 'JOUR' END"
+_LINES = ", ".join([
+    tag("TY", _KIND), tag("ID", _RECORD_ID), tag("TI", "title"), f"array_to_string(list_filter(list_transform(authors, lambda a: {tag('AU', 'a')}), lambda l: l IS NOT NULL), chr(10))", tag("PY", "CAST(year AS VARCHAR)"), tag("JO", "journal"), tag("AB", "abstract"), tag("DO", "doi"),
+    tag("UR", "'https://doi.org/' || doi"), tag("AN", "'PMID:' || pmid"), tag("N1", "'source:' || source"), "'ER  -' || chr(10) || chr(10)",
+])
+
+
+def bibtex(name: str, x: str) -> str:
+    escaped = f"replace(nullif({x}, ''), chr(92), chr(92) || 'textbackslash{{}}')"
+    return f"'  {name} = {{' || regexp_replace(regexp_replace({escaped}, '([{{}}#%&_])', '\\\\\\1', 'g'), '[\\n\\r]', ' ', 'g') || '}}'"
+
+
+_NAME = "regexp_extract(authors[1], '[A-Za-zÀ-ÿ0-9]+', 0)"
+_KEY = f"regexp_replace(CASE WHEN {_NAME} = '' THEN 'record' ELSE lower({_NAME}) END || coalesce(CAST(year AS VARCHAR), 'nd') || '_' || CAST(idx + 1 AS VARCHAR), '[^a-zA-Z0-9:_-]+', '', 'g')"
+_FIELDS = ", ".join(bibtex(k, x) for k, x in (("title", "title"), ("author", "array_to_string(authors, ' and ')"), ("journal", "journal"), ("year", "CAST(year AS VARCHAR)"), ("doi", "doi"), ("abstract", "abstract")))
+ORACLES |= {
+    "prisma_checks": f"{_FLOW}, x AS (SELECT {_SUM.format('database')} AS total, {_SUM.format('reason')} AS reasons, {', '.join(f'{_OF.format(c)} AS {c}' for c in ('duplicates_removed', *_STAGES))} FROM flow) " + " UNION ALL ".join(f"SELECT '{k}' AS check, {v} AS failed FROM x" for k, v in _CHECKS.items()).replace(" AS check,", ' AS "check",'),
+    "ris_lines": f"{R} SELECT idx, md5(array_to_string(list_filter([{_LINES}], lambda l: l <> ''), chr(10))) AS ris FROM records",
+    "bibtex_lines": f"{R} SELECT idx, md5('@article{{' || {_KEY} || ',' || chr(10) || array_to_string(list_filter([{_FIELDS}], lambda l: l IS NOT NULL), ',' || chr(10)) || chr(10) || '}}' || chr(10) || chr(10)) AS bibtex FROM records",
+}
+
+# families, by components: no union is refused among the views' studies, whose registrations never clash inside a component
+
+_FAMILIES = f"""{_SF}, ac AS (SELECT left_index AS a, right_index AS b FROM sd WHERE decision = 'SAME_STUDY'), ab AS (SELECT a, b FROM ac UNION SELECT b, a FROM ac
+), sr(a, b) AS (SELECT a, a FROM ab UNION SELECT sr.a, ab.b FROM sr JOIN ab ON ab.a = sr.b
+), cp AS (SELECT a AS node, min(b) AS family FROM sr GROUP BY a
+), fm AS (SELECT sp.*, coalesce(family, idx) AS family FROM sp LEFT JOIN cp ON node = idx
+), fs AS (SELECT family, list_sort(list(idx)) AS m, list_sort(list_distinct(flatten(list(ids)))) AS r, count(*) FILTER (role IN {tuple(study.OUTCOME_ROLES)!r}) AS o FROM fm GROUP BY family)"""
+_ABLATED = """(VALUES ('<none>', 10::DOUBLE, 2.2::DOUBLE, 2::DOUBLE), ('doi_exact', 0, 2.2, 2), ('title_token_jaccard', 10, 0, 2), ('author_similarity', 10, 2.2, 0)) w(ablated, w1, w2, w3)"""
+_WEIGHED = EDGES.replace("10 * doi_exact", "w1 * doi_exact").replace("2.2 * tj", "w2 * tj").replace("2.0 * au", "w3 * au").replace(" AS z FROM f\n", f" AS z FROM f, {_ABLATED}\n")
+ORACLES |= {
+    "study_families": f"{_FAMILIES} SELECT 'STUDY-' || upper(substr(sha1('registry|' || array_to_string(r, '|')), 1, 12)) AS study_id, array_to_string(m, ',') AS members, array_to_string(r, ',') AS registrations FROM fs",
+    "study_gate": f"{_FAMILIES} SELECT a AS left_index, b AS right_index, false AS refused, family FROM ac JOIN cp ON node = a",
+    "double_counting_risk": f"{_FAMILIES} SELECT CASE WHEN o >= 2 THEN 'HIGH' ELSE 'REVIEW' END AS severity, count(*) AS families FROM fs WHERE o >= 2 OR len(m) >= 2 GROUP BY 1",
+    "ablation": f"{_WEIGHED} SELECT ablated, {cm('probability >= 0.985', '(doi_exact = 1)')} FROM g GROUP BY ablated",
+}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import numbers as N
 from evidra.functions import text as T
+from evidra.plans import ordering
 
 #: What a column of a gold file may be called, after lower-casing and dropping all but letters and digits.
 HEADERS = {
@@ -105,14 +106,11 @@ def verify(found: DataFrame, lock: DataFrame) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """A delimited file as text columns, with ``idx`` in the order of the file.
-
-    The order is that of one file's rows, so such files are read as one split.
-    """
+    """A delimited file as text columns, with ``idx`` in the order of the file."""
     sep = sep or ("\t" if path.lower().endswith((".tsv", ".txt")) else ",")
     raw = spark.read.option("header", True).option("multiLine", True).option("sep", sep).option("quote", '"').option("escape", '"').option("encoding", encoding).csv(path)
     rows = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
-    return rows.withColumn("idx", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long") - 1)
+    return ordering.numbered(rows.withColumn("__at", F.monotonically_increasing_id()), "__at").drop("__at")
 
 
 def _named(rows: DataFrame, given: dict[str, str]) -> dict[str, str | None]:
@@ -195,8 +193,7 @@ def read_endnote(spark: SparkSession, path: str) -> DataFrame:
 
 def numbered(records: DataFrame) -> DataFrame:
     """One file's records with what gold records have: idx in the file's order, all columns, ids apart, groups of one."""
-    order = Window.orderBy(F.monotonically_increasing_id())  # the order of one file, so one sequence
-    rows = records.withColumn("idx", F.row_number().over(order).cast("long") - 1)
+    rows = ordering.numbered(records.withColumn("__at", F.monotonically_increasing_id()), "__at").drop("__at")
     facts = [c for c in ("volume", "issue", "pages", "accession") if c in rows.columns]
     if "metadata" not in rows.columns:
         meta = F.create_map(*[x for c in facts for x in (F.lit(c), F.col(c).cast("string"))]) if facts else F.create_map().cast("map<string,string>")
