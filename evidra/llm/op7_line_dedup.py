@@ -247,8 +247,9 @@ def near_links(docs: DataFrame, repeated: DataFrame, edits: int = EDITS, min_cha
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = materialize(members.join(sizes, "key"), "members")
     wanted = materialize(members.select("h1", "h2").distinct(), "wanted")
-    texts = line_texts(docs, min_chars, filter_bits(wanted, "h1")).join(wanted, ["h1", "h2"], "left_semi")
-    lines = materialize(texts.groupBy("h1", "h2").agg(first.alias("f")).select("h1", "h2", "f.doc", "f.line", "f.text"), "lines")
+    # brought to one copy where they are read, before they are moved
+    texts = line_texts(docs, min_chars, filter_bits(wanted, "h1")).groupBy("h1", "h2").agg(first.alias("f"))
+    lines = materialize(texts.join(wanted, ["h1", "h2"], "left_semi").select("h1", "h2", "f.doc", "f.line", "f.text"), "lines")
 
     few = members.where(F.col("m") <= FEW).select("key", "h1", "h2")
     other = few.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"))
