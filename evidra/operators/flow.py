@@ -54,33 +54,54 @@ def studies_included(events: DataFrame, families: DataFrame, ids: DataFrame) ->
     return n.join(found.agg(F.count(F.lit(1)).alias("reports"))).select(F.when(F.col("reports") > 0, F.col("n")).alias("studies_included"))
 
 
-def flow(identified: DataFrame, duplicates_removed: DataFrame, events: DataFrame) -> DataFrame:
-    """Long form (category, label, count): identified a database, duplicates, stages, reasons.
+REMOVALS = ("duplicates_removed", "automation_removed_before_screening", "other_removed_before_screening")
 
-    identified: source, records; duplicates_removed: one row with that column.
+
+def flow(
+    identified: DataFrame, duplicates_removed: DataFrame, events: DataFrame, registers: dict[str, int] | None = None, other_sources: dict[str, int] | None = None, automation_removed: int = 0, other_removed: int = 0,
+    studies: DataFrame | None = None, not_retrieved: DataFrame | None = None,
+) -> DataFrame:
+    """Long form (category, label, count): identified a database, removed, stages, reasons.
+
+    identified: source, records; duplicates_removed: one row with that column;
+    studies: one row with ``studies_included``, as that function gives it, and
+    no row here if it is null; not_retrieved: record_ids that could not be had.
     """
-    counts = stage_counts(events)
+    spark = events.sparkSession
+    counts = stage_counts(events, not_retrieved)
     stages = counts.select(F.explode(F.array(*[F.struct(F.lit("stage").alias("category"), F.lit(c).alias("label"), F.col(c).alias("count")) for c in STAGE_COUNTS])).alias("s")).select("s.*")
     databases = identified.groupBy(database_name(F.col("source")).alias("label")).agg(F.sum("records").alias("count")).select(F.lit("database").alias("category"), "label", "count")
     removed = duplicates_removed.select(F.lit("removed").alias("category"), F.lit("duplicates_removed").alias("label"), F.col("duplicates_removed").cast("long").alias("count"))
-    reasons = exclusion_reasons(events).select(F.lit("reason").alias("category"), F.col("reason").alias("label"), F.col("reports").alias("count"))
-    return databases.union(removed).union(stages).union(reasons)
+    reasons = exclusion_reasons(events, not_retrieved).select(F.lit("reason").alias("category"), F.col("reason").alias("label"), F.col("reports").alias("count"))
+    said = [("register", k, n) for k, n in (registers or {}).items()] + [("other_source", k, n) for k, n in (other_sources or {}).items()] + [("removed", k, n) for k, n in zip(REMOVALS[1:], (automation_removed, other_removed), strict=True) if n]
+    out = databases.union(removed).union(stages).union(reasons)
+    if said:
+        out = out.union(spark.createDataFrame(said, "category string, label string, count long"))
+    if studies is not None:
+        out = out.union(studies.where("studies_included IS NOT NULL").select(F.lit("included"), F.lit("studies_included"), F.col("studies_included").cast("long")))
+    return out
+
+
+IDENTIFIED = ("database", "register", "other_source")
 
 
 def derived(flows: DataFrame) -> DataFrame:
-    """One row: the sums that follow from a flow, and its stage counts as columns."""
-    of = lambda label: F.coalesce(F.max(F.when(F.col("label") == label, F.col("count"))), F.lit(0))
-    total = lambda category: F.coalesce(F.sum(F.when(F.col("category") == category, F.col("count"))), F.lit(0))
-    sums = flows.agg(total("database").alias("total_identified"), of("duplicates_removed").alias("duplicates_removed"), *[of(c).alias(c) for c in STAGE_COUNTS], total("reason").alias("reports_excluded_total"))
-    return sums.withColumn("records_after_removals", F.greatest(F.lit(0), F.col("total_identified") - F.col("duplicates_removed")))
+    """One row: the sums that follow from a flow, and its counts as columns; studies_included is null if it is not known."""
+    some = lambda label: F.max(F.when(F.col("label") == label, F.col("count")))
+    of = lambda label: F.coalesce(some(label), F.lit(0))
+    total = lambda *categories: F.coalesce(F.sum(F.when(F.col("category").isin(*categories), F.col("count"))), F.lit(0))
+    sums = flows.agg(
+        total(*IDENTIFIED).alias("total_identified"), *[total(c).alias(f"identified_{c}") for c in IDENTIFIED], *[of(c).alias(c) for c in (*REMOVALS, *STAGE_COUNTS)], total("reason").alias("reports_excluded_total"), some("studies_included").alias("studies_included"),
+    )
+    return sums.withColumn("records_after_removals", F.greatest(F.lit(0), F.col("total_identified") - sum((F.col(c) for c in REMOVALS), F.lit(0))))
 
 
 def checks(flows: DataFrame) -> DataFrame:
     """check, failed: the relations that a finished flow keeps."""
-    x = {c: F.col(c) for c in ("total_identified", "duplicates_removed", "records_after_removals", "reports_excluded_total", *STAGE_COUNTS)}
+    x = {c: F.col(c) for c in ("total_identified", "records_after_removals", "reports_excluded_total", "studies_included", *REMOVALS, *STAGE_COUNTS)}
     resolved = x["reports_excluded_total"] + x["reports_included"]
     rules = {
-        **{f"{c} is negative": x[c] < 0 for c in ("duplicates_removed", *STAGE_COUNTS)},
+        **{f"{c} is negative": x[c] < 0 for c in (*REMOVALS, *STAGE_COUNTS)},
         "more duplicates than records": x["duplicates_removed"] > x["total_identified"],
         "more screened than left after removals": x["records_screened"] > x["records_after_removals"],
         "more excluded than screened": x["records_excluded"] > x["records_screened"],
@@ -89,5 +110,6 @@ def checks(flows: DataFrame) -> DataFrame:
         "assessed is not sought less not retrieved": x["reports_assessed_for_eligibility"] != x["reports_sought_for_retrieval"] - x["reports_not_retrieved"],
         "more outcomes than assessed": resolved > x["reports_assessed_for_eligibility"],
         "assessed without outcome": (x["reports_assessed_for_eligibility"] != 0) & (resolved < x["reports_assessed_for_eligibility"]),
+        "more studies than reports": F.coalesce(x["studies_included"] > x["reports_included"], F.lit(False)),
     }
     return derived(flows).select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("failed")) for k, v in rules.items()])).alias("c")).select("c.*")

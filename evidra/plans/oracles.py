@@ -309,6 +309,7 @@ _OF = "coalesce(max(count) FILTER (label = '{0}'), 0)"
 _STAGES = ("records_screened", "records_excluded", "reports_sought_for_retrieval", "reports_not_retrieved", "reports_assessed_for_eligibility", "reports_included")
 _CHECKS = {
     **{f"{c} is negative": f"{c} < 0" for c in ("duplicates_removed", *_STAGES)},
+    **{f"{c}_removed_before_screening is negative": "false" for c in ("automation", "other")},
     "more duplicates than records": "duplicates_removed > total",
     "more screened than left after removals": "records_screened > greatest(0, total - duplicates_removed)",
     "more excluded than screened": "records_excluded > records_screened",
@@ -317,6 +318,7 @@ _CHECKS = {
     "assessed is not sought less not retrieved": "reports_assessed_for_eligibility <> reports_sought_for_retrieval - reports_not_retrieved",
     "more outcomes than assessed": "reasons + reports_included > reports_assessed_for_eligibility",
     "assessed without outcome": "reports_assessed_for_eligibility <> 0 AND reasons + reports_included < reports_assessed_for_eligibility",
+    "more studies than reports": "false",
 }
 _WHITE = r"[ \t\n\x0B\f\r]+"
 
