@@ -236,32 +236,37 @@ MERGED = ("doi", *IDENTIFIERS, "abstract", "journal", "year")
 def merged(records: DataFrame, clustered: DataFrame) -> DataFrame:
     """One record a cluster: the representative, gaps filled from the others in order, differing values kept aside.
 
-    Values meet in arrays that are as long as a cluster has members; clusters
-    are publications, so those are few.
+    Records that merge with nothing pass through.  In the others, hits, facts
+    and values are first brought to one of a kind, with the place of the first
+    member that has it, so that many members that say the same meet in no
+    array; only what differs and the list of members are gathered.
     """
-    both = records.join(clustered, "idx").withColumn("ord", F.when(F.col("idx") == F.col("representative_index"), F.lit(-1).cast("long")).otherwise(F.col("idx")))
+    both = records.join(clustered, "idx")
+    alone = both.where("cluster_size = 1").select("idx", "title", "authors", *MERGED, "source_hits", "metadata", F.expr("CAST(map() AS map<string,array<string>>)").alias("conflicts"), "cluster_size", F.array("idx").alias("cluster_members"))
+    many = both.where("cluster_size > 1").withColumn("ord", F.when(F.col("idx") == F.col("representative_index"), F.lit(-1).cast("long")).otherwise(F.col("idx")))
     some = lambda c: F.col(c).isNotNull() & (F.col(c).cast("string") != "")
     first = lambda c, when: F.min_by(c, F.when(when, F.col("ord")))
-    values = lambda c: F.transform(F.array_sort(F.collect_list(F.when(some(c), F.struct("ord", F.col(c).cast("string").alias("v"))))), lambda s: s["v"])
-    full = F.size("authors") > 0
-    out = both.groupBy("cluster_id").agg(
-        F.first("representative_index").alias("idx"),
-        F.first("cluster_size").alias("cluster_size"),
-        F.array_sort(F.collect_list("idx")).alias("cluster_members"),
-        first("title", F.lit(True)).alias("title"),
-        F.coalesce(first("authors", full), first("authors", F.lit(True))).alias("authors"),
-        *[F.coalesce(first(c, some(c)), first(c, F.lit(True))).alias(c) for c in MERGED],
-        F.array_sort(F.collect_list(F.struct("ord", "source_hits"))).alias("h"),
-        F.array_sort(F.collect_list(F.struct("ord", F.map_entries("metadata").alias("m")))).alias("m"),
-        *[F.array_distinct(values(c)).alias(f"v_{c}") for c in MERGED],
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(full, F.struct("ord", F.array_join("authors", "; ").alias("v"))))), lambda s: s["v"])).alias("v_authors"),
-    )
-    hits = F.flatten(F.transform("h", lambda s: F.coalesce(s["source_hits"], F.array().cast(records.schema["source_hits"].dataType))))
-    seen = F.aggregate(hits, F.slice(hits, 1, 0), lambda acc, h: F.when(F.exists(acc, lambda a: a["source"].eqNullSafe(h["source"]) & a["source_id"].eqNullSafe(h["source_id"])), acc).otherwise(F.concat(acc, F.array(h))))
-    entries = F.flatten(F.transform("m", lambda s: F.coalesce(s["m"], F.array().cast("array<struct<key:string,value:string>>"))))
-    kept = F.aggregate(entries, F.slice(entries, 1, 0), lambda acc, e: F.when(F.exists(acc, lambda a: a["key"] == e["key"]), acc).otherwise(F.concat(acc, F.array(e))))
-    differing = F.filter(F.array(*[F.struct(F.lit(c).alias("key"), F.col(f"v_{c}").alias("value")) for c in (*MERGED, "authors")]), lambda s: F.size(s["value"]) > 1)
-    return out.select("idx", "title", "authors", *MERGED, seen.alias("source_hits"), F.map_from_entries(kept).alias("metadata"), F.map_from_entries(differing).alias("conflicts"), "cluster_size", "cluster_members")
+    full, own = F.coalesce(F.size("authors") > 0, F.lit(False)), F.col("ord") == -1
+    base = many.groupBy("cluster_id").agg(
+        F.first("representative_index").alias("idx"), F.first("cluster_size").alias("cluster_size"), F.array_sort(F.collect_list("idx")).alias("cluster_members"), first("title", own).alias("title"),
+        F.coalesce(first("authors", full), first("authors", own)).alias("authors"), *[F.coalesce(first(c, some(c)), first(c, own)).alias(c) for c in MERGED], first("source_hits", own).alias("own_hits"),
+    )
+    hit = many.select("cluster_id", "ord", F.posexplode("source_hits").alias("pos", "hit"))
+    hits = hit.groupBy("cluster_id", F.col("hit.source").alias("s"), F.col("hit.source_id").alias("i")).agg(F.min(F.struct("ord", "pos", "hit")).alias("h")).where("h.ord >= 0")
+    hits = hits.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list("h")), lambda h: h["hit"]).alias("other_hits"))
+    fact = many.select("cluster_id", "ord", F.posexplode("metadata").alias("pos", "key", "value"))
+    facts = fact.groupBy("cluster_id", "key").agg(F.min(F.struct("ord", "pos", "value")).alias("f")).groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("f.ord", "f.pos", "key", "f.value"))).alias("f"))
+    facts = facts.select("cluster_id", F.map_from_entries(F.transform("f", lambda f: F.struct(f["key"], f["value"]))).alias("metadata"))
+    shown = [F.when(some(c), F.struct(F.lit(i).alias("no"), F.lit(c).alias("field"), F.col(c).cast("string").alias("value"))) for i, c in enumerate(MERGED)]
+    shown.append(F.when(full, F.struct(F.lit(len(MERGED)).alias("no"), F.lit("authors").alias("field"), F.array_join("authors", "; ").alias("value"))))
+    value = many.select("cluster_id", "ord", F.explode(F.array(*shown)).alias("v")).where("v IS NOT NULL").select("cluster_id", "ord", "v.*")
+    kinds = value.groupBy("cluster_id", "no", "field", "value").agg(F.min("ord").alias("ord")).groupBy("cluster_id", "no", "field").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("ord", "value"))).alias("v")).where("n > 1")
+    differing = kinds.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("no", "field", F.transform("v", lambda x: x["value"]).alias("values")))).alias("d"))
+    differing = differing.select("cluster_id", F.map_from_entries(F.transform("d", lambda d: F.struct(d["field"], d["values"]))).alias("conflicts"))
+    whole = base.join(hits, "cluster_id", "left").join(facts, "cluster_id", "left").join(differing, "cluster_id", "left")
+    merged_hits = F.when(F.col("other_hits").isNull(), F.col("own_hits")).otherwise(F.concat(F.coalesce("own_hits", F.array().cast(records.schema["source_hits"].dataType)), "other_hits"))
+    columns = [F.coalesce("metadata", F.expr("CAST(map() AS map<string,string>)")).alias("metadata"), F.coalesce("conflicts", F.expr("CAST(map() AS map<string,array<string>>)")).alias("conflicts"), "cluster_size", "cluster_members"]
+    return alone.unionByName(whole.select("idx", "title", "authors", *MERGED, merged_hits.alias("source_hits"), *columns))
 
 
 @dataclass
