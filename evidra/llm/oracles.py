@@ -97,6 +97,32 @@ FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source
 """
 
 
+OP3 = f"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents
+), s AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+), k AS (
+  SELECT r, doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS id, s FROM s
+), c AS (
+  SELECT min(doc_id) AS cls, any_value(n) AS n, id, any_value(s) AS s FROM k WHERE n > 0 AND doc_id IS NOT NULL GROUP BY id
+), x AS (
+  SELECT cls, n, unnest(s) AS g FROM c
+), p AS (
+  SELECT a.cls AS a, b.cls AS b FROM x a JOIN x b ON a.g = b.g AND a.cls < b.cls GROUP BY a.cls, b.cls, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), e AS (
+  SELECT a, b FROM p UNION SELECT b, a FROM p
+), reach(a, b) AS (
+  SELECT a, a FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b
+), m AS (
+  SELECT a AS cls, min(b) AS component FROM reach GROUP BY a
+)
+SELECT k.doc_id, CAST(k.n AS BIGINT) AS n_shingles, CASE WHEN k.n > 0 THEN coalesce(m.component, c.cls) ELSE k.doc_id END AS component_id,
+  coalesce(k.doc_id = CASE WHEN k.n > 0 THEN coalesce(m.component, c.cls) ELSE k.doc_id END, true) AS kept
+FROM k LEFT JOIN c ON c.id = k.id AND k.n > 0 AND k.doc_id IS NOT NULL LEFT JOIN m ON m.cls = c.cls
+"""
+
 OP5 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -112,6 +138,37 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+#: Each sign of the corpus is one byte here, as the distance counts bytes; beyond 120 signs the query stops.
+OP7 = rf"""
+WITH d AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents
+), o AS (
+  SELECT doc_id, unnest(range(len(l))) AS no, trim(unnest(l), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM d
+), t AS (
+  SELECT doc_id, no, x FROM o WHERE length(x) >= 32
+), f AS (
+  SELECT x, min({{'d': doc_id, 'n': no}}) AS spot FROM t GROUP BY x
+), signs AS (
+  SELECT c, row_number() OVER (ORDER BY c) AS i FROM (SELECT DISTINCT unnest(string_split(x, '')) AS c FROM f)
+), plain AS (
+  SELECT x, string_agg(CASE WHEN i > 120 THEN error('more than 120 signs') ELSE chr(CAST(i AS INTEGER)) END, '' ORDER BY p) AS b, count(*) AS n
+  FROM (SELECT x, unnest(string_split(x, '')) AS c, unnest(range(length(x))) AS p FROM f) JOIN signs USING (c) GROUP BY x
+), g AS (
+  SELECT f.x, spot, b, n FROM f JOIN plain USING (x)
+), near AS (
+  SELECT DISTINCT later.x FROM g later JOIN (SELECT *, unnest([-2, -1, 0, 1, 2]) AS k FROM g) first ON later.n = first.n + first.k
+  WHERE first.spot < later.spot AND levenshtein(later.b, first.b) <= 2
+), gone AS (
+  SELECT t.doc_id, list(t.no) AS gone FROM t JOIN f USING (x) LEFT JOIN near USING (x)
+  WHERE near.x IS NOT NULL OR f.spot <> {{'d': t.doc_id, 'n': t.no}} GROUP BY t.doc_id
+), r AS (
+  SELECT d.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+    CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(len(l)), lambda i: NOT list_contains(gone, i)), lambda i: l[i + 1]), chr(10)) END AS text
+  FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id
+)
+SELECT doc_id, n_lines, n_removed, text FROM r WHERE n_removed = 0 OR regexp_matches(text, '{WORD}')
+"""
+
 OP8 = """
 WITH p AS (
   SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
@@ -124,4 +181,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing_sources": OP4, "op5_va_file_top_k": OP5, "op8_warc_captures": OP8, "op9_shard_lookup": OP9, "op10_host_rules": OP10}
+    return {"op3_minhash_dedup": OP3, "op4_mixing_sources": OP4, "op5_va_file_top_k": OP5, "op7_line_dedup_join": OP7, "op8_warc_captures": OP8, "op9_shard_lookup": OP9, "op10_host_rules": OP10}
