@@ -70,13 +70,21 @@ def bloom_filter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return bloom_flag(df, key, wanted, "__hit").where("__hit").drop("__hit")
 
 
+#: Sixteen bits a key, between these numbers of words: the filter of Python code takes 32 MB at most.
+LEAST_WORDS, MOST_WORDS = 1 << 12, 1 << 22
+
+
 def filter_bits(wanted: DataFrame, hashed: str) -> np.ndarray:
-    """The filter's words for a column that holds hashes already, for Python on the executors.
+    """The filter's words for a column of a written table that holds hashes already, for Python on the executors.
 
-    At most ``FILTER_WORDS`` rows reach the driver, whatever the input.
+    It grows with the keys up to ``MOST_WORDS``, which is also the number of
+    rows that reach the driver at most.
     """
-    words = wanted.select(F.expr(f"CAST(`{hashed}` & {FILTER_WORDS - 1}L AS INT)").alias("w"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(`{hashed}`, 58) AS INT))").alias("bit"))
-    bits = np.zeros(FILTER_WORDS, np.int64)
+    n, size = wanted.count(), LEAST_WORDS
+    while size < MOST_WORDS and 4 * size < n:
+        size *= 2
+    words = wanted.select(F.expr(f"CAST(`{hashed}` & {size - 1}L AS INT)").alias("w"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(`{hashed}`, 58) AS INT))").alias("bit"))
+    bits = np.zeros(size, np.int64)
     for batch in words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
         bits[batch.column("w").to_numpy()] = batch.column("bits").to_numpy()
     return bits.view(np.uint64)

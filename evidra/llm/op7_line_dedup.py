@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_WORDS, WORD, bloom_filter, bloom_flag, filter_bits, let, materialize, pick
+from .common import WORD, bloom_filter, bloom_flag, filter_bits, let, materialize, pick
 from .editdist import distance_within
 
 EDITS = 2
@@ -108,7 +108,7 @@ _ID = [_hashed("h1"), _hashed("h2")]
 
 
 def _may_hold(bits: np.ndarray | None, h: int) -> bool:
-    return bits is not None and bool(int(bits[h & (FILTER_WORDS - 1)]) >> (h >> 58) & 1)
+    return bits is not None and bool(int(bits[h & (len(bits) - 1)]) >> (h >> 58) & 1)
 
 
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -177,7 +177,7 @@ def keyed_lines(texts: DataFrame, edits: int, min_chars: int, only: np.ndarray,
         def held() -> pa.RecordBatch:
             keys, ids = np.array(rows.columns[0], np.uint64), np.array(owners, np.uint64).view(np.int64).reshape(-1, 2)
             ids = np.repeat(ids, np.array(counts, np.int64), 0)
-            keep = (only[(keys & np.uint64(FILTER_WORDS - 1)).astype(np.int64)] >> (keys >> np.uint64(58)) & np.uint64(1)).astype(bool)
+            keep = (only[(keys & np.uint64(len(only) - 1)).astype(np.int64)] >> (keys >> np.uint64(58)) & np.uint64(1)).astype(bool)
             rows.columns[0].clear()
             owners.clear()
             counts.clear()
