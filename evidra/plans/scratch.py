@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def scratch(spark: SparkSession) -> str:
@@ -21,12 +24,16 @@ def scratch(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="evidra-")
+        folder = tempfile.mkdtemp(prefix="evidra-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL[app] = "file://" + folder
     return _LOCAL[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch(spark)}/evidra-{label}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/evidra-{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
@@ -49,3 +56,12 @@ def drop_scratch(df: DataFrame) -> None:
         if "/evidra-" in path and root.split(":", 1)[-1].lstrip("/") in path:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete whatever this application has written below the shared folder; its results must have been read or kept by now."""
+    jvm, made = spark._jvm, _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(made)
