@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from datetime import UTC, datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.plans import ordering
@@ -100,3 +103,43 @@ def asreview_labels(events: DataFrame) -> DataFrame:
 def numbered(events: DataFrame, *order: str) -> DataFrame:
     """``seq`` for logs that have none, by columns that give their order."""
     return ordering.numbered(events, *order, name="seq")
+
+
+EVENTS = "seq long, event_id string, record_id string, stage string, decision string, reviewer string, timestamp string, reason_code string, reason_text string, note string, adjudication boolean, metadata map<string,string>"
+
+
+def event(record_id: str, decision: str, stage: str = TITLE_ABSTRACT, reviewer: str = "reviewer-1", **more) -> dict:
+    """One event to append; ``more`` may name any other column of the ledger."""
+    fresh = {"event_id": str(uuid.uuid4()), "timestamp": datetime.now(UTC).isoformat(), "adjudication": False, "metadata": {}}
+    return fresh | {"record_id": record_id, "stage": stage, "decision": decision, "reviewer": reviewer.strip()} | more
+
+
+def adjudication(record_id: str, decision: str, stage: str, reviewer: str = "adjudicator", **more) -> dict:
+    return event(record_id, decision, stage, reviewer, adjudication=True, **more)
+
+
+def ledger(spark: SparkSession) -> DataFrame:
+    """A ledger without events."""
+    return spark.createDataFrame([], EVENTS)
+
+
+def append(events: DataFrame, fresh: list[dict], **rules) -> DataFrame:
+    """The ledger with a few events more, numbered after those it has; raises if one of them breaks a rule."""
+    last = events.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
+    names = [c.split()[0] for c in EVENTS.split(", ")]
+    rows = [tuple((e | {"seq": last + 1 + i}).get(n) for n in names) for i, e in enumerate(fresh)]
+    new = events.sparkSession.createDataFrame(rows, EVENTS)
+    if bad := rejected(new, **rules).select("record_id", "problems").collect():
+        raise ValueError(f"events break the rules: {[(r['record_id'], r['problems']) for r in bad]}")
+    return events.unionByName(accepted(new, **rules), allowMissingColumns=True)
+
+
+def events_for(events: DataFrame, record_id: str, stage: str | None = None) -> DataFrame:
+    found = events.where(F.col("record_id") == record_id)
+    return found if stage is None else found.where(F.col("stage") == stage)
+
+
+def final_decision(events: DataFrame, record_id: str, stage: str) -> str | None:
+    """The decision that holds for one record, NOT_SCREENED while reviewers differ, null without events."""
+    row = state(events_for(events, record_id, stage)).first()
+    return row["decision"] if row else None

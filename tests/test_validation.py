@@ -107,6 +107,17 @@ def test_stream_and_batch_agree(spark, tmp_path):
     assert once.count() == 1
 
 
+def test_appending(spark):
+    log = screening.append(screening.ledger(spark), [screening.event("R1", "INCLUDE"), screening.event("R1", "EXCLUDE", reviewer=" b ")])
+    assert screening.final_decision(log, "R1", "TITLE_ABSTRACT") == "NOT_SCREENED" and screening.final_decision(log, "R2", "TITLE_ABSTRACT") is None
+    log = screening.append(log, [screening.adjudication("R1", "EXCLUDE", "TITLE_ABSTRACT", reason_code="other")])
+    assert screening.final_decision(log, "R1", "TITLE_ABSTRACT") == "EXCLUDE"
+    assert [(r.seq, r.reviewer, r.reason_code) for r in log.orderBy("seq").collect()] == [(0, "reviewer-1", None), (1, "b", None), (2, "adjudicator", "OTHER")]
+    for bad in (screening.event("R1", "EXCLUDE", "FULL_TEXT"), screening.event("R1", "INCLUDE", reason_code="OTHER"), screening.event("R1", "EXCLUDE", reason_code="NONE"), screening.event("R1", "INCLUDE", reviewer=" ")):
+        with pytest.raises(ValueError):
+            screening.append(log, [bad])
+
+
 def _clicks(spark, tmp_path):
     path = str(tmp_path / "clicks")
     spark.sql("SELECT timestamp'2024-01-01 10:05:00' AS ts, 'k' AS kind UNION ALL SELECT timestamp'2024-01-01 10:06:00', 'k' UNION ALL SELECT timestamp'2024-01-01 11:05:00', 'k'").coalesce(1).write.mode("overwrite").parquet(path)
