@@ -278,6 +278,7 @@ def deduplicate(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataF
     labels = links(sketched, docs, percent, words)
     named = sketched.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("cls"))
     named = named.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("set_id", F.coalesce("component", "cls").alias("component"))
+    named = materialize(named, "named")  # a row a set; written, so that a set of many documents is split in the join below
     linked = F.col("set_id").isNotNull() & F.col("doc_id").isNotNull()
     out = sketched.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     component = F.when(linked, F.col("component")).otherwise(F.col("doc_id"))
