@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import numbers as N
 from evidra.functions import text as T
-from evidra.plans.components import connected_components
+from evidra.plans.components import FEW, connected_components
 from evidra.plans.scratch import materialize
 
 from . import blocking
@@ -211,7 +211,7 @@ def quality(records: DataFrame) -> Column:
 
 def clusters(records: DataFrame, edges: DataFrame) -> DataFrame:
     """idx, cluster_id (least member), representative_index, cluster_size; singletons too."""
-    labels = connected_components(edges.where(F.col("decision") == AUTO_MERGE), "left_index", "right_index")
+    labels = connected_components(edges.where(F.col("decision") == AUTO_MERGE), "left_index", "right_index", FEW)
     named = records.select("idx", quality(records).alias("q")).join(labels.withColumnRenamed("node", "idx"), "idx", "left").select("idx", "q", F.coalesce("component", "idx").alias("cluster_id"))
     best = named.groupBy("cluster_id").agg(F.max(F.struct("q", (-F.col("idx")).alias("i"))).alias("b"), F.count(F.lit(1)).alias("cluster_size"))
     return named.join(best, "cluster_id").select("idx", "cluster_id", (-F.col("b.i")).alias("representative_index"), "cluster_size")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import numbers as N
 from evidra.functions import text as T
-from evidra.plans.components import connected_components
+from evidra.plans.components import FEW, connected_components
 from evidra.plans.scratch import materialize
 
 from . import blocking, publication
@@ -165,7 +165,7 @@ def gated(edges: DataFrame, known: DataFrame) -> DataFrame:
     a component, however large, is one family and is not gathered anywhere.
     """
     accepting = edges.where(F.col("decision").isin(SAME, DUPLICATE)).select("left_index", "right_index", "decision", "study_probability")
-    component = connected_components(accepting, "left_index", "right_index")
+    component = materialize(connected_components(accepting, "left_index", "right_index", FEW), "components")
     ids = known.select("idx", "registry_ids")
     registered = component.join(ids.toDF("node", "ids"), "node").where(F.size("ids") > 0)
     members = registered.groupBy("component").agg(F.count(F.lit(1)).alias("registered"))

@@ -67,9 +67,10 @@ def test_metrics(spark):
     assert a > 0 and metrics.bootstrap_share(50, 100, 200)[0] < 0.5
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 100])
+def test_components(spark, few):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i != 20] + [(90, 91), (91, 90), (5, 5)], "a long, b long")
-    got = {r.node: r.component for r in connected_components(edges).collect()}
+    got = {r.node: r.component for r in connected_components(edges, few=few).collect()}
     assert got == {i: 0 if i <= 20 else 21 for i in range(41)} | {90: 90, 91: 90}
 
 
