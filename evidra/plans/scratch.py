@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +38,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _tidied(spark: SparkSession) -> Iterator[None]:
+    """Queries that start here delete their shuffle files when they end: what they made is in a table by then."""
+    before = spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(TIDY, before)
+
+
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Write to the shared folder and read back.
 
@@ -44,7 +60,8 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    with _tidied(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
