@@ -70,7 +70,7 @@ def bloom_filter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return bloom_flag(df, key, wanted, "__hit").where("__hit").drop("__hit")
 
 
-#: Sixteen bits a key, between these numbers of words: the filter of Python code takes 32 MB at most.
+#: A hundred bits a key and more, between these numbers of words: a filter of Python code takes 32 MB at most.
 LEAST_WORDS, MOST_WORDS = 1 << 12, 1 << 22
 
 
@@ -81,7 +81,7 @@ def filter_bits(wanted: DataFrame, hashed: str) -> np.ndarray:
     rows that reach the driver at most.
     """
     n, size = wanted.count(), LEAST_WORDS
-    while size < MOST_WORDS and 4 * size < n:
+    while size < MOST_WORDS and size < 2 * n:
         size *= 2
     words = wanted.select(F.expr(f"CAST(`{hashed}` & {size - 1}L AS INT)").alias("w"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(`{hashed}`, 58) AS INT))").alias("bit"))
     bits = np.zeros(size, np.int64)

@@ -11,8 +11,8 @@ A line goes if an equal line stands earlier in the corpus, in order of
 stays.  Lines of fewer than ``min_chars`` characters, white space at their
 ends not counted, stay always.
 
-Keys are first counted, 8 bytes each; only lines of keys that meet are read
-again.  Where many different lines share a key, they are dealt into blocks of
+Lines are keyed where they first stand.  Keys are first counted, 8 bytes each;
+only lines of keys that meet are read again.  Where many different lines share a key, they are dealt into blocks of
 bounded size that are compared block by block, and only verified links leave
 a block: no group is collected and no list of its pairs is made.
 
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bloom_filter, bloom_flag, filter_bits, let, materialize, pick
+from .common import WORD, bloom_filter, bloom_flag, drop_scratch, filter_bits, let, materialize, pick
 from .editdist import distance_within
 
 EDITS = 2
@@ -107,8 +107,12 @@ _PLACE = [pa.field("doc", pa.int64()), pa.field("line", pa.int32())]
 _ID = [_hashed("h1"), _hashed("h2")]
 
 
-def _may_hold(bits: np.ndarray | None, h: int) -> bool:
-    return bits is not None and bool(int(bits[h & (len(bits) - 1)]) >> (h >> 58) & 1)
+def _may_hold(bits: np.ndarray, h: int) -> bool:
+    return bool(int(bits[h & (len(bits) - 1)]) >> (h >> 58) & 1)
+
+
+def _hold(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)] >> (h >> np.uint64(58)) & np.uint64(1)).astype(bool)
 
 
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -128,8 +132,47 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, line int, h1 long, h2 long")
 
 
-def line_texts(docs: DataFrame, min_chars: int, only: np.ndarray) -> DataFrame:
-    """doc, line, h1, h2, text of the lines whose h1 the filter lets through."""
+_MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+
+
+def _occurrence(h1: int, doc: int | None, no: int) -> int:
+    """64 bits for a line at its place."""
+    x = (h1 ^ ((-1 if doc is None else doc) * _MIX[0] + no * _MIX[1])) * _MIX[2] & 0xFFFFFFFFFFFFFFFF
+    return (x ^ x >> 32) * _MIX[0] & 0xFFFFFFFFFFFFFFFF
+
+
+class Once:
+    """Which occurrences of lines are keyed: each different line's first, and few others.
+
+    A line that may be repeated is keyed where its first occurrence may be.
+    The filters err towards more: lines that occur once and are only taken for
+    repeated are known (``alarms``) and keyed, so no line is lost, and one
+    that is keyed twice meets itself alone.
+    """
+
+    def __init__(self, grouped: DataFrame):
+        repeated = grouped.where("n > 1")
+        self.again = again = filter_bits(repeated.select("h1"), "h1")
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [_occurrence(h1 & 0xFFFFFFFFFFFFFFFF, doc, no) for h1, doc, no in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64))], ["p"])
+
+        def mistaken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h = batch.column(0).to_numpy().view(np.uint64)
+                yield batch.filter(pa.array(_hold(again, h), pa.bool_()))
+
+        self.firsts = filter_bits(materialize(repeated.select("h1", "first.doc", "first.line").mapInArrow(places, "p long"), "firsts"), "p")
+        self.alarms = filter_bits(materialize(grouped.where("n = 1").select("h1").mapInArrow(mistaken, "h1 long"), "alarms"), "h1")
+
+    def keyed(self, h1: int, doc: int | None, no: int) -> bool:
+        return not _may_hold(self.again, h1) or _may_hold(self.firsts, _occurrence(h1, doc, no)) or _may_hold(self.alarms, h1)
+
+
+def line_texts(docs: DataFrame, min_chars: int, only: np.ndarray, once: Once) -> DataFrame:
+    """doc, line, h1, h2, text of the keyed lines whose h1 the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows(pa.schema(_PLACE + _ID + [pa.field("text", pa.string())]), 5000)
@@ -137,7 +180,7 @@ def line_texts(docs: DataFrame, min_chars: int, only: np.ndarray) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for no, line in _lines(text.as_py(), min_chars):
                     h1, h2 = _halves(line)
-                    if _may_hold(only, h1):
+                    if _may_hold(only, h1) and once.keyed(h1, doc_id, no):
                         for column, value in zip(rows.columns, (doc_id, no, h1, h2, line), strict=True):
                             column.append(value)
                 if rows.full():
@@ -147,25 +190,25 @@ def line_texts(docs: DataFrame, min_chars: int, only: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "doc long, line int, h1 long, h2 long, text string")
 
 
-def line_keys(texts: DataFrame, edits: int, min_chars: int, skip: np.ndarray | None = None) -> DataFrame:
-    """key: one row for each key of each line, but for lines whose h1 ``skip`` holds."""
+def line_keys(docs: DataFrame, edits: int, min_chars: int, once: Once) -> DataFrame:
+    """key: one row for each key of each line that is keyed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict = {}
         rows = _Rows(pa.schema([_hashed("key")]), 100_000)
         for batch in batches:
-            for text in batch.column(0):
-                for _, line in _lines(text.as_py(), min_chars):
-                    if skip is None or not _may_hold(skip, _halves(line)[0]):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for no, line in _lines(text.as_py(), min_chars):
+                    if once.keyed(_halves(line)[0], doc_id, no):
                         rows.columns[0] += keys_of(line, edits, plans)
                 if rows.full():
                     yield rows.batch()
         yield rows.batch()
 
-    return texts.mapInArrow(run, "key long")
+    return docs.mapInArrow(run, "key long")
 
 
-def keyed_lines(texts: DataFrame, edits: int, min_chars: int, only: np.ndarray, skip: np.ndarray | None = None) -> DataFrame:
+def keyed_lines(docs: DataFrame, edits: int, min_chars: int, only: np.ndarray, once: Once) -> DataFrame:
     """key, h1, h2 likewise, of the keys that ``only`` lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,17 +220,17 @@ def keyed_lines(texts: DataFrame, edits: int, min_chars: int, only: np.ndarray,
         def held() -> pa.RecordBatch:
             keys, ids = np.array(rows.columns[0], np.uint64), np.array(owners, np.uint64).view(np.int64).reshape(-1, 2)
             ids = np.repeat(ids, np.array(counts, np.int64), 0)
-            keep = (only[(keys & np.uint64(len(only) - 1)).astype(np.int64)] >> (keys >> np.uint64(58)) & np.uint64(1)).astype(bool)
+            keep = _hold(only, keys)
             rows.columns[0].clear()
             owners.clear()
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(ids[keep, 0]), pa.array(ids[keep, 1])], ["key", "h1", "h2"])
 
         for batch in batches:
-            for text in batch.column(0):
-                for _, line in _lines(text.as_py(), min_chars):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for no, line in _lines(text.as_py(), min_chars):
                     h1, h2 = _halves(line)
-                    if skip is not None and _may_hold(skip, h1):
+                    if not once.keyed(h1, doc_id, no):
                         continue
                     found = keys_of(line, edits, plans)
                     rows.columns[0] += found
@@ -197,7 +240,7 @@ def keyed_lines(texts: DataFrame, edits: int, min_chars: int, only: np.ndarray,
                     yield held()
         yield held()
 
-    return texts.mapInArrow(run, "key long, h1 long, h2 long")
+    return docs.mapInArrow(run, "key long, h1 long, h2 long")
 
 
 def _letters(lines: list[str]) -> np.ndarray:
@@ -229,26 +272,23 @@ def _compare(edits: int):
     return run
 
 
-def near_links(docs: DataFrame, repeated: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+def near_links(docs: DataFrame, grouped: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """(lines that share a key with another: h1, h2, doc, line, text; links a1, a2, b1, b2).
 
-    Lines that occur once are keyed where they stand; lines that may occur
-    again are first brought to one copy.
+    grouped: h1, h2, n, first of every different line.  Lines are keyed where
+    they first stand, so no text is moved before its keys meet another's.
     """
-    first = F.min(F.struct("doc", "line", "text"))
-    again = filter_bits(repeated.select("h1"), "h1")
-    one = materialize(line_texts(docs, min_chars, again).groupBy("h1", "h2").agg(first.alias("f")).select("f.text"), "repeated")
-    text = docs.select("text")
-    keys = line_keys(text, edits, min_chars, again).union(line_keys(one, edits, min_chars))
+    once = Once(grouped)
+    keys = line_keys(docs, edits, min_chars, once)
     met = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
-    meeting = filter_bits(met, "key")
-    held = keyed_lines(text, edits, min_chars, meeting, again).union(keyed_lines(one, edits, min_chars, meeting)).join(met, "key", "left_semi")
-    members = materialize(held.distinct(), "members")
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = materialize(members.join(sizes, "key"), "members")
+    held = keyed_lines(docs, edits, min_chars, filter_bits(met, "key"), once).join(met, "key", "left_semi")
+    every = materialize(held.distinct(), "members")
+    sizes = every.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = materialize(every.join(sizes, "key"), "members")
+    drop_scratch(met)
+    drop_scratch(every)
     wanted = materialize(members.select("h1", "h2").distinct(), "wanted")
-    # brought to one copy where they are read, before they are moved
-    texts = line_texts(docs, min_chars, filter_bits(wanted, "h1")).groupBy("h1", "h2").agg(first.alias("f"))
+    texts = line_texts(docs, min_chars, filter_bits(wanted, "h1"), once).groupBy("h1", "h2").agg(F.min(F.struct("doc", "line", "text")).alias("f"))
     lines = materialize(texts.join(wanted, ["h1", "h2"], "left_semi").select("h1", "h2", "f.doc", "f.line", "f.text"), "lines")
 
     few = members.where(F.col("m") <= FEW).select("key", "h1", "h2")
@@ -271,15 +311,19 @@ def near_links(docs: DataFrame, repeated: DataFrame, edits: int = EDITS, min_cha
     sides = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1)
     dealt = dealt.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), sides.alias("side"), "h1", "h2", "text")
     hot = dealt.groupBy("key", "i", "j").applyInPandas(_compare(edits), "a1 long, a2 long, b1 long, b2 long")
-    return lines, materialize(links.union(hot).distinct(), "links")
+    links = materialize(links.union(hot).distinct(), "links")
+    drop_scratch(members)
+    drop_scratch(wanted)
+    return lines, links
 
 
 def removals(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc, gone: the numbers of the lines that go from each document that loses any."""
     source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = materialize(occurrences(source, min_chars), "seen")
-    repeated = materialize(seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line")).alias("first")).where("n > 1").drop("n"), "repeated")
-    lines, links = near_links(source, repeated, edits, min_chars)
+    grouped = materialize(seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line")).alias("first")), "grouped")
+    repeated = grouped.where("n > 1").drop("n")
+    lines, links = near_links(source, grouped, edits, min_chars)
     place = lines.select("h1", "h2", F.struct("doc", "line").alias("at"))
     sided = links.join(place.toDF("a1", "a2", "at_a"), ["a1", "a2"]).join(place.toDF("b1", "b2", "at_b"), ["b1", "b2"])
     later = F.when(F.col("at_a") < F.col("at_b"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).otherwise(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")))
@@ -287,7 +331,10 @@ def removals(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
     gone = materialize(repeated.join(near, ["h1", "h2"], "full_outer"), "gone")
     held = bloom_filter(seen, "h1", gone.select("h1")).join(gone, ["h1", "h2"])
     out = held.where("all OR NOT struct(doc, line) <=> first").select("doc", "line")
-    return materialize(out.distinct().groupBy("doc").agg(F.collect_set("line").alias("gone")), "removed")
+    removed = materialize(out.distinct().groupBy("doc").agg(F.collect_set("line").alias("gone")), "removed")
+    for used in (seen, grouped, lines, links, gone):
+        drop_scratch(used)
+    return removed
 
 
 def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, counts: bool = False) -> DataFrame:
