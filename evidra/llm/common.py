@@ -78,12 +78,12 @@ def filter_bits(wanted: DataFrame, hashed: str) -> np.ndarray:
     """The filter's words for a column of a written table that holds hashes already, for Python on the executors.
 
     It grows with the keys up to ``MOST_WORDS``, which is also the number of
-    rows that reach the driver at most.
+    rows that reach the driver at most.  The lowest 16 bits are not used.
     """
     n, size = wanted.count(), LEAST_WORDS
     while size < MOST_WORDS and size < 2 * n:
         size *= 2
-    words = wanted.select(F.expr(f"CAST(`{hashed}` & {size - 1}L AS INT)").alias("w"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(`{hashed}`, 58) AS INT))").alias("bit"))
+    words = wanted.select(F.expr(f"CAST(shiftrightunsigned(`{hashed}`, 16) & {size - 1}L AS INT)").alias("w"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(`{hashed}`, 58) AS INT))").alias("bit"))
     bits = np.zeros(size, np.int64)
     for batch in words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
         bits[batch.column("w").to_numpy()] = batch.column("bits").to_numpy()

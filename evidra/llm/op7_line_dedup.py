@@ -11,8 +11,8 @@ A line goes if an equal line stands earlier in the corpus, in order of
 stays.  Lines of fewer than ``min_chars`` characters, white space at their
 ends not counted, stay always.
 
-Lines are keyed where they first stand.  Keys are first counted, 8 bytes each;
-only lines of keys that meet are read again.  Where many different lines share a key, they are dealt into blocks of
+Lines are keyed where they first stand.  Keys are first counted, 6 bytes
+each; only lines of keys that meet are read again.  Where many different lines share a key, they are dealt into blocks of
 bounded size that are compared block by block, and only verified links leave
 a block: no group is collected and no list of its pairs is made.
 
@@ -108,11 +108,11 @@ _ID = [_hashed("h1"), _hashed("h2")]
 
 
 def _may_hold(bits: np.ndarray, h: int) -> bool:
-    return bool(int(bits[h & (len(bits) - 1)]) >> (h >> 58) & 1)
+    return bool(int(bits[h >> 16 & (len(bits) - 1)]) >> (h >> 58) & 1)
 
 
 def _hold(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return (bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)] >> (h >> np.uint64(58)) & np.uint64(1)).astype(bool)
+    return (bits[(h >> np.uint64(16) & np.uint64(len(bits) - 1)).astype(np.int64)] >> (h >> np.uint64(58)) & np.uint64(1)).astype(bool)
 
 
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -132,6 +132,8 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, line int, h1 long, h2 long")
 
 
+#: Keys keep 48 of their bits: they take less space where they are counted, and what meets by chance is told apart later.
+_KEY = np.uint64(0xFFFFFFFFFFFF0000)
 _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
 
@@ -195,15 +197,21 @@ def line_keys(docs: DataFrame, edits: int, min_chars: int, once: Once) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict = {}
-        rows = _Rows(pa.schema([_hashed("key")]), 100_000)
+        keys: list[int] = []
+
+        def held() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array((np.array(keys, np.uint64) & _KEY).view(np.int64))], ["key"])
+            keys.clear()
+            return out
+
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for no, line in _lines(text.as_py(), min_chars):
                     if once.keyed(_halves(line)[0], doc_id, no):
-                        rows.columns[0] += keys_of(line, edits, plans)
-                if rows.full():
-                    yield rows.batch()
-        yield rows.batch()
+                        keys += keys_of(line, edits, plans)
+                if len(keys) >= 100_000:
+                    yield held()
+        yield held()
 
     return docs.mapInArrow(run, "key long")
 
@@ -219,7 +227,7 @@ def keyed_lines(docs: DataFrame, edits: int, min_chars: int, only: np.ndarray, o
 
         def held() -> pa.RecordBatch:
             keys, ids = np.array(rows.columns[0], np.uint64), np.array(owners, np.uint64).view(np.int64).reshape(-1, 2)
-            ids = np.repeat(ids, np.array(counts, np.int64), 0)
+            keys, ids = keys & _KEY, np.repeat(ids, np.array(counts, np.int64), 0)
             keep = _hold(only, keys)
             rows.columns[0].clear()
             owners.clear()
