@@ -348,8 +348,10 @@ def removals(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
 def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, counts: bool = False) -> DataFrame:
     """The documents with their remaining lines; with ``counts``, also n_lines and n_removed.
 
-    Only documents that lose lines are joined with what they lose.  A column
-    ``n_chars``, where there is one, follows the text.
+    Only documents that lose lines are joined with what they lose, and they
+    are moved for it at every size: the size of the encoded table of line
+    numbers bounds nothing that could be broadcast.  A column ``n_chars``,
+    where there is one, follows the text.
     """
     removed = removals(docs, edits, min_chars)
     n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
@@ -357,7 +359,7 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     whole = flagged.where("NOT __hit").drop("__id", "__hit")
     if counts:
         whole = whole.withColumn("n_lines", n_lines).withColumn("n_removed", F.lit(0).cast("long"))
-    joined = flagged.where("__hit").drop("__hit").join(removed.withColumnRenamed("doc", "__doc").withColumnRenamed("gone", "__gone"), F.col("__id").eqNullSafe(F.col("__doc")), "left")
+    joined = flagged.where("__hit").drop("__hit").join(removed.withColumnRenamed("doc", "__doc").withColumnRenamed("gone", "__gone").hint("merge"), F.col("__id").eqNullSafe(F.col("__doc")), "left")
     stay = "array_except(sequence(0, size(l) - 1), coalesce(__gone, array()))"
     cut = let("split(text, '\\n', -1)", "l", let(stay, "k", "named_struct('text', array_join(transform(k, i -> l[i]), '\\n'), 'all', CAST(size(l) AS BIGINT), 'kept', CAST(size(k) AS BIGINT))"))
     rebuilt = joined.withColumn("__new", F.expr(f"CASE WHEN text IS NOT NULL THEN {cut} END"))
