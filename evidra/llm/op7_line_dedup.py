@@ -9,7 +9,10 @@ where keys meet.  Meetings are verified by banded bit-parallel edit distance.
 A line goes if an equal line stands earlier in the corpus, in order of
 (doc_id, line number), or if an earlier one is within the edits; the first
 stays.  Lines of fewer than ``min_chars`` characters, white space at their
-ends not counted, stay always.
+ends not counted, take no part in the edit join.  Their exact repeats go too
+if ``exact_chars`` lets them: with 1, of every line that holds a word.  It is
+``min_chars`` where none is given, as in the contract query, whose SQL leaves
+short lines alone.
 
 Lines are keyed where they first stand.  Keys are first counted, 6 bytes
 each; only lines of keys that meet are read again.  Where many different lines share a key, they are dealt into blocks of
@@ -115,21 +118,21 @@ def _hold(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(h >> np.uint64(16) & np.uint64(len(bits) - 1)).astype(np.int64)] >> (h >> np.uint64(58)) & np.uint64(1)).astype(bool)
 
 
-def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc, line, h1, h2: every line that takes part, by the 128 bits of its hash."""
+def occurrences(docs: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
+    """doc, line, h1, h2, long: every line that takes part, by the 128 bits of its hash; long: in the edit join too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _Rows(pa.schema(_PLACE + _ID))
+        rows = _Rows(pa.schema(_PLACE + _ID + [pa.field("long", pa.bool_())]))
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for no, line in _lines(text.as_py(), min_chars):
-                    for column, value in zip(rows.columns, (doc_id, no, *_halves(line)), strict=True):
+                for no, line in _lines(text.as_py(), min(min_chars, exact_chars)):
+                    for column, value in zip(rows.columns, (doc_id, no, *_halves(line), len(line) >= min_chars), strict=True):
                         column.append(value)
                 if rows.full():
                     yield rows.batch()
         yield rows.batch()
 
-    return docs.mapInArrow(run, "doc long, line int, h1 long, h2 long")
+    return docs.mapInArrow(run, "doc long, line int, h1 long, h2 long, long boolean")
 
 
 #: Keys keep 48 of their bits: they take less space where they are counted, and what meets by chance is told apart later.
@@ -325,13 +328,13 @@ def near_links(docs: DataFrame, grouped: DataFrame, edits: int = EDITS, min_char
     return lines, links
 
 
-def removals(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def removals(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """doc, gone: the numbers of the lines that go from each document that loses any."""
     source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = materialize(occurrences(source, min_chars), "seen")
-    grouped = materialize(seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line")).alias("first")), "grouped")
-    repeated = grouped.where("n > 1").drop("n")
-    lines, links = near_links(source, grouped, edits, min_chars)
+    seen = materialize(occurrences(source, min_chars, min_chars if exact_chars is None else exact_chars), "seen")
+    grouped = materialize(seen.groupBy("h1", "h2", "long").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line")).alias("first")), "grouped")
+    repeated = grouped.where("n > 1").select("h1", "h2", "first")
+    lines, links = near_links(source, grouped.where("long").drop("long"), edits, min_chars)
     place = lines.select("h1", "h2", F.struct("doc", "line").alias("at"))
     sided = links.join(place.toDF("a1", "a2", "at_a"), ["a1", "a2"]).join(place.toDF("b1", "b2", "at_b"), ["b1", "b2"])
     later = F.when(F.col("at_a") < F.col("at_b"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).otherwise(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")))
@@ -345,7 +348,7 @@ def removals(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
     return removed
 
 
-def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, counts: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, counts: bool = False, exact_chars: int | None = None) -> DataFrame:
     """The documents with their remaining lines; with ``counts``, also n_lines and n_removed.
 
     Only documents that lose lines are joined with what they lose, and they
@@ -353,7 +356,7 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     numbers bounds nothing that could be broadcast.  A column ``n_chars``,
     where there is one, follows the text.
     """
-    removed = removals(docs, edits, min_chars)
+    removed = removals(docs, edits, min_chars, exact_chars)
     n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
     flagged = bloom_flag(docs.withColumn("__id", docs["doc_id"].cast("long")), "__id", removed.select(F.col("doc").alias("__id")), "__hit")
     whole = flagged.where("NOT __hit").drop("__id", "__hit")

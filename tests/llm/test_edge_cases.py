@@ -130,3 +130,10 @@ def test_line_dedup_updates_length(spark):
     out = {r.doc_id: r for r in op7_line_dedup.deduplicate(documents(spark)).where(F.col("doc_id") == 11).collect()}
     assert out[11].text == "line number one is long enough to be compared\nother"
     assert out[11].n_chars == len(out[11].text)
+
+
+def test_line_dedup_stage_removes_short_repeats(spark):
+    stage = dict(corpus_pipeline.STAGES)["line dedup"]
+    rows = [(1, "Released under the MIT License.\n\na\nfirst", "en", "a"), (2, " Released under the MIT License.\n\nsecond\na", "en", "a"), (3, "a\n a \n", "en", "a"), (4, "\n \n", "en", "a")]
+    got = {r.doc_id: r.text for r in stage(spark, documents(spark, rows), "").collect()}
+    assert got == {1: rows[0][1], 2: "\nsecond", 4: "\n \n"}
