@@ -90,6 +90,30 @@ def filter_bits(wanted: DataFrame, hashed: str) -> np.ndarray:
     return bits.view(np.uint64)
 
 
+def unique_ids(docs: DataFrame) -> bool:
+    """Whether no ``doc_id`` is null or stands in two rows."""
+    ids = pick(docs, "doc_id").select(F.col("doc_id").cast("long").alias("id"))
+    return ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("id IS NULL OR n > 1").isEmpty()
+
+
+def numbered(docs: DataFrame, unique: bool | None = None) -> DataFrame:
+    """``docs`` with ``__row``, a key that each row has to itself and that follows the order of ``doc_id``, nulls first.
+
+    That is ``doc_id`` where it tells rows apart.  Else rows are sorted and
+    numbered, rows that share an id in their order in the table, and written
+    with their numbers, so that every later read sees the same.
+    """
+    if unique_ids(docs) if unique is None else unique:
+        return docs.withColumn("__row", docs["doc_id"].cast("long"))
+    placed = docs.withColumn("__id", docs["doc_id"].cast("long")).withColumn("__at", F.monotonically_increasing_id())
+    return materialize(placed.sort("__id", "__at").drop("__id", "__at").withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
+def by_row(keyed: DataFrame, *names: str) -> DataFrame:
+    """The row's key as ``doc_id``, and the named columns."""
+    return pick(keyed, "__row", *names).withColumnRenamed("__row", "doc_id")
+
+
 def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``key`` is not in ``gone`` (same column name); null matches null.
 

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_SQL, WORD_SQL, let, materialize, pick, without
+from .common import SPACE_SQL, WORD_SQL, by_row, let, materialize, numbered, pick, without
 
 RULES = ("base", "word_length", "symbols", "dup_lines")
 
@@ -162,10 +162,7 @@ def judge(docs: DataFrame, rules: HostRules = HostRules(), host: str = "source")
 
 
 def filter_documents(docs: DataFrame, rules: HostRules = HostRules(), host: str = "source") -> DataFrame:
-    """The kept documents, all their columns.
-
-    Verdicts are joined by ``doc_id``; rows that share one share their verdict
-    only if every one of them is kept, and rows without one are judged as one.
-    """
-    verdicts = judge(docs, rules, host).groupBy("doc_id").agg(F.min("kept").alias("kept"))
-    return without(docs, "doc_id", verdicts.where("NOT kept"))
+    """The kept documents, all their columns; each row has a verdict of its own, whatever its ``doc_id``."""
+    keyed = numbered(docs)
+    verdicts = judge(by_row(keyed, "text", host), rules, host)
+    return without(keyed, "__row", verdicts.where("NOT kept").select(F.col("doc_id").alias("__row"))).drop("__row")

@@ -21,9 +21,11 @@ round pairs whose signatures agree in six standard deviations less than the
 threshold are left out before that (one in a billion).
 
 Defined cases: a null text or one without words has an empty set, is linked
-with nothing and is its own component; a null doc_id is never linked and its
-component is null; rows that repeat a doc_id have one component, the least of
-their sets'; an empty table gives an empty result; other columns are ignored.
+with nothing and is its own component; a null doc_id is never linked by
+``deduplicate`` and its component is null, while ``keep_one`` takes it as the
+earliest; rows that share a doc_id are documents of their own in the order of
+the table, and the first of a component is kept; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 
 from evidra.plans.components import connected_components
 
-from .common import bloom_filter, drop_scratch, materialize, pick, without
+from .common import bloom_filter, by_row, drop_scratch, materialize, numbered, pick, unique_ids, without
 
 WORDS = 5
 BANDS, ROWS = 40, 5
@@ -272,8 +274,8 @@ def _similar(least: int):
     return run
 
 
-def deduplicate(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row a document."""
+def _components(docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row a document; ids that are not null must tell rows apart."""
     sketched = materialize(sketches(docs, words), "sketches")
     labels = links(sketched, docs, percent, words)
     named = sketched.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("cls"))
@@ -285,6 +287,20 @@ def deduplicate(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataF
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def deduplicate(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row a document."""
+    if unique_ids(docs):
+        return _components(docs, percent, words)
+    keyed = numbered(docs, False)
+    ids = pick(keyed, "__row", "doc_id")
+    rows = pick(keyed, "__row", "doc_id", "text").select(F.when(F.col("doc_id").isNotNull(), F.col("__row")).alias("doc_id"), "text")
+    found = _components(rows, percent, words).withColumnRenamed("doc_id", "row")
+    named = found.join(ids.toDF("row", "doc_id"), "row", "left").join(ids.toDF("component_id", "first_id"), "component_id", "left")
+    return named.select(F.col("doc_id").cast("long").alias("doc_id"), "n_shingles", F.col("first_id").cast("long").alias("component_id"), "kept")
+
+
 def keep_one(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
     """The documents without those that repeat an earlier one; all columns."""
-    return without(docs, "doc_id", deduplicate(docs, percent, words).where("NOT kept"))
+    keyed = numbered(docs)
+    gone = _components(by_row(keyed, "text"), percent, words).where("NOT kept")
+    return without(keyed, "__row", gone.select(F.col("doc_id").alias("__row"))).drop("__row")

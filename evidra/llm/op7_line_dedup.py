@@ -21,8 +21,9 @@ a block: no group is collected and no list of its pairs is made.
 
 Defined cases: null texts stay null; an empty text stays; a document all of
 whose lines go is dropped, as nothing of its own is left; rows that share a
-doc_id count as one document, null ids too, which come first; an empty table
-gives an empty result; all columns of the input are returned.
+doc_id are documents of their own in the order of the table, null ids too,
+which come first; an empty table gives an empty result; all columns of the
+input are returned.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bloom_filter, bloom_flag, drop_scratch, filter_bits, let, materialize, pick
+from .common import WORD, bloom_filter, bloom_flag, by_row, drop_scratch, filter_bits, let, materialize, numbered, pick
 from .editdist import distance_within
 
 EDITS = 2
@@ -329,7 +330,7 @@ def near_links(docs: DataFrame, grouped: DataFrame, edits: int = EDITS, min_char
 
 
 def removals(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
-    """doc, gone: the numbers of the lines that go from each document that loses any."""
+    """doc, gone: the numbers of the lines that go from each document that loses any; doc_id must tell rows apart."""
     source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = materialize(occurrences(source, min_chars, min_chars if exact_chars is None else exact_chars), "seen")
     grouped = materialize(seen.groupBy("h1", "h2", "long").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line")).alias("first")), "grouped")
@@ -356,13 +357,14 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     numbers bounds nothing that could be broadcast.  A column ``n_chars``,
     where there is one, follows the text.
     """
-    removed = removals(docs, edits, min_chars, exact_chars)
+    keyed = numbered(docs)
+    removed = removals(by_row(keyed, "text"), edits, min_chars, exact_chars)
     n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
-    flagged = bloom_flag(docs.withColumn("__id", docs["doc_id"].cast("long")), "__id", removed.select(F.col("doc").alias("__id")), "__hit")
-    whole = flagged.where("NOT __hit").drop("__id", "__hit")
+    flagged = bloom_flag(keyed, "__row", removed.select(F.col("doc").alias("__row")), "__hit")
+    whole = flagged.where("NOT __hit").drop("__row", "__hit")
     if counts:
         whole = whole.withColumn("n_lines", n_lines).withColumn("n_removed", F.lit(0).cast("long"))
-    joined = flagged.where("__hit").drop("__hit").join(removed.withColumnRenamed("doc", "__doc").withColumnRenamed("gone", "__gone").hint("merge"), F.col("__id").eqNullSafe(F.col("__doc")), "left")
+    joined = flagged.where("__hit").drop("__hit").join(removed.withColumnRenamed("doc", "__doc").withColumnRenamed("gone", "__gone").hint("merge"), F.col("__row") == F.col("__doc"), "left")
     stay = "array_except(sequence(0, size(l) - 1), coalesce(__gone, array()))"
     cut = let("split(text, '\\n', -1)", "l", let(stay, "k", "named_struct('text', array_join(transform(k, i -> l[i]), '\\n'), 'all', CAST(size(l) AS BIGINT), 'kept', CAST(size(k) AS BIGINT))"))
     rebuilt = joined.withColumn("__new", F.expr(f"CASE WHEN text IS NOT NULL THEN {cut} END"))
@@ -373,4 +375,4 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     if "n_chars" in docs.columns:
         rebuilt = rebuilt.withColumn("n_chars", F.when(lost, F.length("__new.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     rebuilt = rebuilt.withColumn("text", F.when(lost, F.col("__new.text")).otherwise(F.col("text")))
-    return whole.unionByName(rebuilt.drop("__id", "__doc", "__gone", "__new"))
+    return whole.unionByName(rebuilt.drop("__row", "__doc", "__gone", "__new"))

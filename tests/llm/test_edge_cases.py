@@ -137,3 +137,34 @@ def test_line_dedup_stage_removes_short_repeats(spark):
     rows = [(1, "Released under the MIT License.\n\na\nfirst", "en", "a"), (2, " Released under the MIT License.\n\nsecond\na", "en", "a"), (3, "a\n a \n", "en", "a"), (4, "\n \n", "en", "a")]
     got = {r.doc_id: r.text for r in stage(spark, documents(spark, rows), "").collect()}
     assert got == {1: rows[0][1], 2: "\nsecond", 4: "\n \n"}
+
+
+def _texts(frame):
+    return sorted((repr(r.doc_id), r.text) for r in frame.collect())
+
+
+@pytest.mark.parametrize("same", [None, 7])
+def test_rows_that_share_an_id_are_documents_of_their_own(spark, same):
+    clean, other = (" ".join(f"{w}{i}" for i in range(80)) for w in ("word", "other"))
+    filtered = op10_quality_rules.filter_documents(documents(spark, [(same, clean, "en", "a"), (same, "short", "en", "a"), (9, other, "en", "a")]))
+    assert _texts(filtered) == sorted([(repr(same), clean), ("9", other)])
+
+    long = "a line that stands in two of the rows and is long enough"
+    lines = [(same, f"the first row begins like this\n{long}", "en", "a"), (same, f"{long}\nthe second row ends like this", "en", "a"), (same, f"{long}", "en", "a")]
+    assert _texts(op7_line_dedup.deduplicate(documents(spark, lines))) == sorted([(repr(same), lines[0][1]), (repr(same), "the second row ends like this")])
+
+    copies = [(same, clean, "en", "a"), (same, clean, "en", "a"), (same, other, "en", "a"), (9, clean, "en", "a")]
+    assert _texts(op3_minhash.keep_one(documents(spark, copies))) == sorted([(repr(same), clean), (repr(same), other)])
+
+
+def test_components_of_rows_that_share_an_id(spark):
+    clean, other = (" ".join(f"{w}{i}" for i in range(80)) for w in ("word", "other"))
+    rows = [(4, clean, "en", "a"), (4, clean, "en", "a"), (4, other, "en", "a"), (9, other, "en", "a"), (None, clean, "en", "a"), (2, clean, "en", "a")]
+    got = [(r.doc_id, r.component_id, r.kept) for r in op3_minhash.deduplicate(documents(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(2, 2, True), (4, 2, False), (4, 2, False), (4, 4, True), (9, 4, False), (None, None, True)], key=repr)
+
+
+def test_one_of_equal_rows_with_one_id_is_kept(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    got = op3_minhash.deduplicate(documents(spark, [(4, text, "en", "a"), (4, text, "en", "a")])).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(4, 4, False), (4, 4, True)]
