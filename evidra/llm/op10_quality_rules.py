@@ -3,21 +3,28 @@
 Every document is measured by itself.  Failures of each rule are counted a
 host (``source``), each host's failure rate is shrunk towards the corpus by a
 beta prior fitted to the hosts themselves, and the host's verdicts are joined
-back to its documents:
+back to its documents, where they settle which limits hold.
 
-* a host whose shrunk rate of any rule is above ``block_rate`` is blocked:
-  its documents that fail any rule go;
-* a host whose shrunk rate of a rule is above ``watch_rate`` is watched for
-  that rule: its documents that fail the rule go, its others stay;
-* elsewhere only base failures go.
+The base rule rejects a document on any host.  Each other rule has three
+limits, loose, usual and strict; a document fails the rule for its host's rate
+if it is beyond the usual one.  By the host's shrunk rate of that rule
 
-A document that fails no rule stays, whatever its host: the verdict settles
-how strictly a host's failures are taken, and condemns no clean document.
+* below ``trusted_rate`` the failures are taken for chance, and only documents
+  beyond the loose limit go;
+* above ``suspect_rate`` they are taken for the host's habit, and documents
+  beyond the strict limit go;
+* in between, documents beyond the usual limit go.
+
+A host whose shrunk rate of any rule, the base rule included, is above
+``block_rate`` is blocked: the strict limit of every rule holds there.  A
+document within the strict limits stays, whatever its host.  A host of few
+documents has the corpus's rates, hence its verdicts.
 
 Defined cases: a null or empty text has zero words and fails the base rule; a
 null host is one host of its own; repeated rows are judged alike, each
 counting once; an empty table gives an empty result; other columns of the
-input are ignored.
+input are ignored by ``judge`` and kept by ``filter_documents``, which judges
+each row by itself, whatever its ``doc_id``.
 """
 
 from __future__ import annotations
@@ -27,23 +34,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_SQL, WORD_SQL, by_row, let, materialize, numbered, pick, without
+from .common import SPACE_SQL, WORD_SQL, let, materialize, pick
 
-RULES = ("base", "word_length", "symbols", "dup_lines")
+#: The rules whose limits depend on the host, and all that are counted.
+SOFT = ("word_length", "symbols", "dup_lines")
+RULES = ("base", *SOFT)
 
 
 @dataclass(frozen=True)
 class HostRules:
     min_words: int = 50
     max_repeat_percent: int = 50
-    #: a word's mean length, in code points
-    min_word_length: float = 2.0
-    max_word_length: float = 14.0
-    #: symbols for each ten words
-    max_symbols_per_10_words: int = 1
-    max_dup_line_percent: int = 50
+    #: loose, usual and strict bounds of the mean word length, in hundredths of a code point
+    word_length: tuple[tuple[int, int], ...] = ((200, 1400), (300, 1000), (350, 800))
+    #: loose, usual and strict limit of symbols in a hundred words
+    symbols: tuple[int, ...] = (30, 10, 5)
+    #: loose, usual and strict limit of repeated lines, in percent of the lines with a word
+    dup_lines: tuple[int, ...] = (50, 30, 15)
+    trusted_rate: float = 0.1
+    suspect_rate: float = 0.25
     block_rate: float = 0.5
-    watch_rate: float = 0.01
     #: bounds of the prior's weight, in documents
     least_strength: float = 1.0
     most_strength: float = 1_000_000.0
@@ -79,36 +89,48 @@ def repeat_words_sql(words: str) -> str:
     return let(words, "w", f"CAST(CASE WHEN size(w) < 4 THEN 0 WHEN size(w) > 16777216 THEN {slow} ELSE {quick} END AS BIGINT)")
 
 
-def measures(docs: DataFrame, rules: HostRules = HostRules(), host: str = "source") -> DataFrame:
-    """One row a document: its counts and the rules that it fails."""
-    body = "coalesce(text, '')"
+def _counts(text: str) -> Column:
+    """The counts of one text, as a struct."""
+    body = f"coalesce({text}, '')"
     lines = f"filter(split({body}, '\\n'), l -> l RLIKE '{WORD_SQL}')"
-    counted = pick(docs, "doc_id", "text", host).select(
-        "doc_id",
-        F.col(host).alias("host"),
-        F.expr(
-            let(
-                _words(body),
-                "w",
-                "named_struct('n_words', CAST(size(w) AS BIGINT), 'word_chars', CAST(length(array_join(w, '')) AS BIGINT), 'n_repeat_words', " + repeat_words_sql("w") + ")",
-            )
-        ).alias("c"),
-        F.expr(f"CAST(length(regexp_replace({body}, '[^#*$%&|<>]+', '')) AS BIGINT)").alias("n_symbols"),
-        F.expr(let(lines, "l", "named_struct('all', CAST(size(l) AS BIGINT), 'dup', CAST(size(l) - size(array_distinct(l)) AS BIGINT))")).alias("l"),
-    )
-    flat = counted.select("doc_id", "host", "c.n_words", "c.word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), F.col("l.all").alias("n_lines"), "c.n_repeat_words")
-    some = F.col("n_words") > 0
-    fails = {
-        "base": (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")),
-        "word_length": some & ((F.col("word_chars") < rules.min_word_length * F.col("n_words")) | (F.col("word_chars") > rules.max_word_length * F.col("n_words"))),
-        "symbols": some & (10 * F.col("n_symbols") > rules.max_symbols_per_10_words * F.col("n_words")),
-        "dup_lines": some & (100 * F.col("n_dup_lines") > rules.max_dup_line_percent * F.col("n_lines")),
+    words = let(_words(body), "w", "named_struct('n_words', CAST(size(w) AS BIGINT), 'word_chars', CAST(length(array_join(w, '')) AS BIGINT), 'n_repeat_words', " + repeat_words_sql("w") + ")")
+    symbols = f"CAST(length(regexp_replace({body}, '[^#*$%&|<>]+', '')) AS BIGINT)"
+    repeats = let(lines, "l", "named_struct('all', CAST(size(l) AS BIGINT), 'dup', CAST(size(l) - size(array_distinct(l)) AS BIGINT))")
+    return F.struct(F.expr(words).alias("w"), F.expr(symbols).alias("n_symbols"), F.expr(repeats).alias("l"))
+
+
+def _level(beyond: list[Column]) -> Column:
+    """3 beyond the loose limit, 2 beyond the usual one, 1 beyond the strict one, else 0."""
+    loose, usual, strict = beyond
+    return F.when(F.col("n_words") == 0, 0).when(loose, 3).when(usual, 2).when(strict, 1).otherwise(0)
+
+
+def _measured(rows: DataFrame, text: str, rules: HostRules) -> DataFrame:
+    """``rows`` with the counts of ``text``, ``base_failed`` and the level of each soft rule."""
+    counted = rows.withColumn("__c", _counts(text))
+    flat = counted.select(
+        *[F.col(c) for c in rows.columns], F.col("__c.w.n_words").alias("n_words"), F.col("__c.w.word_chars").alias("word_chars"), F.col("__c.n_symbols").alias("n_symbols"),
+        F.col("__c.l.dup").alias("n_dup_lines"), F.col("__c.l.all").alias("n_lines"), F.col("__c.w.n_repeat_words").alias("n_repeat_words"),
+    )
+    n, chars = F.col("n_words"), 100 * F.col("word_chars")
+    levels = {
+        "word_length": _level([(chars < lo * n) | (chars > hi * n) for lo, hi in rules.word_length]),
+        "symbols": _level([100 * F.col("n_symbols") > most * n for most in rules.symbols]),
+        "dup_lines": _level([100 * F.col("n_dup_lines") > most * F.col("n_lines") for most in rules.dup_lines]),
     }
-    return flat.select("*", *[fails[r].alias(f"{r}_failed") for r in RULES])
+    base = (n < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * n)
+    return flat.select("*", base.alias("base_failed"), *[levels[r].alias(f"{r}_level") for r in SOFT])
+
+
+def measures(docs: DataFrame, rules: HostRules = HostRules(), host: str = "source") -> DataFrame:
+    """One row a document: its counts, ``base_failed`` and the level of each soft rule."""
+    return _measured(pick(docs, "doc_id", "text", host).toDF("doc_id", "text", "host"), "text", rules).drop("text")
 
 
 def host_counts(measured: DataFrame) -> DataFrame:
-    return measured.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"{r}_failed").cast("long")).alias(f"k_{r}") for r in RULES])
+    """Documents and failures of each rule a host; a rule is failed beyond its usual limit."""
+    failed = {"base": F.col("base_failed")} | {r: F.col(f"{r}_level") >= 2 for r in SOFT}
+    return measured.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[F.sum(failed[r].cast("long")).alias(f"k_{r}") for r in RULES])
 
 
 def beta_priors(hosts: DataFrame, rules: HostRules = HostRules()) -> dict[str, tuple[float, float]]:
@@ -137,32 +159,54 @@ def beta_priors(hosts: DataFrame, rules: HostRules = HostRules()) -> dict[str, t
 
 
 def host_verdicts(hosts: DataFrame, priors: dict[str, tuple[float, float]], rules: HostRules = HostRules()) -> DataFrame:
+    """host, the shrunk rates, ``blocked``, and for each soft rule the least level that goes."""
+
     def rate(r: str) -> Column:
         mean, strength = priors[r]
         return (F.col(f"k_{r}") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
 
     rated = hosts.select("host", *[rate(r).alias(f"rate_{r}") for r in RULES])
-    blocked = F.lit(False)
-    for r in RULES:
-        blocked = blocked | (F.col(f"rate_{r}") > rules.block_rate)
-    return rated.select("*", blocked.alias("blocked"), *[(F.col(f"rate_{r}") > rules.watch_rate).alias(f"watch_{r}") for r in RULES])
+    blocked = F.greatest(*[F.col(f"rate_{r}") for r in RULES]) > rules.block_rate
+    least = lambda r: F.when(F.col("blocked") | (F.col(f"rate_{r}") > rules.suspect_rate), 1).when(F.col(f"rate_{r}") < rules.trusted_rate, 3).otherwise(2)
+    return rated.withColumn("blocked", blocked).select("*", *[least(r).alias(f"least_{r}") for r in SOFT])
+
+
+def _verdicts(measured: DataFrame, rules: HostRules) -> DataFrame:
+    hosts = materialize(host_counts(measured), "hosts")  # written, so that the planner knows its size
+    return host_verdicts(hosts, beta_priors(hosts, rules), rules).withColumnRenamed("host", "__host")
+
+
+def _passes() -> Column:
+    """Whether no level reaches what the host's verdict lets go."""
+    fine = ~F.col("base_failed")
+    for r in SOFT:
+        fine = fine & (F.col(f"{r}_level") < F.col(f"least_{r}"))
+    return fine
 
 
 def judge(docs: DataFrame, rules: HostRules = HostRules(), host: str = "source") -> DataFrame:
-    """One row a document with its counts, ``base_failed`` and ``kept``."""
+    """One row a document with its counts, ``base_failed``, its host's verdict and ``kept``."""
     measured = materialize(measures(docs, rules, host), "rules")
-    hosts = host_counts(measured)
-    verdicts = host_verdicts(hosts, beta_priors(hosts, rules), rules).withColumnRenamed("host", "__host")
+    verdicts = _verdicts(measured, rules)
     joined = measured.join(verdicts, measured["host"].eqNullSafe(verdicts["__host"]), "left").drop("__host")
-    out = F.lit(False)
-    for r in RULES:
-        if r != "base":
-            out = out | ((F.col("blocked") | F.col(f"watch_{r}")) & F.col(f"{r}_failed"))
-    return joined.withColumn("host_failed", out).withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
+    return joined.withColumn("kept", _passes())
 
 
 def filter_documents(docs: DataFrame, rules: HostRules = HostRules(), host: str = "source") -> DataFrame:
-    """The kept documents, all their columns; each row has a verdict of its own, whatever its ``doc_id``."""
-    keyed = numbered(docs)
-    verdicts = judge(by_row(keyed, "text", host), rules, host)
-    return without(keyed, "__row", verdicts.where("NOT kept").select(F.col("doc_id").alias("__row"))).drop("__row")
+    """The kept documents, all their columns.
+
+    Measures are written beside the rows they belong to, so no row is looked
+    up by an id; of the rows, only those whose fate depends on their host are
+    joined with its verdict.
+    """
+    names = docs.columns
+    text, at = names.index("text"), names.index(host)
+    plain = docs.toDF(*[f"__c{i}" for i in range(len(names))])
+    measured = materialize(_measured(plain.withColumn("host", F.col(f"__c{at}")), f"__c{text}", rules), "rules")
+    worst = F.greatest(*[F.col(f"{r}_level") for r in SOFT])
+    alive = measured.where("NOT base_failed").withColumn("worst", worst)
+    verdicts = _verdicts(measured, rules)
+    open_rows = alive.where("worst IN (1, 2)")
+    told = open_rows.join(verdicts, open_rows["host"].eqNullSafe(verdicts["__host"]), "left").where(_passes())
+    kept = alive.where("worst = 0").select(*plain.columns).unionAll(told.select(*plain.columns))
+    return kept.toDF(*names)

@@ -73,11 +73,16 @@ WITH a AS (
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(len(lines) AS BIGINT) AS n_lines,
     CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN n ON n.r = w.r
 ), f AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS f1, n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 14 * n_words) AS f2,
-    n_words > 0 AND 10 * n_symbols > n_words AS f3, n_words > 0 AND 100 * n_dup_lines > 50 * n_lines AS f4 FROM m
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CASE WHEN n_words = 0 THEN 0 WHEN 100 * word_chars < 200 * n_words OR 100 * word_chars > 1400 * n_words THEN 3
+      WHEN 100 * word_chars < 300 * n_words OR 100 * word_chars > 1000 * n_words THEN 2
+      WHEN 100 * word_chars < 350 * n_words OR 100 * word_chars > 800 * n_words THEN 1 ELSE 0 END AS l_length,
+    CASE WHEN n_words = 0 THEN 0 WHEN 100 * n_symbols > 30 * n_words THEN 3 WHEN 100 * n_symbols > 10 * n_words THEN 2 WHEN 100 * n_symbols > 5 * n_words THEN 1 ELSE 0 END AS l_symbols,
+    CASE WHEN n_words = 0 THEN 0 WHEN 100 * n_dup_lines > 50 * n_lines THEN 3 WHEN 100 * n_dup_lines > 30 * n_lines THEN 2 WHEN 100 * n_dup_lines > 15 * n_lines THEN 1 ELSE 0 END AS l_lines
+  FROM m
 ), hosts AS (
-  SELECT source, CAST(count(*) AS DOUBLE) AS n, unnest(['f1', 'f2', 'f3', 'f4']) AS rule,
-    unnest([CAST(count(*) FILTER (f1) AS DOUBLE), CAST(count(*) FILTER (f2) AS DOUBLE), CAST(count(*) FILTER (f3) AS DOUBLE), CAST(count(*) FILTER (f4) AS DOUBLE)]) AS k
+  SELECT source, CAST(count(*) AS DOUBLE) AS n, unnest(['base', 'length', 'symbols', 'lines']) AS rule,
+    unnest([CAST(count(*) FILTER (base_failed) AS DOUBLE), CAST(count(*) FILTER (l_length > 1) AS DOUBLE), CAST(count(*) FILTER (l_symbols > 1) AS DOUBLE), CAST(count(*) FILTER (l_lines > 1) AS DOUBLE)]) AS k
   FROM f GROUP BY source
 ), sums AS (
   SELECT rule, sum(n) AS total, sum(n * n) AS squares, count(*) AS h, sum(k) / sum(n) AS m, sum(k * k / n) AS q FROM hosts GROUP BY rule
@@ -87,12 +92,15 @@ WITH a AS (
   SELECT rule, m, CASE WHEN between_hosts <= 0 OR scale <= 0 THEN 1000000.0 ELSE least(greatest(spread * scale / between_hosts - 1, 1.0), 1000000.0) END AS strength FROM parts
 ), rates AS (
   SELECT source, rule, (k + m * strength) / (n + strength) AS rate FROM hosts JOIN prior USING (rule)
+), blocked AS (
+  SELECT source, max(rate) > 0.5 AS blocked FROM rates GROUP BY source
 ), verdict AS (
-  SELECT source, bool_or(rate > 0.5) AS blocked, bool_or(rule = 'f2' AND rate > 0.01) AS w2, bool_or(rule = 'f3' AND rate > 0.01) AS w3, bool_or(rule = 'f4' AND rate > 0.01) AS w4
-  FROM rates GROUP BY source
+  SELECT b.source, max(CASE WHEN rule = 'length' THEN least_level END) AS v_length, max(CASE WHEN rule = 'symbols' THEN least_level END) AS v_symbols, max(CASE WHEN rule = 'lines' THEN least_level END) AS v_lines
+  FROM (SELECT source, rule, CASE WHEN rate > 0.25 THEN 1 WHEN rate < 0.1 THEN 3 ELSE 2 END AS of_rate FROM rates) r
+  JOIN blocked b ON r.source IS NOT DISTINCT FROM b.source, LATERAL (SELECT CASE WHEN blocked THEN 1 ELSE of_rate END AS least_level) GROUP BY b.source
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 AS base_failed,
-  NOT f1 AND NOT ((blocked OR w2) AND f2 OR (blocked OR w3) AND f3 OR (blocked OR w4) AND f4) AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND l_length < v_length AND l_symbols < v_symbols AND l_lines < v_lines AS kept
 FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source
 """
 

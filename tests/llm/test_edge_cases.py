@@ -72,12 +72,48 @@ def test_documents(spark, name):
     assert BY_DOCUMENT[name](spark, documents(spark, [])).collect() == []
 
 
-def test_clean_documents_of_bad_hosts_stay(spark):
-    clean = " ".join(f"word{i}" for i in range(80))
-    rows = [(i, "too short", "en", "bad") for i in range(30)] + [(100, clean, "en", "bad"), (101, clean + " ###" * 40, "en", "bad"), (102, clean, "en", "good"), (103, clean, "en", None)]
-    kept = {r.doc_id for r in op10_quality_rules.judge(documents(spark, rows)).where("kept").collect()}
-    assert kept == {100, 102, 103}
-    assert {r.doc_id for r in op10_quality_rules.filter_documents(documents(spark, rows)).collect()} == kept
+def _lines(repeated: int, of: int = 20) -> str:
+    """A text of ``of`` lines, of which ``repeated`` repeat the first; clean otherwise."""
+    return "\n".join(" ".join(f"word{i}" for i in range(9)) if k <= repeated else " ".join(f"other{k} say{i}" for i in range(9)) for k in range(of))
+
+
+def _verdicts(spark, rows):
+    got = {r.doc_id: r.kept for r in op10_quality_rules.judge(documents(spark, rows)).collect()}
+    assert {r.doc_id for r in op10_quality_rules.filter_documents(documents(spark, rows)).collect()} == {i for i, k in got.items() if k}
+    return got
+
+
+def test_a_host_settles_which_limits_hold(spark):
+    """One text each with few, some and many repeated lines on hosts of other habits, and clean ones everywhere."""
+    clean = " ".join(f"word{i} and" for i in range(80))
+    habits = {"trusted": 0, "usual": 15, "suspect": 40, "blocked": 65}  # of a hundred documents, so many with half of their lines repeated
+    rows, at = [], 0
+    for host, bad in habits.items():
+        for k in range(100):
+            rows.append((at, _lines(9) if k < bad else clean, "en", host))
+            at += 1
+    probes = {(host, n): at + i for i, (host, n) in enumerate((h, n) for h in habits for n in (0, 4, 8, 12))}
+    got = _verdicts(spark, rows + [(i, _lines(n), "en", host) for (host, n), i in probes.items()])
+    stays = {host: [n for n in (0, 4, 8, 12) if got[probes[host, n]]] for host in habits}
+    assert stays == {"trusted": [0, 4, 8], "usual": [0, 4], "suspect": [0], "blocked": [0]}
+    assert all(got[i] for i, text, _, _ in rows if text == clean)
+
+
+def test_a_blocked_host_is_held_to_every_strict_limit(spark):
+    clean = " ".join(f"word{i} and" for i in range(80))
+    marked = clean + " #" * 11  # beyond the strict limit of symbols, within the usual one
+    rows = [(i, "too short", "en", "bad") for i in range(300)] + [(1000 + i, clean, "en", "good") for i in range(300)]
+    rows += [(5000, clean, "en", "bad"), (5001, marked, "en", "bad"), (5002, marked, "en", "good"), (5003, marked, "en", None), (5004, clean, "en", None)]
+    got = _verdicts(spark, rows)
+    assert [got[i] for i in range(5000, 5005)] == [True, False, True, True, True]
+
+
+def test_small_hosts_have_the_verdicts_of_the_corpus(spark):
+    """Where hosts of one document each fail as rarely as the corpus, one that fails is no habit of its host."""
+    clean = " ".join(f"word{i} and" for i in range(80))
+    rows = [(i, clean, "en", f"h{i}") for i in range(200)] + [(900, _lines(8), "en", "lone"), (901, _lines(12), "en", "other")]
+    got = _verdicts(spark, rows)
+    assert got[900] and not got[901] and all(got[i] for i in range(200))
 
 
 @pytest.mark.parametrize("name", ["op1", "op3", "op7", "op10"])
