@@ -121,20 +121,57 @@ def test_mixing(spark, seed):
     assert all(mixed[r.doc_id] == r.copies for r in got)
 
 
-def test_search_over_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(op5_topk, "BLOCK", 40)
-    monkeypatch.setattr(op5_topk, "LANES", 3)
-    monkeypatch.setattr(op5_topk, "IN_LANE", 2)
+def _best(rows, k=5, scale=256):
+    """(query, rank, id, score) of rows (id, vector) in integers of any size."""
+    v = [(i, [int(np.floor(scale * float(x))) for x in e]) for i, e in rows]
+    want = []
+    for q in sorted({i for i, _ in v if i % 50 == 0}):
+        scores = sorted((-sum(a * b for a, b in zip(x, y)), j) for i, x in v if i == q for j, y in v if j != q and len(x) == len(y))[:k]
+        want += [(q, r, j, -s) for r, (s, j) in enumerate(scores, 1)]
+    return sorted(want)
+
+
+def _small_blocks(monkeypatch):
+    for name, value in (("BLOCK", 40), ("LANES", 3), ("IN_LANE", 2), ("QUERIES", 4), ("FIRST", 1)):
+        monkeypatch.setattr(op5_topk, name, value)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e5, 1e6])
+def test_search_over_many_blocks(spark, monkeypatch, scale):
+    _small_blocks(monkeypatch)
     draw = np.random.default_rng(4)
-    v = np.round(draw.standard_normal((700, 6)), 1).astype(np.float32)
+    v = np.round(draw.standard_normal((700, 6)), 1).astype(np.float32) * np.float32(scale)
+    v[600:] = v[:100]  # copies
     rows = [(i, [float(x) for x in v[i]]) for i in range(700)]
     got = op5_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)).collect()
-    w = np.floor(256 * v.astype(float)).astype(int)
-    want = set()
-    for q in range(0, 700, 50):
-        best = sorted((-int(w[q] @ w[i]), i) for i in range(700) if i != q)[:5]
-        want |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == _best(rows)
+
+
+def test_search_with_hot_vectors_lengths_and_repeated_ids(spark, monkeypatch):
+    _small_blocks(monkeypatch)
+    draw = np.random.default_rng(5)
+    rows = [(i, [0.5, 0.25, -1.0]) for i in range(200)] + [(i, [float(x) for x in draw.standard_normal(3).round(2)]) for i in range(200, 420)]
+    rows += [(i, [float(x) for x in draw.standard_normal(2).round(2)]) for i in range(420, 460)]
+    rows += [(50, [0.1, 0.2, 0.3]), (100, [0.5, 0.25, -1.0]), (7, [0.5, 0.25, -1.0]), (7, [2.0, 2.0, -2.0]), (450, [1.0, 1.0])]
+    got = op5_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == _best(rows)
+
+
+def test_search_reads_few_exact_vectors(spark):
+    draw = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in draw.standard_normal(32)]) for i in range(3000)]
+    found, read = op5_topk.searched(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect()) == _best(rows)
+    assert read[0]["possible"] < 0.02 * read[0]["queries"] * read[0]["classes"]
+
+
+def test_scores_that_are_no_long(spark):
+    rows = [(0, [7e6, 7e6]), (1, [7e6, 7e6 - 1]), (2, [-7e6, 7e6]), (3, [-7e6, -7e6])]  # just within
+    got = op5_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == _best(rows)
+    for big in (3e15, 1e30):
+        with pytest.raises(Exception, match="64-bit integer"):
+            op5_topk.top_k(spark.createDataFrame([(0, [big, big]), (1, [big, big])], "vec_id long, embedding array<double>")).collect()
 
 
 def _near_copies(n: int = 60) -> list[tuple[int, str]]:
