@@ -8,9 +8,13 @@ which ranks go to which sequences.  Executors number the pieces of each length
 and look the plan up.  The result is that of one global best-fit run, at any
 size, without a driver or a task that sees all pieces.
 
+With the contract's limits a sequence holds at most ``tokens`` pieces and
+``tokens`` squared of attention cost whatever is packed, so only the tokens
+bind there; smaller limits bind by all three (``Limits``).
+
 Defined cases: a null or empty text is the end token alone; repeated rows are
-packed once each; an empty table gives an empty result; other columns are
-ignored.  A document longer than ``tokens`` is cut into full pieces, the first
+packed once each, and those that share an id by their pieces in any order; an
+empty table gives an empty result; other columns are ignored.  A document longer than ``tokens`` is cut into full pieces, the first
 of which may be shorter.
 """
 
@@ -50,7 +54,12 @@ class Limits:
 
 
 class Encoder:
-    """Ids as by ``tokenizers``; plain texts take a faster coder of the same vocabulary."""
+    """Ids as by ``tokenizers``; plain texts take a faster coder of the same vocabulary.
+
+    The string of a special token is that token's id, as in the plain call;
+    texts that hold one are left to the exact coder, as are characters beyond
+    those on which the two are known to agree.
+    """
 
     def __init__(self, vocabulary: str | None = None):
         import base64
@@ -61,7 +70,8 @@ class Encoder:
 
         path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
+        added = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.fast = None
         if vocabulary is None:
             with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
@@ -69,7 +79,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is not None and not OTHER.search(text):
+        if self.fast is not None and not OTHER.search(text) and not (self.added is not None and self.added.search(text)):
             return self.fast.encode_ordinary(text)
         return self.exact.encode(text, add_special_tokens=False).ids
 
@@ -157,11 +167,20 @@ def plan(counts: dict[int, int], limits: Limits = Limits()) -> np.ndarray:
 
 
 def number(found: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Adds ``rank``: 0, 1, ... among the pieces of the same length."""
-    bucketed = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    counts = bucketed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    """Adds ``rank``: 0, 1, ... among the pieces of the same length.
+
+    Counts of a length's buckets are themselves summed in groups of buckets,
+    so no task sees all counts of a frequent length.
+    """
+    groups = max(1, int(buckets**0.5))
+    bucketed = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    counts = bucketed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("group", (F.col("bucket") / F.lit(groups)).cast("int"))
+    counts = materialize(counts, "counts")
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of_groups = counts.groupBy("length", "group").agg(F.sum("n").alias("n"))
+    of_groups = of_groups.select("length", "group", upto(Window.partitionBy("length").orderBy("group")).alias("before"))
+    base = counts.withColumn("own", upto(Window.partitionBy("length", "group").orderBy("bucket"))).join(of_groups, ["length", "group"])
+    base = base.select("length", "bucket", (F.col("before") + F.col("own")).alias("base"))
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
     ranked = bucketed.withColumn("within", F.row_number().over(within) - 1)
     return ranked.join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("within")).drop("base", "within", "bucket")
