@@ -46,8 +46,10 @@ from .common import bloom_filter, by_row, drop_scratch, materialize, numbered, p
 WORDS = 5
 BANDS, ROWS = 40, 5
 UNIVERSE = 1 << 20
-#: Buckets with more members than this are compared in blocks of so many.
-FEW, BLOCK = 24, 512
+#: Buckets with more members than this are compared in blocks of so many, and of so many characters.
+FEW, BLOCK, BLOCK_CHARS = 24, 512, 16_000_000
+#: Partners of one document whose text they meet together.
+PARTNERS = 1000
 _MASK = (1 << 64) - 1
 
 
@@ -137,7 +139,11 @@ def sketches(docs: DataFrame, words: int = WORDS, n_bands: int = BANDS, rows: in
 def verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
     """The pairs (a, b) with whether their full sets are similar enough."""
     kept = materialize(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "texts")
-    joined = pairs.join(kept.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(kept.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    # a pivot with many partners meets them in parts: its text is repeated once a part, theirs are moved once
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    one = parts.join(kept, parts["a"] == kept["doc_id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("ta"))
+    joined = dealt.join(kept.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(one, ["a", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,8 +254,9 @@ def links(sketched: DataFrame, docs: DataFrame, percent: int = 80, words: int =
     many = members.where(F.col("m") > FEW)
     texts = _texts(docs, many.select(F.col("cls").alias("doc_id")).distinct())
     full = many.join(sigs, "cls").join(texts.withColumnRenamed("doc_id", "cls"), "cls")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = full.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    spread = full.groupBy("key").agg(F.sum(F.length("text")).alias("chars")).select("key", F.ceil(F.greatest(F.lit(1), F.col("chars") / BLOCK_CHARS)).cast("int").alias("by_chars"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK).cast("int"), F.col("by_chars"))
+    dealt = full.join(spread, "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = dealt.select("key", "cls", "n", "label", "sig", "bands", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     side = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1)
     dealt = dealt.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), side.alias("side"), "cls", "n", "label", "sig", "bands", "text")
