@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,11 +75,12 @@ def bloom_filter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 LEAST_WORDS, MOST_WORDS = 1 << 12, 1 << 22
 
 
-def filter_bits(wanted: DataFrame, hashed: str) -> np.ndarray:
+def filter_bits(wanted: DataFrame, hashed: str) -> Broadcast:
     """The filter's words for a column of a written table that holds hashes already, for Python on the executors.
 
     It grows with the keys up to ``MOST_WORDS``, which is also the number of
-    rows that reach the driver at most.  The lowest 16 bits are not used.
+    rows that reach the driver at most, and is sent to each executor once.
+    The lowest 16 bits are not used.
     """
     n, size = wanted.count(), LEAST_WORDS
     while size < MOST_WORDS and size < 2 * n:
@@ -87,7 +89,7 @@ def filter_bits(wanted: DataFrame, hashed: str) -> np.ndarray:
     bits = np.zeros(size, np.int64)
     for batch in words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
         bits[batch.column("w").to_numpy()] = batch.column("bits").to_numpy()
-    return bits.view(np.uint64)
+    return wanted.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
 
 
 def unique_ids(docs: DataFrame) -> bool:

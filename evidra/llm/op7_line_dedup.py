@@ -8,16 +8,20 @@ where keys meet.  Meetings are verified by banded bit-parallel edit distance.
 
 A line goes if an equal line stands earlier in the corpus, in order of
 (doc_id, line number), or if an earlier one is within the edits; the first
-stays.  Lines of fewer than ``min_chars`` characters, white space at their
-ends not counted, take no part in the edit join.  Their exact repeats go too
-if ``exact_chars`` lets them: with 1, of every line that holds a word.  It is
-``min_chars`` where none is given, as in the contract query, whose SQL leaves
-short lines alone.
+stays.  Exact repeats go however short they are, if they hold a word
+(``exact_chars``); lines of fewer than ``min_chars`` characters, white space
+at their ends not counted, take no part in the edit join.
 
-Lines are keyed where they first stand.  Keys are first counted, 6 bytes
-each; only lines of keys that meet are read again.  Where many different lines share a key, they are dealt into blocks of
-bounded size that are compared block by block, and only verified links leave
-a block: no group is collected and no list of its pairs is made.
+``edits`` is a number, or pairs (length, edits) in rising order: lines of at
+least that length may differ by so many, and of two lines the shorter one's
+number holds.  The keys of a line grow with the cube of its edits, which is
+why the default is two for lines of any length.
+
+Lines are keyed where they first stand.  Keys are first counted, 6 bytes each;
+only lines of keys that meet are read again.  Where many different lines share
+a key, they are dealt into blocks of bounded size that are compared block by
+block; a block tells which lines go, at most once each, so no group is
+collected and no list of its pairs is made.
 
 Defined cases: null texts stay null; an empty text stays; a document all of
 whose lines go is dropped, as nothing of its own is left; rows that share a
@@ -34,6 +38,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +47,12 @@ from .editdist import distance_within
 
 EDITS = 2
 MIN_CHARS = 32
-#: Keys shared by more lines than this are compared in blocks.
+#: Exact repeats of lines of so many characters go: of all that hold a word.
+EXACT_CHARS = 1
+#: Keys shared by more lines than this are compared in blocks of so many lines, and of so many characters.
 FEW = 16
-BLOCK = 128
+BLOCK, BLOCK_CHARS = 1024, 4_000_000
+Edits = int | tuple[tuple[int, int], ...]
 _WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -58,16 +66,25 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return out
 
 
-def keys_of(line: str, edits: int, plans: dict[int, list[tuple[int, int, int]]]) -> list[int]:
+def allowed(length: int, edits: Edits) -> int:
+    """How many edits a line of this length may differ by."""
+    if isinstance(edits, int):
+        return edits
+    return max((n for least, n in edits if least <= length), default=0)
+
+
+def keys_of(line: str, edits: Edits, plans: dict[int, list[tuple[int, int, int]]]) -> list[int]:
     """The line's segments, and its substrings that may be segments of a line as long or shorter."""
     n = len(line)
     if n not in plans:
         plan = []
-        for m in range(max(n - edits, edits + 1), n + 1):
-            gap = n - m
-            for i, (p, size) in enumerate(segments(m, edits)):
-                lo, hi = max(0, p - i, p + gap - (edits - i)), min(n - size, p + i, p + gap + (edits - i))
-                plan += [(m * (edits + 1) + i, q, q + size) for q in range(lo, hi + 1)]
+        for m in range(max(n - allowed(n, edits), 1), n + 1):
+            most, gap = allowed(m, edits), n - m
+            if gap > most or m <= most:
+                continue
+            for i, (p, size) in enumerate(segments(m, most)):
+                lo, hi = max(0, p - i, p + gap - (most - i)), min(n - size, p + i, p + gap + (most - i))
+                plan += [(m << 8 | i, q, q + size) for q in range(lo, hi + 1)]
         plans[n] = plan
     return [xxhash.xxh64_intdigest(line[a:b], seed) for seed, a, b in plans[n]]
 
@@ -111,11 +128,13 @@ _PLACE = [pa.field("doc", pa.int64()), pa.field("line", pa.int32())]
 _ID = [_hashed("h1"), _hashed("h2")]
 
 
-def _may_hold(bits: np.ndarray, h: int) -> bool:
+def _may_hold(held: Broadcast, h: int) -> bool:
+    bits = held.value
     return bool(int(bits[h >> 16 & (len(bits) - 1)]) >> (h >> 58) & 1)
 
 
-def _hold(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+def _hold(held: Broadcast, h: np.ndarray) -> np.ndarray:
+    bits = held.value
     return (bits[(h >> np.uint64(16) & np.uint64(len(bits) - 1)).astype(np.int64)] >> (h >> np.uint64(58)) & np.uint64(1)).astype(bool)
 
 
@@ -177,7 +196,7 @@ class Once:
         return not _may_hold(self.again, h1) or _may_hold(self.firsts, _occurrence(h1, doc, no)) or _may_hold(self.alarms, h1)
 
 
-def line_texts(docs: DataFrame, min_chars: int, only: np.ndarray, once: Once) -> DataFrame:
+def line_texts(docs: DataFrame, min_chars: int, only: Broadcast, once: Once) -> DataFrame:
     """doc, line, h1, h2, text of the keyed lines whose h1 the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +215,7 @@ def line_texts(docs: DataFrame, min_chars: int, only: np.ndarray, once: Once) ->
     return docs.mapInArrow(run, "doc long, line int, h1 long, h2 long, text string")
 
 
-def line_keys(docs: DataFrame, edits: int, min_chars: int, once: Once) -> DataFrame:
+def line_keys(docs: DataFrame, edits: Edits, min_chars: int, once: Once) -> DataFrame:
     """key: one row for each key of each line that is keyed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +239,7 @@ def line_keys(docs: DataFrame, edits: int, min_chars: int, once: Once) -> DataFr
     return docs.mapInArrow(run, "key long")
 
 
-def keyed_lines(docs: DataFrame, edits: int, min_chars: int, only: np.ndarray, once: Once) -> DataFrame:
+def keyed_lines(docs: DataFrame, edits: Edits, min_chars: int, only: Broadcast, once: Once) -> DataFrame:
     """key, h1, h2 likewise, of the keys that ``only`` lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,41 +274,49 @@ def keyed_lines(docs: DataFrame, edits: int, min_chars: int, only: np.ndarray, o
     return docs.mapInArrow(run, "key long, h1 long, h2 long")
 
 
+def _near(a: str, b: str, edits: Edits) -> bool:
+    return distance_within(a, b, allowed(min(len(a), len(b)), edits)) is not None
+
+
 def _letters(lines: list[str]) -> np.ndarray:
     """How often each of 64 classes of characters occurs; an edit moves at most two counts by one."""
     out = np.empty((len(lines), 64), np.int32)
     for i, line in enumerate(lines):
-        codes = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+        codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
         out[i] = np.bincount(codes & 63, minlength=64)
     return out
 
 
-def _compare(edits: int):
-    """The links inside one block pair of a key that many lines share."""
+def _compare(edits: Edits):
+    """The lines that go by one block pair of a key that many lines share: each has an earlier one near in the pair."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.drop_duplicates(["h1", "h2", "side"])
-        left, right = block[block.side != 1], block[block.side != 0]
-        counts = _letters(right.text.tolist())
-        lengths = right.text.str.len().to_numpy()
-        texts, ids = right.text.tolist(), list(zip(right.h1, right.h2, strict=True))
-        out = []
-        for line, h1, h2, own in zip(left.text, left.h1, left.h2, _letters(left.text.tolist()), strict=True):
-            near = (np.abs(lengths - len(line)) <= edits) & (np.abs(counts - own).sum(1) <= 2 * edits)
-            for j in np.flatnonzero(near):
-                if (h1, h2) != ids[j] and distance_within(line, texts[j], edits) is not None:
-                    out.append((h1, h2, *ids[j]))
-        return pd.DataFrame(out, columns=["a1", "a2", "b1", "b2"], dtype="int64")
+        block = block.drop_duplicates(["h1", "h2", "side"]).sort_values(["doc", "line"], kind="stable", na_position="first").reset_index(drop=True)
+        texts, side = block.text.tolist(), block.side.to_numpy()
+        counts, lengths = _letters(texts), np.array(list(map(len, texts)))
+        most = np.array([allowed(n, edits) for n in lengths.tolist()])
+        gone = []
+        for j in range(1, len(texts)):
+            may = np.minimum(most[:j], most[j])
+            near = np.abs(lengths[:j] - lengths[j]) <= may
+            near &= side[:j] == 2 if side[j] == 2 else side[:j] != side[j]
+            near = np.flatnonzero(near)
+            near = near[np.abs(counts[near] - counts[j]).sum(1) <= 2 * may[near]]
+            if any(_near(texts[i], texts[j], edits) for i in near[::-1]):
+                gone.append(j)
+        return block.loc[gone, ["h1", "h2"]].astype("int64")
 
     return run
 
 
-def near_links(docs: DataFrame, grouped: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(lines that share a key with another: h1, h2, doc, line, text; links a1, a2, b1, b2).
+def near_lines(docs: DataFrame, grouped: DataFrame, edits: Edits = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """h1, h2 of the different lines that have an earlier one within the edits.
 
     grouped: h1, h2, n, first of every different line.  Lines are keyed where
     they first stand, so no text is moved before its keys meet another's.
     """
+    if allowed(min_chars, edits) >= min_chars:
+        raise ValueError("lines in the edit join must be longer than their edits")
     once = Once(grouped)
     keys = line_keys(docs, edits, min_chars, once)
     met = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
@@ -306,50 +333,50 @@ def near_links(docs: DataFrame, grouped: DataFrame, edits: int = EDITS, min_char
     few = members.where(F.col("m") <= FEW).select("key", "h1", "h2")
     other = few.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"))
     pairs = few.join(other, "key").where("h1 < b1 OR (h1 = b1 AND h2 < b2)").select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), "b1", "b2").distinct()
-    body = lines.select("h1", "h2", "text")
-    pairs = pairs.join(body.toDF("a1", "a2", "ta"), ["a1", "a2"]).join(body.toDF("b1", "b2", "tb"), ["b1", "b2"])
+    body = lambda x: lines.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.struct("doc", "line").alias(f"{x}at"), F.col("text").alias(f"{x}text"))
+    pairs = pairs.join(body("a"), ["a1", "a2"]).join(body("b"), ["b1", "b2"])
+    later = F.when(F.col("aat") < F.col("bat"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).otherwise(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")))
+    pairs = pairs.select(later.alias("x"), "atext", "btext").select("x.h1", "x.h2", "atext", "btext")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [distance_within(a, b, edits) is not None for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            yield batch.select([0, 1, 2, 3]).filter(pa.array(ok, pa.bool_()))
+            ok = [_near(a, b, edits) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    links = pairs.select("a1", "a2", "b1", "b2", "ta", "tb").mapInArrow(verify, "a1 long, a2 long, b1 long, b2 long")
+    gone = pairs.mapInArrow(verify, "h1 long, h2 long")
 
-    many = members.where(F.col("m") > FEW).join(body, ["h1", "h2"])
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = many.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("key", "h1", "h2", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    many = members.where(F.col("m") > FEW).join(lines, ["h1", "h2"])
+    spread = many.groupBy("key").agg(F.sum(F.length("text")).alias("chars")).select("key", F.ceil(F.greatest(F.lit(1), F.col("chars") / BLOCK_CHARS)).cast("int").alias("by_chars"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK).cast("int"), F.col("by_chars"))
+    dealt = many.join(spread, "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int"))
+    row = ["h1", "h2", "doc", "line", "text"]
+    dealt = dealt.select("key", *row, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     sides = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1)
-    dealt = dealt.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), sides.alias("side"), "h1", "h2", "text")
-    hot = dealt.groupBy("key", "i", "j").applyInPandas(_compare(edits), "a1 long, a2 long, b1 long, b2 long")
-    links = materialize(links.union(hot).distinct(), "links")
-    drop_scratch(members)
-    drop_scratch(wanted)
-    return lines, links
+    dealt = dealt.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), sides.alias("side"), *row)
+    hot = dealt.groupBy("key", "i", "j").applyInPandas(_compare(edits), "h1 long, h2 long")
+    near = materialize(gone.union(hot).distinct(), "near")
+    for used in (members, wanted, lines):
+        drop_scratch(used)
+    return near
 
 
-def removals(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+def removals(docs: DataFrame, edits: Edits = EDITS, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """doc, gone: the numbers of the lines that go from each document that loses any; doc_id must tell rows apart."""
     source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = materialize(occurrences(source, min_chars, min_chars if exact_chars is None else exact_chars), "seen")
+    seen = materialize(occurrences(source, min_chars, exact_chars), "seen")
     grouped = materialize(seen.groupBy("h1", "h2", "long").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line")).alias("first")), "grouped")
     repeated = grouped.where("n > 1").select("h1", "h2", "first")
-    lines, links = near_links(source, grouped.where("long").drop("long"), edits, min_chars)
-    place = lines.select("h1", "h2", F.struct("doc", "line").alias("at"))
-    sided = links.join(place.toDF("a1", "a2", "at_a"), ["a1", "a2"]).join(place.toDF("b1", "b2", "at_b"), ["b1", "b2"])
-    later = F.when(F.col("at_a") < F.col("at_b"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))).otherwise(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")))
-    near = sided.select(later.alias("x")).select("x.h1", "x.h2").distinct().withColumn("all", F.lit(True))
+    near = near_lines(source, grouped.where("long").drop("long"), edits, min_chars).withColumn("all", F.lit(True))
     gone = materialize(repeated.join(near, ["h1", "h2"], "full_outer"), "gone")
     held = bloom_filter(seen, "h1", gone.select("h1")).join(gone, ["h1", "h2"])
     out = held.where("all OR NOT struct(doc, line) <=> first").select("doc", "line")
     removed = materialize(out.distinct().groupBy("doc").agg(F.collect_set("line").alias("gone")), "removed")
-    for used in (seen, grouped, lines, links, gone):
+    for used in (seen, grouped, near, gone):
         drop_scratch(used)
     return removed
 
 
-def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, counts: bool = False, exact_chars: int | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, edits: Edits = EDITS, min_chars: int = MIN_CHARS, counts: bool = False, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """The documents with their remaining lines; with ``counts``, also n_lines and n_removed.
 
     Only documents that lose lines are joined with what they lose, and they

@@ -153,14 +153,14 @@ WITH d AS (
 ), o AS (
   SELECT doc_id, unnest(range(len(l))) AS no, trim(unnest(l), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM d
 ), t AS (
-  SELECT doc_id, no, x FROM o WHERE length(x) >= 32
+  SELECT doc_id, no, x FROM o WHERE x <> ''
 ), f AS (
   SELECT x, min({{'d': doc_id, 'n': no}}) AS spot FROM t GROUP BY x
 ), signs AS (
-  SELECT c, row_number() OVER (ORDER BY c) AS i FROM (SELECT DISTINCT unnest(string_split(x, '')) AS c FROM f)
+  SELECT c, row_number() OVER (ORDER BY c) AS i FROM (SELECT DISTINCT unnest(string_split(x, '')) AS c FROM f WHERE length(x) >= 32)
 ), plain AS (
   SELECT x, string_agg(CASE WHEN i > 120 THEN error('more than 120 signs') ELSE chr(CAST(i AS INTEGER)) END, '' ORDER BY p) AS b, count(*) AS n
-  FROM (SELECT x, unnest(string_split(x, '')) AS c, unnest(range(length(x))) AS p FROM f) JOIN signs USING (c) GROUP BY x
+  FROM (SELECT x, unnest(string_split(x, '')) AS c, unnest(range(length(x))) AS p FROM f WHERE length(x) >= 32) JOIN signs USING (c) GROUP BY x
 ), g AS (
   SELECT f.x, spot, b, n FROM f JOIN plain USING (x)
 ), near AS (

@@ -30,11 +30,29 @@ def test_sql(spark, sf, name):
     assert sorted(repr(tuple(r[c] for c in columns)) for r in got.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
 
 
+def _tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_special_tokens_in_texts(spark):
+    """Ids as an untouched tokenizer gives them."""
+    texts = ["see <|endoftext|> here", "<|endoftext|>", "the end.<|endoftext|>More", "<|endoftext", "é😀<|endoftext|>ß"]
+    plain, own = _tokenizer(), op1_packing.encoder()
+    assert [own(t) for t in texts] == [plain.encode(t, add_special_tokens=False).ids for t in texts] and 50256 in own(texts[0])
+    got = op1_packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        ids = [*plain.encode(texts[r.doc_id], add_special_tokens=False).ids, 0]
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_packing(spark, sf):
-    encode = op1_packing.encoder()
+    plain = _tokenizer()
     want = {}
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
-        ids = [*encode.exact.encode(r.text or "", add_special_tokens=False).ids, 0]
+        ids = [*plain.encode(r.text or "", add_special_tokens=False).ids, 0]
         first = len(ids) % 2048 or 2048
         cuts = [0, *range(first, len(ids), 2048), len(ids)]
         for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -215,6 +233,22 @@ def test_near_duplicates(spark, monkeypatch, few, block):
     assert {r.doc_id for r in got if r.kept} == {i for i in sets if find(i) == i}
 
 
+def test_signatures_find_pairs_at_the_threshold():
+    """Pairs of similarity 0.8 share a band and agree in as many coordinates as the last round asks for."""
+    draw = np.random.default_rng(11)
+    least, similar = op3_minhash._alike(80), 0
+    for n in (5, 20, 60, 400, 3000):
+        for _ in range(120):
+            both, own = round(0.8 * n), n - round(0.8 * n)
+            found = draw.integers(0, 1 << 63, both + own, dtype=np.uint64)
+            a, b = np.sort(found[: both + own // 2]), np.sort(np.concatenate([found[:both], found[both + own // 2 :]]))
+            assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+            one, two = op3_minhash.signature(a), op3_minhash.signature(b)
+            assert (op3_minhash.bands(one) == op3_minhash.bands(two)).any()
+            similar += (one.astype(np.uint8) == two.astype(np.uint8)).sum() >= least
+    assert similar == 600
+
+
 def _distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -247,18 +281,28 @@ def test_edit_distance():
         assert editdist.distance_within(a, b, most) == (d if d <= most else None)
 
 
-@pytest.mark.parametrize("few,edits", [(16, 2), (1, 2), (16, 1)])
-def test_line_dedup(spark, monkeypatch, few, edits):
+TIERS = ((20, 1), (32, 2), (45, 4))
+
+
+@pytest.mark.parametrize("few,edits,block", [(16, 2, 5), (1, 2, 5), (1, 2, 1000), (16, 1, 5), (16, TIERS, 5), (1, TIERS, 5)])
+def test_line_dedup(spark, monkeypatch, few, edits, block):
     monkeypatch.setattr(op7_line_dedup, "FEW", few)
-    monkeypatch.setattr(op7_line_dedup, "BLOCK", 5)
+    monkeypatch.setattr(op7_line_dedup, "BLOCK", block)
     draw = random.Random(9)
-    base = ["".join(draw.choice("abcdefgh ") for _ in range(draw.randrange(30, 60))).strip() for _ in range(12)]
-    rows = [(i, "\n".join(_edited(draw, draw.choice(base), draw.randrange(4)) if draw.random() < 0.8 else draw.choice(["short", "", "x" * 40]) for _ in range(6))) for i in range(40)]
+    least = 20 if edits is TIERS else 32
+    base = ["".join(draw.choice("abcdefgh ") for _ in range(draw.randrange(18, 60))).strip() for _ in range(20)]
+    rows = [(i, "\n".join(_edited(draw, draw.choice(base), draw.randrange(6)) if draw.random() < 0.8 else draw.choice(["short", " short", "", " ", "x" * 40, "y"]) for _ in range(6))) for i in range(40)]
     first: dict[str, tuple[int, int]] = {}
-    lines = [(i, n, x.strip()) for i, t in rows for n, x in enumerate(t.split("\n")) if len(x.strip()) >= 32]
+    lines = [(i, n, x.strip()) for i, t in rows for n, x in enumerate(t.split("\n")) if x.strip()]
     for i, n, x in lines:
         first.setdefault(x, (i, n))
-    near = {x for x in first for y in first if first[y] < first[x] and abs(len(x) - len(y)) <= edits and _distance(x, y) <= edits}
+
+    def close(x, y):
+        n = min(len(x), len(y))
+        most = edits if isinstance(edits, int) else max([k for at, k in edits if at <= n], default=0)
+        return n >= least and abs(len(x) - len(y)) <= most and _distance(x, y) <= most
+
+    near = {x for x in first for y in first if first[y] < first[x] and close(x, y)}
     gone = defaultdict(set)
     for i, n, x in lines:
         if x in near or first[x] != (i, n):
@@ -268,7 +312,7 @@ def test_line_dedup(spark, monkeypatch, few, edits):
         kept = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i])
         if kept.strip() or not gone[i]:
             want[i] = kept
-    got = op7_line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), edits, 32)
+    got = op7_line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), edits, least)
     assert {r.doc_id: r.text for r in got.collect()} == want and near
 
 
