@@ -86,10 +86,9 @@ def _main(spark: SparkSession, o: argparse.Namespace) -> int:
         made = validation.run_manifest(spark, o.results, o.lock, o.root, benchmark=o.benchmark, selection=o.selection)
         formats.write_text(spark.createDataFrame([(json.dumps(made, indent=1),)], "value string"), out)
     elif o.command == "summarize":
-        found = validation.summary(validation.load_blind(spark, o.results), replicates=o.replicates)
-        formats.bundle(spark, out, found)
-        for rows in found.values():
-            _show(rows)
+        rows = validation.load_blind(spark, o.results)
+        validation.write_report(spark, out, rows, replicates=o.replicates)
+        _show(validation.statistical_report(rows, o.replicates)["aggregates"])
     return 0
 
 

@@ -1,8 +1,11 @@
 """Candidate pairs: exhaustive, or through blocking keys with a cap on a block's size.
 
-Keys are exploded once; sizes are counted before members meet, so a block
-above the cap is never joined.  That such blocks are left out is part of the
-semantics of blocking here; ``dropped_blocks`` reports them.
+Keys are derived once and written as 64-bit hashes; sizes are counted before
+members meet, so a block above the cap is never joined.  Two records that
+share several blocks make their pair in the first of them, so pairs are
+distinct as they are made.  That blocks above the cap are left out is a rule
+of record linkage here: ``cap=None`` lifts it, and the engines report the
+blocks in ``Result.dropped_blocks``.
 """
 
 from __future__ import annotations
@@ -11,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.functions import text as T
+from evidra.plans.scratch import materialize
 
+#: Members above which a block makes no pairs, unless a caller lifts the cap.
 CAP = 500
 
 
@@ -66,16 +71,24 @@ def block_sizes(keys: DataFrame) -> DataFrame:
     return keys.groupBy("block_key").agg(F.count_distinct("idx").alias("members"))
 
 
-def dropped_blocks(keys: DataFrame, cap: int = CAP) -> DataFrame:
-    return block_sizes(keys).where(F.col("members") > cap)
+def dropped_blocks(keys: DataFrame, cap: int | None = CAP) -> DataFrame:
+    sizes = block_sizes(keys)
+    return sizes.where(F.col("members") > cap) if cap is not None else sizes.limit(0)
 
 
-def blocked_pairs(keys: DataFrame, cap: int = CAP) -> DataFrame:
-    """Distinct (left_index < right_index) that share a block of at most ``cap`` members."""
-    fit = block_sizes(keys).where((F.col("members") > 1) & (F.col("members") <= cap)).select("block_key")
-    held = keys.join(fit, "block_key").select("block_key", "idx").distinct()
-    left, right = held.withColumnRenamed("idx", "left_index"), held.withColumnRenamed("idx", "right_index")
-    return left.join(right, "block_key").where("left_index < right_index").select("left_index", "right_index").distinct()
+def blocked_pairs(keys: DataFrame, cap: int | None = CAP) -> DataFrame:
+    """Distinct (left_index < right_index) that share a block of at most ``cap`` members; of any size without a cap.
+
+    keys: (idx, block_key), no row twice.
+    """
+    hashed = materialize(keys.select("idx", F.xxhash64("block_key").alias("key")).distinct(), "keys")
+    sizes = hashed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    fit = sizes if cap is None else sizes.where(F.col("members") <= cap)
+    held = hashed.join(fit.select("key"), "key", "left_semi").groupBy("idx").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    members = materialize(held.select("idx", "keys", F.explode("keys").alias("key")), "members")
+    right = members.select(F.col("idx").alias("right_index"), F.col("keys").alias("others"), "key")
+    first = F.array_min(F.array_intersect("keys", "others")) == F.col("key")
+    return members.join(right, "key").where((F.col("idx") < F.col("right_index")) & first).select(F.col("idx").alias("left_index"), "right_index")
 
 
 def exhaustive_pairs(records: DataFrame) -> DataFrame:
@@ -84,7 +97,7 @@ def exhaustive_pairs(records: DataFrame) -> DataFrame:
     return a.join(b, F.col("left_index") < F.col("right_index"))
 
 
-def candidate_pairs(records: DataFrame, keys: DataFrame, exhaustive_limit: int, cap: int = CAP) -> tuple[DataFrame, bool]:
+def candidate_pairs(records: DataFrame, keys: DataFrame, exhaustive_limit: int, cap: int | None = CAP) -> tuple[DataFrame, bool]:
     """(pairs, whether they are exhaustive); counts no further than the limit to decide."""
     small = records.limit(exhaustive_limit + 1).count() <= exhaustive_limit
     return (exhaustive_pairs(records), True) if small else (blocked_pairs(keys, cap), False)

@@ -75,15 +75,20 @@ def best_threshold(swept: DataFrame, min_precision: float) -> DataFrame:
 
 
 def platt_fit(scored: DataFrame, epochs: int = 2000, rate: float = 0.02, l2: float = 1e-4, p: str = "p", gold: str = "gold", most: int = 200_000) -> tuple[float, float]:
-    """Slope and intercept by full-batch gradient descent over at most ``most`` labelled pairs, the first by hash."""
-    rows = scored.where(F.col(p).isNotNull() & F.col(gold).isNotNull()).select(F.col(p).cast("double").alias("p"), F.col(gold).cast("double").alias("y")).orderBy(F.xxhash64(p, gold)).limit(most).toPandas()
+    """Slope and intercept by full-batch gradient descent over the labelled pairs, equal ones counted.
+
+    Only counts of different (score, label) reach the driver; of more than
+    ``most`` of them the first by hash are fitted.
+    """
+    known = scored.where(F.col(p).isNotNull() & F.col(gold).isNotNull()).groupBy(F.col(p).cast("double").alias("p"), F.col(gold).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    rows = known.orderBy(F.xxhash64("p", "y")).limit(most).toPandas()
     if rows.empty:
         return 1.0, 0.0
     q = rows.p.clip(1e-6, 1 - 1e-6).to_numpy()
-    x, y, a, b = np.log(q / (1 - q)), rows.y.to_numpy(), 1.0, 0.0
+    x, y, share, a, b = np.log(q / (1 - q)), rows.y.to_numpy(), rows.n.to_numpy() / rows.n.sum(), 1.0, 0.0
     for _ in range(epochs):
-        e = 1 / (1 + np.exp(-np.clip(a * x + b, -700, 700))) - y
-        a, b = a - rate * (float((e * x).mean()) + l2 * a), b - rate * float(e.mean())
+        e = share * (1 / (1 + np.exp(-np.clip(a * x + b, -700, 700))) - y)
+        a, b = a - rate * (float(e @ x) + l2 * a), b - rate * float(e.sum())
     return a, b
 
 
@@ -92,6 +97,19 @@ def platt(a: float, b: float):
     return lambda p: N.sigmoid(F.lit(a) * N.logit(p) + F.lit(b))
 
 
+def study_metrics(scored: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """Confusion of linked pairs, Brier score, shares of false links and of pairs in review; one row.
+
+    scored: study_probability, decision, same_study.  Reports of one
+    publication are reports of one study, whatever their probability.
+    """
+    p, gold = F.col("study_probability"), F.col("same_study")
+    linked = (p >= threshold) | (F.col("decision") == "DUPLICATE_PUBLICATION")
+    counts = scored.agg(F.count(F.lit(1)).alias("pairs"), *confusion(linked, gold), F.avg(F.pow(p - gold.cast("double"), F.lit(2.0))).alias("brier"), F.count_if(F.col("decision") == "REVIEW").alias("in_review"))
+    share = lambda a, b: N.safe_divide(F.col(a), b, 0.0)
+    return rates(counts, 0.0).withColumn("false_link_rate", share("fp", F.col("fp") + F.col("tn"))).withColumn("review_share", share("in_review", F.col("pairs")))
+
+
 def retrieval_metrics(gold: DataFrame, found: DataFrame, id_column: str = "id") -> DataFrame:
     """Set precision, recall, F1, Jaccard and relative count error over distinct trimmed ids."""
     clean = lambda d, n: d.select(F.trim(F.col(id_column).cast("string")).alias("id")).where("id <> ''").distinct().withColumn(n, F.lit(True))
@@ -153,15 +171,14 @@ def integrity(observed: DataFrame, expected: dict[str, int]) -> DataFrame:
 
 
 def ablation(made: DataFrame, assess, weights: dict[str, float]) -> DataFrame:
-    """ablated, tp, tn, fp, fn and rates: pairs scored again with one weight at 0; features are computed once.
+    """ablated, tp, tn, fp, fn and rates: pairs scored again with one weight at 0, all in one pass over the features.
 
-    made: pairs with features and gold; assess: (pairs, weights) -> pairs with predicted.
+    made: pairs with features and gold; assess: (pairs, weights) -> pairs with
+    predicted, where a weight is a column that depends on what is left out.
     """
-    runs = []
-    for name in ("<none>", *weights):
-        run = assess(made, weights | ({} if name == "<none>" else {name: 0.0}))
-        runs.append(run.agg(*confusion(F.col("predicted"), F.col("gold"))).withColumn("ablated", F.lit(name)))
-    return rates(functools.reduce(DataFrame.unionByName, runs), 0.0)
+    rows = made.withColumn("ablated", F.explode(F.array(*[F.lit(n) for n in ("<none>", *weights)])))
+    left = {n: F.when(F.col("ablated") == n, 0.0).otherwise(float(w)) for n, w in weights.items()}
+    return rates(assess(rows, left).groupBy("ablated").agg(*confusion(F.col("predicted"), F.col("gold"))), 0.0)
 
 
 STRESSED = ("doi", "pmid", "abstract", "journal", "year", "authors")

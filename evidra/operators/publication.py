@@ -18,13 +18,25 @@ from evidra.plans.scratch import materialize
 
 from . import blocking
 
-IDENTIFIERS = tuple("pmid wos_ut scopus_eid openalex_id".split())
+IDENTIFIERS = ("pmid", "wos_ut", "scopus_eid", "openalex_id")
 AUTO_MERGE, IN_REVIEW, KEEP_SEPARATE = "AUTO_MERGE", "REVIEW", "KEEP_SEPARATE"
-FEATURES = (
-    "doi_exact", "doi_conflict", "strong_id_exact", "strong_id_conflict", "publication_form_conflict",
-    "title_similarity", "title_token_jaccard", "author_similarity", "year_similarity", "journal_similarity", "volume_exact", "issue_exact", "pages_exact",
-)
-WEIGHTS = dict(zip(FEATURES, (10.0, -10.0, 8.0, -5.0, -4.0, 4.8, 2.2, 2.0, 1.2, 1.0, 0.45, 0.25, 0.55), strict=True))
+# The features in the order in which they are added, and their weights.
+WEIGHTS = {
+    "doi_exact": 10.0,
+    "doi_conflict": -10.0,
+    "strong_id_exact": 8.0,
+    "strong_id_conflict": -5.0,
+    "publication_form_conflict": -4.0,
+    "title_similarity": 4.8,
+    "title_token_jaccard": 2.2,
+    "author_similarity": 2.0,
+    "year_similarity": 1.2,
+    "journal_similarity": 1.0,
+    "volume_exact": 0.45,
+    "issue_exact": 0.25,
+    "pages_exact": 0.55,
+}
+FEATURES = tuple(WEIGHTS)
 
 
 @dataclass(frozen=True)
@@ -33,6 +45,8 @@ class Config:
     review: float = 0.75
     fuzzy: float = 0.94
     exhaustive_limit: int = 2000
+    #: members above which a block makes no pairs; None lifts it
+    block_cap: int | None = blocking.CAP
     weights: dict[str, float] = field(default_factory=lambda: dict(WEIGHTS))
     intercept: float = -7.5
     #: probability column -> calibrated probability column
@@ -80,7 +94,7 @@ def prepared(records: DataFrame) -> DataFrame:
     meta = lambda *k: T.norm_folded(T.metadata_text("metadata", *k))
     return records.select(
         "idx", F.nullif("doi", F.lit("")).alias("doi"), *[F.nullif(F.lower(F.trim(c)), F.lit("")).alias(c) for c in IDENTIFIERS], "year",
-        T.norm_folded("title").alias("title"), T.substantive_tokens("title").alias("words"), T.author_keys("authors").alias("authors"), T.norm_folded("journal").alias("journal"),
+        T.norm_folded("title").alias("title"), T.hashed(T.substantive_tokens("title")).alias("words"), T.hashed(T.author_keys("authors")).alias("authors"), T.norm_folded("journal").alias("journal"),
         T.publication_form(kinds).alias("form"), meta("volume").alias("volume"), meta("issue", "number").alias("issue"), meta("pages", "page", "page_range").alias("pages"),
     )
 
@@ -119,17 +133,22 @@ def features(both: DataFrame, config: Config = Config()) -> DataFrame:
     return materialize(both.select("left_index", "right_index", F.struct(*[made[f].alias(f) for f in FEATURES]).alias("features"), same_title.alias("same_title"), same_id.alias("same_id")), "features")
 
 
+def _weight(weights: dict[str, float | Column], name: str) -> Column:
+    w = weights.get(name, 0.0)
+    return w if isinstance(w, Column) else F.lit(float(w))
+
+
 def weighted(x: Column, weights: dict[str, float], intercept: float, names: tuple[str, ...]) -> Column:
     """Logistic score; terms are added in the declared order, features that are null left out."""
     total = F.lit(float(intercept))
     for name in names:
-        total = total + F.coalesce(F.lit(float(weights.get(name, 0.0))) * x[name], F.lit(0.0))
+        total = total + F.coalesce(_weight(weights, name) * x[name], F.lit(0.0))
     return N.sigmoid(total)
 
 
 def contributions(x: Column, weights: dict[str, float], names: tuple[str, ...]) -> Column:
     """What each feature that is neither null nor zero adds."""
-    rows = [F.struct(F.lit(n).alias("feature"), x[n].alias("value"), F.lit(float(weights.get(n, 0.0))).alias("weight"), (F.lit(float(weights.get(n, 0.0))) * x[n]).alias("contribution")) for n in names]
+    rows = [F.struct(F.lit(n).alias("feature"), x[n].alias("value"), _weight(weights, n).alias("weight"), (_weight(weights, n) * x[n]).alias("contribution")) for n in names]
     return F.filter(F.array(*rows), lambda r: F.coalesce(r["value"] != 0, F.lit(False)))
 
 
@@ -277,13 +296,17 @@ class Result:
     review_queue: DataFrame
     clusters: DataFrame
     stats: DataFrame
+    #: blocks that made no pairs because of their size: block_key, members
+    dropped_blocks: DataFrame
 
 
 def deduplicate(records: DataFrame, config: Config = Config()) -> Result:
-    pairs, exhaustive = blocking.candidate_pairs(records, blocking.publication_keys(records), config.exhaustive_limit)
+    keys = blocking.publication_keys(records)
+    pairs, exhaustive = blocking.candidate_pairs(records, keys, config.exhaustive_limit, config.block_cap)
     edges = materialize(assess(features(paired(pairs, materialize(prepared(records), "prepared")), config), config), "edges")
     clustered = materialize(clusters(records, edges), "clusters")
     counts = edges.agg(F.count(F.lit(1)).alias("assessed_pairs"), F.count_if(F.col("decision") == AUTO_MERGE).alias("auto_merge_pairs"), F.count_if(F.col("decision") == IN_REVIEW).alias("review_pairs"))
     sizes = clustered.agg(F.count(F.lit(1)).alias("input_records"), F.count_distinct("cluster_id").alias("output_records"))
     stats = sizes.join(counts).select("input_records", F.col("assessed_pairs").alias("candidate_pairs"), "assessed_pairs", "auto_merge_pairs", "review_pairs", "output_records", F.lit(exhaustive).alias("used_exhaustive_pairing"))
-    return Result(merged(records, clustered), links(edges, clustered), edges, edges.where(F.col("decision") == IN_REVIEW), clustered, stats)
+    dropped = blocking.dropped_blocks(keys, None if exhaustive else config.block_cap)
+    return Result(merged(records, clustered), links(edges, clustered), edges, edges.where(F.col("decision") == IN_REVIEW), clustered, stats, dropped)

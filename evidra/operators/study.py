@@ -17,11 +17,24 @@ from evidra.plans.scratch import materialize
 from . import blocking, publication
 
 SAME, IN_REVIEW, DIFFERENT, DUPLICATE = "SAME_STUDY", "REVIEW", "DIFFERENT_STUDY", "DUPLICATE_PUBLICATION"
-FEATURES = (
-    "registry_exact", "registry_conflict", "multi_registry_ambiguous", "acronym_exact", "title_similarity", "author_similarity", "year_compatibility",
-    "sample_size_similarity", "country_similarity", "intervention_similarity", "population_similarity", "recruitment_similarity", "role_complementarity", "review_record",
-)
-WEIGHTS = dict(zip(FEATURES, (10.0, -6.0, -2.5, 3.0, 1.4, 2.0, 0.7, 0.9, 0.7, 1.1, 0.9, 1.4, 0.5, -7.0), strict=True))
+# The features in the order in which they are added, and their weights.
+WEIGHTS = {
+    "registry_exact": 10.0,
+    "registry_conflict": -6.0,
+    "multi_registry_ambiguous": -2.5,
+    "acronym_exact": 3.0,
+    "title_similarity": 1.4,
+    "author_similarity": 2.0,
+    "year_compatibility": 0.7,
+    "sample_size_similarity": 0.9,
+    "country_similarity": 0.7,
+    "intervention_similarity": 1.1,
+    "population_similarity": 0.9,
+    "recruitment_similarity": 1.4,
+    "role_complementarity": 0.5,
+    "review_record": -7.0,
+}
+FEATURES = tuple(WEIGHTS)
 OUTCOME_ROLES = (T.PRIMARY, T.SECONDARY, T.SUBGROUP, T.FOLLOW_UP, T.CONFERENCE, T.PREPRINT)
 GATE = "Families with disjoint registrations would be joined"
 
@@ -31,6 +44,8 @@ class Config:
     same_study: float = 0.95
     review: float = 0.65
     exhaustive_limit: int = 1500
+    #: members above which a block makes no pairs; None lifts it
+    block_cap: int | None = blocking.CAP
     weights: dict[str, float] = field(default_factory=lambda: dict(WEIGHTS))
     intercept: float = -5.8
     calibrator: Callable[[Column], Column] | None = None
@@ -217,6 +232,8 @@ class Result:
     duplicates: DataFrame
     risks: DataFrame
     stats: DataFrame
+    #: blocks that made no pairs because of their size: block_key, members
+    dropped_blocks: DataFrame
 
     def family_for_record(self, idx: int) -> DataFrame:
         return self.families.where(F.array_contains("member_indices", F.lit(idx)))
@@ -224,7 +241,8 @@ class Result:
 
 def link(records: DataFrame, config: Config = Config()) -> Result:
     known = materialize(described(records), "known")
-    pairs, exhaustive = blocking.candidate_pairs(known, blocking.study_keys(known), config.exhaustive_limit)
+    keys = blocking.study_keys(known)
+    pairs, exhaustive = blocking.candidate_pairs(known, keys, config.exhaustive_limit, config.block_cap)
     pairs = materialize(pairs, "pairs")
     same = publication.assess(publication.features(publication.paired(pairs, publication.prepared(records)), config.publications), config.publications)
     both = features(publication.paired(pairs, prepared(known))).join(same.select("left_index", "right_index", F.col("probability").alias("publication_probability"), F.col("decision").alias("publication_decision")), ["left_index", "right_index"])
@@ -239,4 +257,4 @@ def link(records: DataFrame, config: Config = Config()) -> Result:
     counts = final.agg(F.count(F.lit(1)).alias("assessed_pairs"), of(SAME).alias("same_study_pairs"), of(DUPLICATE).alias("duplicate_publication_pairs"), of(IN_REVIEW).alias("review_pairs"))
     sizes = found.agg(F.sum(F.size("member_indices")).alias("input_records"), F.count(F.lit(1)).alias("families"), F.count_if(F.size("member_indices") == 1).alias("singleton_families"))
     stats = sizes.join(counts).withColumn("candidate_pairs", F.col("assessed_pairs")).withColumn("used_exhaustive_pairing", F.lit(exhaustive))
-    return Result(found, final, final.where(F.col("decision") == IN_REVIEW), final.where(F.col("decision") == DUPLICATE), double_counting(found), stats)
+    return Result(found, final, final.where(F.col("decision") == IN_REVIEW), final.where(F.col("decision") == DUPLICATE), double_counting(found), stats, blocking.dropped_blocks(keys, None if exhaustive else config.block_cap))

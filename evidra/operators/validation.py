@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidra.functions import numbers as N
 from evidra.plans.scratch import materialize
 from evidra.sources import formats
 
@@ -187,6 +188,75 @@ def summary(rows: DataFrame, confidence: float = 0.95, replicates: int = 5000, s
     return {"micro": metrics.micro_macro(rows), "macro": spark.createDataFrame(macro, "metric string, mean double, low double, high double")}
 
 
+RATES = {"sensitivity": ("tp", "fn"), "specificity": ("tn", "fp"), "precision": ("tp", "fp"), "accuracy": None}
+
+
+def with_bounds(counts: DataFrame) -> DataFrame:
+    """Counts with each rate, its Wilson bounds, and f1."""
+    out = metrics.rates(counts, 1.0)
+    total = F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")
+    for name, parts in RATES.items():
+        k, n = (F.col("tp") + F.col("tn"), total) if parts is None else (F.col(parts[0]), F.col(parts[0]) + F.col(parts[1]))
+        low, high = N.wilson(k, n)
+        out = out.withColumn(f"{name}_low", low).withColumn(f"{name}_high", high)
+    return out.withColumn("records", total)
+
+
+def statistical_report(rows: DataFrame, replicates: int = 5000, confidence: float = 0.95, seed: int = 1) -> dict[str, DataFrame]:
+    """Tables of a report on removals: ``datasets``, ``aggregates`` (pooled and means over data sets), ``table`` as it is printed.
+
+    rows: dataset, tp, tn, fp, fn, a row a data set.
+    """
+    each = with_bounds(rows.select("dataset", "tp", "tn", "fp", "fn")).withColumn("removed_wrongly", F.col("fp")).withColumn("left_in", F.col("fn"))
+    pooled = with_bounds(rows.agg(*[F.sum(c).alias(c) for c in ("tp", "tn", "fp", "fn")]))
+    long = [F.struct(F.lit("micro").alias("over"), F.lit(m).alias("metric"), F.col(m).alias("estimate"), F.col(f"{m}_low").alias("low"), F.col(f"{m}_high").alias("high"), F.lit("wilson").alias("bounds")) for m in RATES]
+    long.append(F.struct(F.lit("micro").alias("over"), F.lit("f1").alias("metric"), F.col("f1").alias("estimate"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit("none").alias("bounds")))
+    micro = pooled.select(F.explode(F.array(*long)).alias("x")).select("x.*")
+    macro = summary(rows, confidence, replicates, seed)["macro"].select(F.lit("macro").alias("over"), "metric", F.col("mean").alias("estimate"), "low", "high", F.lit("bootstrap").alias("bounds"))
+    shown = lambda m: F.format_string("%.4f (%.4f-%.4f)", m, f"{m}_low", f"{m}_high").alias(m)
+    table = each.select("dataset", "records", shown("sensitivity"), shown("specificity"), shown("precision"), F.format_string("%.4f", "f1").alias("f1"), "removed_wrongly", "left_in")
+    return {"datasets": each, "aggregates": micro.unionByName(macro), "table": table}
+
+
+def report_text(tables: dict[str, DataFrame]) -> str:
+    """The report's aggregates as Markdown."""
+    rows = tables["aggregates"].collect()  # nine rows
+    sums = tables["datasets"].agg(F.count(F.lit(1)).alias("n"), F.sum("records").alias("records"), F.sum("removed_wrongly").alias("wrong"), F.sum("left_in").alias("left")).first()
+    out = ["# Deduplication measured on labelled data sets", "", "Records to retain were chosen without sight of the labels.", ""]
+    out.append(f"{sums['n']} data sets, {sums['records']} records: {sums['wrong']} records removed that stand for themselves, {sums['left']} duplicates left in.")
+    for over, heading in (("micro", "All records pooled"), ("macro", "Means over data sets")):
+        out += ["", f"## {heading}", "", "| Metric | Estimate | Low | High |", "| --- | ---: | ---: | ---: |"]
+        number = lambda v: "" if v is None or v != v else f"{v:.4f}"
+        out += [f"| {r['metric']} | {number(r['estimate'])} | {number(r['low'])} | {number(r['high'])} |" for r in rows if r["over"] == over]
+    return "\n".join(out) + "\n"
+
+
+def write_report(spark: SparkSession, folder: str, rows: DataFrame, **options) -> dict:
+    """Write the statistical report: its tables as CSV, its text, the manifest with their hashes, which is returned."""
+    folder, tables = folder.rstrip("/"), statistical_report(rows, **options)
+    formats.write_text(spark.createDataFrame([(report_text(tables),)], "value string"), f"{folder}/report_md")
+    made = formats.bundle(spark, folder, tables, {"format": "statistical report"})
+    formats.write_text(spark.createDataFrame([(made["manifest"],)], "value string"), f"{folder}/manifest_json")
+    return made
+
+
+PARTS = ("query_translation", "dedup_ablation", "study_ablation", "blocking_recall", "metadata_stress", "scalability")
+
+
+def benchmark_bundle(spark: SparkSession, folder: str, name: str, tables: dict[str, DataFrame], notes: tuple[str, ...] = ()) -> dict:
+    """Write the results of a benchmark (``PARTS``, those that there are): CSV and JSON lines a table, and the manifest with their hashes."""
+    unknown = set(tables) - set(PARTS)
+    if unknown:
+        raise ValueError(f"no parts of a benchmark: {sorted(unknown)}")
+    folder = folder.rstrip("/")
+    for part, rows in tables.items():
+        formats.write_jsonl(rows, f"{folder}/{part}_jsonl")
+    facts = {"name": name, "notes": list(notes), "parts": [p for p in PARTS if p in tables], "scope": "made-up records show that the engine works, not how well it works on real ones"}
+    made = formats.bundle(spark, folder, tables, facts)
+    formats.write_text(spark.createDataFrame([(made["manifest"],)], "value string"), f"{folder}/manifest_json")
+    return made
+
+
 def scaling(spark: SparkSession, sizes: tuple[int, ...], make, run, repeats: int = 1) -> DataFrame:
     """size, repeat, seconds: wall-clock time of ``run(make(spark, n))`` counted to its last row."""
     import time

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: Native features only, so that SQL can follow; blocks as for large inputs.
 NATIVE = publication.Config(characters=False, exhaustive_limit=2)
+FULL = publication.Config(exhaustive_limit=2)
 
 
 def query(f: Query) -> Query:
@@ -130,7 +132,7 @@ def role_complementarity(spark, sf_dir):
 
 @query
 def html_strip(spark, sf_dir):
-    return views.table(spark, sf_dir, "pages").select("page_id", T.strip_markup(F.regexp_extract("html", "<h1>(.*?)</h1>", 1)).alias("title"))
+    return views.table(spark, sf_dir, "pages").select("page_id", T.strip_markup("html").alias("text"))
 
 
 @query
@@ -272,8 +274,20 @@ def candidate_pairs_blocked(spark, sf_dir):
     return blocking.blocked_pairs(blocking.publication_keys(views.records(spark, sf_dir)))
 
 
+@query
+def candidate_pairs_uncapped(spark, sf_dir):
+    """Without the cap on a block's size."""
+    return blocking.blocked_pairs(blocking.publication_keys(views.records(spark, sf_dir)), None)
+
+
 @query
 def candidate_pairs_exhaustive(spark, sf_dir):
+    """Every pair of suppliers."""
+    return blocking.exhaustive_pairs(views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("idx")))
+
+
+@query
+def candidate_pairs_chosen(spark, sf_dir):
     """Every pair of records while they are few, else those that share a block."""
     r = views.records(spark, sf_dir)
     return blocking.candidate_pairs(r, blocking.publication_keys(r), publication.Config().exhaustive_limit)[0]
@@ -285,10 +299,10 @@ def author_year_band_pairs(spark, sf_dir):
     return blocking.blocked_pairs(blocking.study_keys(s).where("block_key LIKE 'author:%'"))
 
 
-def _edges(spark, sf_dir):
+def _edges(spark, sf_dir, config: publication.Config = NATIVE):
     r = views.records(spark, sf_dir)
     pairs = blocking.blocked_pairs(blocking.publication_keys(r))
-    return r, publication.assess(publication.features(publication.paired(pairs, materialize(publication.prepared(r), "prepared")), NATIVE), NATIVE)
+    return r, publication.assess(publication.features(publication.paired(pairs, materialize(publication.prepared(r), "prepared")), config), config)
 
 
 @query
@@ -306,53 +320,60 @@ def dedup_decisions_native(spark, sf_dir):
     return _edges(spark, sf_dir)[1].groupBy("decision").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-@query
-def explain_topk(spark, sf_dir):
-    e = _edges(spark, sf_dir)[1]
-    top = publication.top_contributions(F.col("contributions"), 2)
-    return e.select("left_index", "right_index", F.split_part(F.get(top, F.lit(0)), F.lit(":"), F.lit(1)).alias("first"))
-
-
-def _merging(spark, sf_dir):
-    r, edges = _edges(spark, sf_dir)
+def _merging(spark, sf_dir, config):
+    r, edges = _edges(spark, sf_dir, config)
     edges = materialize(edges.where("decision = 'AUTO_MERGE'"), "merging")
     return r, edges, materialize(publication.clusters(r, edges), "clusters")
 
 
-@query
-def connected_components_publications(spark, sf_dir):
-    _, edges = _edges(spark, sf_dir)
+def _twice(f: Callable) -> Callable:
+    """Register a query with the whole scorer, and once more with the native features only, which SQL can follow."""
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, sf_dir, FULL)
+    QUERIES[f.__name__ + "_native"] = lambda spark, sf_dir: f(spark, sf_dir, NATIVE)
+    return f
+
+
+@_twice
+def explain_topk(spark, sf_dir, config):
+    e = _edges(spark, sf_dir, config)[1]
+    top = publication.top_contributions(F.col("contributions"), 2)
+    return e.select("left_index", "right_index", F.split_part(F.get(top, F.lit(0)), F.lit(":"), F.lit(1)).alias("first"))
+
+
+@_twice
+def connected_components_publications(spark, sf_dir, config):
+    _, edges = _edges(spark, sf_dir, config)
     return connected_components(edges.where("decision = 'AUTO_MERGE'"), "left_index", "right_index")
 
 
-@query
-def representative(spark, sf_dir):
-    return _merging(spark, sf_dir)[2].select("idx", "cluster_id", "representative_index", "cluster_size")
+@_twice
+def representative(spark, sf_dir, config):
+    return _merging(spark, sf_dir, config)[2].select("idx", "cluster_id", "representative_index", "cluster_size")
 
 
-@query
-def merge_records(spark, sf_dir):
-    r, _, c = _merging(spark, sf_dir)
+@_twice
+def merge_records(spark, sf_dir, config):
+    r, _, c = _merging(spark, sf_dir, config)
     m = publication.merged(r, c)
     return m.select("idx", "doi", "pmid", "year", "journal", F.size("source_hits").cast("long").alias("hits"), joined(F.transform("cluster_members", lambda i: i.cast("string")), ",").alias("members"))
 
 
-@query
-def merge_conflicts(spark, sf_dir):
-    r, _, c = _merging(spark, sf_dir)
+@_twice
+def merge_conflicts(spark, sf_dir, config):
+    r, _, c = _merging(spark, sf_dir, config)
     m = publication.merged(r, c)
     return m.select(F.explode("conflicts").alias("field", "v")).groupBy("field").agg(F.count(F.lit(1)).alias("clusters"))
 
 
-@query
-def dedup_links(spark, sf_dir):
-    _, edges, c = _merging(spark, sf_dir)
+@_twice
+def dedup_links(spark, sf_dir, config):
+    _, edges, c = _merging(spark, sf_dir, config)
     return publication.links(edges, c).select("kept_index", "removed_index", "rule")
 
 
-@query
-def dedup_stats(spark, sf_dir):
-    r, edges = _edges(spark, sf_dir)
+@_twice
+def dedup_stats(spark, sf_dir, config):
+    r, edges = _edges(spark, sf_dir, config)
     edges = materialize(edges.select("left_index", "right_index", "decision"), "edges")
     c = publication.clusters(r, edges)
     return edges.agg(F.count(F.lit(1)).alias("assessed_pairs"), F.count_if(F.col("decision") == "AUTO_MERGE").alias("auto_merge_pairs"), F.count_if(F.col("decision") == "REVIEW").alias("review_pairs")).join(
@@ -362,10 +383,7 @@ def dedup_stats(spark, sf_dir):
 
 @query
 def dedup_score_full(spark, sf_dir):
-    r = views.records(spark, sf_dir)
-    config = publication.Config(exhaustive_limit=2)
-    pairs = blocking.blocked_pairs(blocking.publication_keys(r))
-    return publication.assess(publication.features(publication.paired(pairs, materialize(publication.prepared(r), "prepared")), config), config).select("left_index", "right_index", "probability", "decision")
+    return _edges(spark, sf_dir, FULL)[1].select("left_index", "right_index", "probability", "decision")
 
 
 # studies
@@ -524,18 +542,18 @@ def blocking_recall(spark, sf_dir):
     return b.select("positives", "covered", "candidates", F.round("recall", 9).alias("recall"), F.round("pair_reduction", 9).alias("pair_reduction"))
 
 
-@query
-def ablation(spark, sf_dir):
+@_twice
+def ablation(spark, sf_dir, config):
     r = views.records(spark, sf_dir)
     pairs = blocking.blocked_pairs(blocking.publication_keys(r))
-    made = materialize(publication.features(publication.paired(pairs, publication.prepared(r)), NATIVE).withColumn("gold", F.col("features.doi_exact") == 1.0), "features")
+    made = publication.features(publication.paired(pairs, materialize(publication.prepared(r), "prepared")), config).withColumn("gold", F.col("features.doi_exact") == 1.0)
 
     def assess(x, weights):
-        config = publication.Config(characters=False, weights=weights)
-        return publication.assess(x, config).withColumn("predicted", F.col("probability") >= config.auto_merge)
+        own = replace(config, weights=config.weights | weights)
+        return publication.assess(x, own).withColumn("predicted", F.col("probability") >= own.auto_merge)
 
     few = {k: publication.WEIGHTS[k] for k in ("doi_exact", "title_token_jaccard", "author_similarity")}
-    return metrics.ablation(made, lambda x, w: assess(x, publication.WEIGHTS | w), few).select("ablated", "tp", "tn", "fp", "fn")
+    return metrics.ablation(made, assess, few).select("ablated", "tp", "tn", "fp", "fn")
 
 
 def _partition(spark, sf_dir):

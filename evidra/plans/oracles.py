@@ -102,7 +102,9 @@ ORACLES |= {
     "sample_size_similarity": f"{ST} SELECT idx, CAST(size AS INTEGER) AS size, {steps('(' + ratio('size', '15') + ')', SIZE_SIM, '>=')} AS similarity FROM studies",
     "interval_overlap": f"{ST} SELECT idx, {overlap('y0', 'y1', '1993', '1994')} AS similarity FROM studies",
     "role_complementarity": f"WITH r AS (SELECT unnest({list(T.ROLES)!r}) AS role) SELECT a.role, b.role AS other, CASE WHEN a.role = b.role THEN 0.0::DOUBLE WHEN (a.role, b.role) IN ({PAIRS}) THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS value FROM r a, r b",
-    "html_strip": r"""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title FROM pages""",
+    "html_strip": r"""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&#39;', chr(39)), '&#x27;', chr(39)), '&nbsp;', ' '), '&ndash;', '–'), '&mdash;', '—'), '&hellip;', '…'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
+      '[ \t\n\x0B\f\r]+', ' ', 'g')), '') AS text FROM pages""",
     "abstract_from_inverted_index": r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents)
       SELECT doc_id, array_to_string(w, ' ') AS abstract FROM w WHERE len(w) > 0""",
 }
@@ -185,24 +187,26 @@ ORACLES |= {
     "block_keys": f"{PREPARED} SELECT split_part(block_key, ':', 1) AS family, count(*) AS keys, count(DISTINCT block_key) AS blocks FROM (SELECT DISTINCT idx, block_key FROM k) GROUP BY 1",
     "block_sizes_capped": f"{PREPARED} SELECT block_key, members, members > 500 AS dropped FROM b WHERE members > 1",
     "candidate_pairs_blocked": f"{PREPARED} SELECT left_index, right_index FROM c",
-    "candidate_pairs_exhaustive": f"{PREPARED}, n AS (SELECT count(*) <= 2000 AS small FROM p) SELECT left_index, right_index FROM c, n WHERE NOT small UNION ALL SELECT a.idx, b.idx FROM n, p a JOIN p b ON a.idx < b.idx WHERE small",
+    "candidate_pairs_exhaustive": "SELECT a.s_suppkey AS left_index, b.s_suppkey AS right_index FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey",
+    "candidate_pairs_uncapped": f"{PREPARED}, u AS (SELECT DISTINCT idx, block_key FROM k) SELECT DISTINCT x.idx AS left_index, y.idx AS right_index FROM u x JOIN u y ON x.block_key = y.block_key AND x.idx < y.idx",
+    "candidate_pairs_chosen": f"{PREPARED}, n AS (SELECT count(*) <= 2000 AS small FROM p) SELECT left_index, right_index FROM c, n WHERE NOT small UNION ALL SELECT a.idx, b.idx FROM n, p a JOIN p b ON a.idx < b.idx WHERE small",
     "author_year_band_pairs": f"""{ST}, k AS (SELECT idx, unnest(list_transform([-1, 0, 1], lambda d: author || ':' || CAST(CAST(floor(year / 5) AS BIGINT) + d AS VARCHAR))) AS block_key FROM studies
       ), h AS (SELECT k.* FROM k JOIN (SELECT block_key FROM k GROUP BY 1 HAVING count(*) BETWEEN 2 AND 500) USING (block_key)) SELECT DISTINCT x.idx AS left_index, y.idx AS right_index FROM h x JOIN h y ON x.block_key = y.block_key AND x.idx < y.idx""",
     "title_jaccard_pairs": f"{EDGES} SELECT left_index, right_index, round(tj, 9) AS jaccard FROM g",
     "dedup_score_native": f"{EDGES} SELECT left_index, right_index, round(probability, 9) AS probability FROM g",
     "dedup_decisions_native": f"{EDGES} SELECT decision, count(*) AS pairs FROM g GROUP BY decision",
-    "explain_topk": f"""{EDGES}, t AS (SELECT left_index, right_index, list_filter([{{'v': 10 * doi_exact, 'i': 0, 'n': 'doi_exact'}}, {{'v': -10 * doi_conflict, 'i': 1, 'n': 'doi_conflict'}}, {{'v': 8 * id_exact, 'i': 2, 'n': 'strong_id_exact'}}, {{'v': -5 * id_conflict, 'i': 3, 'n': 'strong_id_conflict'}}, {{'v': -4 * form_conflict, 'i': 4, 'n': 'publication_form_conflict'}},
+    "explain_topk_native": f"""{EDGES}, t AS (SELECT left_index, right_index, list_filter([{{'v': 10 * doi_exact, 'i': 0, 'n': 'doi_exact'}}, {{'v': -10 * doi_conflict, 'i': 1, 'n': 'doi_conflict'}}, {{'v': 8 * id_exact, 'i': 2, 'n': 'strong_id_exact'}}, {{'v': -5 * id_conflict, 'i': 3, 'n': 'strong_id_conflict'}}, {{'v': -4 * form_conflict, 'i': 4, 'n': 'publication_form_conflict'}},
       {{'v': 4.8 * ts, 'i': 5, 'n': 'title_similarity'}}, {{'v': 2.2 * tj, 'i': 6, 'n': 'title_token_jaccard'}}, {{'v': 2.0 * au, 'i': 7, 'n': 'author_similarity'}}, {{'v': 1.2 * ys, 'i': 8, 'n': 'year_similarity'}}, {{'v': 1.0 * js, 'i': 9, 'n': 'journal_similarity'}}, {{'v': 0.45 * vo, 'i': 10, 'n': 'volume_exact'}}, {{'v': 0.55 * pg, 'i': 11, 'n': 'pages_exact'}}], lambda x: x.v <> 0) AS c FROM g)
       SELECT left_index, right_index, (list_sort(list_transform(c, lambda x: {{'v': -abs(x.v), 'i': x.i, 'n': x.n}}))[1]).n AS first FROM t""",
-    "connected_components_publications": f"{CLUSTERS} SELECT node, component FROM cc",
-    "representative": f"{CLUSTERS} SELECT idx, cluster_id, representative_index, cluster_size FROM rep",
-    "merge_records": f"""{CLUSTERS} SELECT first(representative_index) AS idx, first(doi {_ORD}) FILTER (doi IS NOT NULL) AS doi, first(pmid {_ORD}) FILTER (pmid IS NOT NULL) AS pmid, first(year {_ORD}) FILTER (year IS NOT NULL) AS year, first(raw_journal {_ORD}) AS journal, count(*) AS hits, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS members FROM rep GROUP BY cluster_id""",
-    "merge_conflicts": f"""{CLUSTERS}, d AS (SELECT cluster_id, unnest(['doi', 'pmid', 'abstract', 'journal', 'year', 'authors']) AS field, unnest([count(DISTINCT rep.doi), count(DISTINCT rep.pmid), count(DISTINCT nullif(rep.abstract, '')), count(DISTINCT rep.raw_journal), count(DISTINCT rep.year), count(DISTINCT records.authors)]) AS n FROM rep JOIN records ON records.idx = rep.idx GROUP BY cluster_id)
+    "connected_components_publications_native": f"{CLUSTERS} SELECT node, component FROM cc",
+    "representative_native": f"{CLUSTERS} SELECT idx, cluster_id, representative_index, cluster_size FROM rep",
+    "merge_records_native": f"""{CLUSTERS} SELECT first(representative_index) AS idx, first(doi {_ORD}) FILTER (doi IS NOT NULL) AS doi, first(pmid {_ORD}) FILTER (pmid IS NOT NULL) AS pmid, first(year {_ORD}) FILTER (year IS NOT NULL) AS year, first(raw_journal {_ORD}) AS journal, count(*) AS hits, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS members FROM rep GROUP BY cluster_id""",
+    "merge_conflicts_native": f"""{CLUSTERS}, d AS (SELECT cluster_id, unnest(['doi', 'pmid', 'abstract', 'journal', 'year', 'authors']) AS field, unnest([count(DISTINCT rep.doi), count(DISTINCT rep.pmid), count(DISTINCT nullif(rep.abstract, '')), count(DISTINCT rep.raw_journal), count(DISTINCT rep.year), count(DISTINCT records.authors)]) AS n FROM rep JOIN records ON records.idx = rep.idx GROUP BY cluster_id)
       SELECT field, count(*) AS clusters FROM d WHERE n > 1 GROUP BY field""",
-    "dedup_links": f"""{CLUSTERS}, mg AS (SELECT *, CASE WHEN doi_exact = 1 THEN 'doi_exact' WHEN id_exact = 1 THEN 'pmid_exact' WHEN same_title THEN 'title_exact_guarded' WHEN coalesce(ts, 0) >= 0.9 THEN 'title_fuzzy_confidence' ELSE 'confidence_auto_merge' END AS rule FROM g WHERE decision = 'AUTO_MERGE'
+    "dedup_links_native": f"""{CLUSTERS}, mg AS (SELECT *, CASE WHEN doi_exact = 1 THEN 'doi_exact' WHEN id_exact = 1 THEN 'pmid_exact' WHEN same_title THEN 'title_exact_guarded' WHEN coalesce(ts, 0) >= 0.9 THEN 'title_fuzzy_confidence' ELSE 'confidence_auto_merge' END AS rule FROM g WHERE decision = 'AUTO_MERGE'
       ), t AS (SELECT unnest([left_index, right_index]) AS node, * FROM mg), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY probability DESC, left_index, right_index) AS rn FROM t) WHERE rn = 1)
       SELECT representative_index AS kept_index, idx AS removed_index, coalesce(d.rule, best.rule, 'transitive_auto_merge') AS rule FROM rep LEFT JOIN mg d ON d.left_index = least(idx, representative_index) AND d.right_index = greatest(idx, representative_index) LEFT JOIN best ON best.node = idx WHERE idx <> representative_index""",
-    "dedup_stats": f"{CLUSTERS} SELECT (SELECT count(*) FROM g) AS assessed_pairs, (SELECT count(*) FROM g WHERE decision = 'AUTO_MERGE') AS auto_merge_pairs, (SELECT count(*) FROM g WHERE decision = 'REVIEW') AS review_pairs, (SELECT count(*) FROM rep) AS input_records, (SELECT count(DISTINCT cluster_id) FROM rep) AS output_records",
+    "dedup_stats_native": f"{CLUSTERS} SELECT (SELECT count(*) FROM g) AS assessed_pairs, (SELECT count(*) FROM g WHERE decision = 'AUTO_MERGE') AS auto_merge_pairs, (SELECT count(*) FROM g WHERE decision = 'REVIEW') AS review_pairs, (SELECT count(*) FROM rep) AS input_records, (SELECT count(DISTINCT cluster_id) FROM rep) AS output_records",
     "blocking_recall": f"""{PREPARED}, gold AS (SELECT a.idx AS l, b.idx AS r FROM p a JOIN p b ON a.doi = b.doi AND a.idx < b.idx), n AS (SELECT count(*) AS positives, count(*) FILTER (EXISTS (SELECT 1 FROM c WHERE left_index = l AND right_index = r)) AS covered FROM gold), x AS (SELECT count(*) AS candidates FROM c), t AS (SELECT count(*) AS n FROM p)
       SELECT positives, covered, candidates, round(CASE WHEN positives > 0 THEN covered / CAST(positives AS DOUBLE) ELSE 1 END, 9) AS recall, round(1 - candidates / (t.n * (t.n - 1) / 2.0::DOUBLE), 9) AS pair_reduction FROM n, x, t""",
 }
@@ -366,5 +370,5 @@ ORACLES |= {
     "study_families": f"{_FAMILIES} SELECT 'STUDY-' || upper(substr(sha1('registry|' || array_to_string(r, '|')), 1, 12)) AS study_id, array_to_string(m, ',') AS members, array_to_string(r, ',') AS registrations FROM fs",
     "study_gate": f"{_FAMILIES} SELECT a AS left_index, b AS right_index, false AS refused, family FROM ac JOIN cp ON node = a",
     "double_counting_risk": f"{_FAMILIES} SELECT CASE WHEN o >= 2 THEN 'HIGH' ELSE 'REVIEW' END AS severity, count(*) AS families FROM fs WHERE o >= 2 OR len(m) >= 2 GROUP BY 1",
-    "ablation": f"{_WEIGHED} SELECT ablated, {cm('probability >= 0.985', '(doi_exact = 1)')} FROM g GROUP BY ablated",
+    "ablation_native": f"{_WEIGHED} SELECT ablated, {cm('probability >= 0.985', '(doi_exact = 1)')} FROM g GROUP BY ablated",
 }

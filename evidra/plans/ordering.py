@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .scratch import materialize
 
-#: Ranges that are ordered apart; one count each reaches the driver.
-RANGES = 200
+#: Rows of a range, about, and ranges at least; one count a range reaches the driver.
+IN_RANGE, LEAST = 2_000_000, 200
 
 
 def numbered(df: DataFrame, *order: Column | str, name: str = "idx") -> DataFrame:
@@ -16,12 +16,19 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "idx") -> DataFram
 
     Rows are dealt into ranges of the order and written, so that the ranges
     are the same for the counts and the rows; each range is then numbered by
-    itself from the count of those before it.  Rows that tie on the whole
-    order share a range and are numbered in any order.
+    itself from the count of those before it.  Ranges grow in number with the
+    rows.  Rows that tie on the whole order share a range and are numbered in
+    any order.
     """
-    ranges = min(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = materialize(df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
-    sizes = {r["__range"]: r["n"] for r in dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before = [sum(n for k, n in sizes.items() if k < i) for i in range(max(sizes, default=0) + 1)]
+    spark = df.sparkSession
+    kept = materialize(df, "unordered")
+    ranges = max(min(LEAST, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-kept.count() // IN_RANGE))
+    dealt = materialize(kept.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()
+    total, before = 0, []
+    for r in sorted(sizes):
+        before.append((r["__range"], total))
+        total += r["n"]
+    starts = F.broadcast(spark.createDataFrame(before, "__range int, __start long"))
     within = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    return dealt.withColumn(name, (F.array(*[F.lit(n) for n in before])[F.col("__range")] + within).cast("long")).drop("__range")
+    return dealt.withColumn("__within", within).join(starts, "__range").withColumn(name, (F.col("__start") + F.col("__within")).cast("long")).drop("__range", "__start", "__within")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -18,12 +20,14 @@ _MADE: dict[str, list[str]] = {}
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    A folder of our own is made only where the session names none, as in
-    tests on one machine.
+    A folder of our own is made only where the session names none and runs in
+    one process, as in tests; elsewhere executors would not share it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         folder = tempfile.mkdtemp(prefix="evidra-")
@@ -39,17 +43,30 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_TIDYING: dict[str, list] = {}
+_LOCK = threading.Lock()
 
 
 @contextmanager
 def _tidied(spark: SparkSession) -> Iterator[None]:
-    """Queries that start here delete their shuffle files when they end: what they made is in a table by then."""
-    before = spark.conf.get(TIDY, "false")
-    spark.conf.set(TIDY, "true")
+    """Queries that start here delete their shuffle files when they end: what they made is in a table by then.
+
+    The setting is the session's; it is put back when the last of the threads
+    that write at the same time is done.
+    """
+    key = spark.sparkContext.applicationId
+    with _LOCK:
+        held = _TIDYING.setdefault(key, [0, spark.conf.get(TIDY, "false")])
+        held[0] += 1
+        spark.conf.set(TIDY, "true")
     try:
         yield
     finally:
-        spark.conf.set(TIDY, before)
+        with _LOCK:
+            held[0] -= 1
+            if not held[0]:
+                spark.conf.set(TIDY, held[1])
+                del _TIDYING[key]
 
 
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:

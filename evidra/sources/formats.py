@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +16,23 @@ from evidra.functions import numbers as N
 from evidra.functions import text as T
 from evidra.plans import ordering
 
-#: What a column of a gold file may be called, after lower-casing and dropping all but letters and digits.
+# What a column of a gold file may be called, after lower-casing and dropping all but letters and digits.
 HEADERS = {
-    "record_id": "recordid id citationid refid", "title": "title ti articletitle primarytitle", "authors": "authors author au creator creators", "year": "year py publicationyear pubyear date publicationdate",
-    "journal": "journal journaltitle secondarytitle source publication jo", "abstract": "abstract ab summary", "doi": "doi digitalobjectidentifier", "pmid": "pmid pubmedid", "volume": "volume vol vl", "issue": "issue number is",
-    "pages": "pages page pagerange sp", "database": "database db sourcedatabase", "gold_group": "goldgroup duplicateid duplicategroup dedupgroup groupid publicationid clusterid matchid", "removal_label": "label goldlabel removallabel deduplabel classification",
-}
+    "record_id": ("recordid", "id", "citationid", "refid"),
+    "title": ("title", "ti", "articletitle", "primarytitle"),
+    "authors": ("authors", "author", "au", "creator", "creators"),
+    "year": ("year", "py", "publicationyear", "pubyear", "date", "publicationdate"),
+    "journal": ("journal", "journaltitle", "secondarytitle", "source", "publication", "jo"),
+    "abstract": ("abstract", "ab", "summary"),
+    "doi": ("doi", "digitalobjectidentifier"),
+    "pmid": ("pmid", "pubmedid"),
+    "volume": ("volume", "vol", "vl"),
+    "issue": ("issue", "number", "is"),
+    "pages": ("pages", "page", "pagerange", "sp"),
+    "database": ("database", "db", "sourcedatabase"),
+    "gold_group": ("goldgroup", "duplicateid", "duplicategroup", "dedupgroup", "groupid", "publicationid", "clusterid", "matchid"),
+    "removal_label": ("label", "goldlabel", "removallabel", "deduplabel", "classification"),
+}
 REMOVED, RETAINED = ("duplicate", "duplicates", "removed", "remove", "1", "true", "yes"), ("unique", "retained", "retain", "keep", "kept", "0", "false", "no")
 
 
@@ -105,18 +118,69 @@ def verify(found: DataFrame, lock: DataFrame) -> DataFrame:
     return both.withColumn("ok", F.coalesce(F.col("expected") == F.col("observed"), F.lit(False)))
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """A delimited file as text columns, with ``idx`` in the order of the file."""
+#: Encodings that are tried in turn, by Python's names and Java's; the last fits any bytes.
+ENCODINGS = (("utf-8-sig", "UTF-8"), ("cp1252", "windows-1252"), ("latin-1", "ISO-8859-1"))
+
+
+def decoded(content: bytes) -> str:
+    """A file's text by the first encoding that fits."""
+    for name, _ in ENCODINGS[:-1]:
+        try:
+            return content.decode(name)
+        except UnicodeDecodeError:
+            continue
+    return content.decode(ENCODINGS[-1][0])
+
+
+def encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Java's name of the first encoding that fits -> the files below ``path``; each file is looked at where it is read."""
+
+    def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for content in batch.column(1):
+                raw = content.as_py()
+                found.append(next(java for name, java in ENCODINGS if name == "latin-1" or _decodes(raw, name)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["path", "encoding"])
+
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(fits, "path string, encoding string").collect()  # a row a file
+    out: dict[str, list[str]] = {}
+    for r in sorted(rows):
+        out.setdefault(r["encoding"], []).append(r["path"])
+    return out
+
+
+def _decodes(raw: bytes, name: str) -> bool:
+    try:
+        raw.decode(name)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _at(name: str = "__at") -> Column:
+    """A sort key in the order of lines: file, place of the split, place in it."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n")).alias(name)
+
+
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> DataFrame:
+    """A delimited file, or several with one header, as text columns; ``idx`` follows the files and their lines.
+
+    Without an encoding, each file is read by the first that fits.
+    """
     sep = sep or ("\t" if path.lower().endswith((".tsv", ".txt")) else ",")
-    raw = spark.read.option("header", True).option("multiLine", True).option("sep", sep).option("quote", '"').option("escape", '"').option("encoding", encoding).csv(path)
-    rows = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
-    return ordering.numbered(rows.withColumn("__at", F.monotonically_increasing_id()), "__at").drop("__at")
+    parts = []
+    for name, files in ({encoding: [path]} if encoding else encodings(spark, path)).items():
+        raw = spark.read.option("header", True).option("multiLine", True).option("sep", sep).option("quote", '"').option("escape", '"').option("encoding", name).csv(files)
+        parts.append(raw.select(*[F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in raw.columns], _at()))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return ordering.numbered(rows, "__at").drop("__at")
 
 
 def _named(rows: DataFrame, given: dict[str, str]) -> dict[str, str | None]:
     short = lambda h: re.sub("[^a-z0-9]+", "", h.lower())
     at = {short(h): h for h in rows.columns if h != "idx"}
-    return {name: given.get(name) or next((at[a] for a in aliases.split() if a in at), None) for name, aliases in HEADERS.items()}
+    return {name: given.get(name) or next((at[a] for a in aliases if a in at), None) for name, aliases in HEADERS.items()}
 
 
 def gold_records(rows: DataFrame, **columns: str) -> DataFrame:
@@ -160,9 +224,15 @@ def screening_records(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_ris(spark: SparkSession, path: str) -> DataFrame:
-    """Records of RIS files: the text between two ER lines; lines without a tag continue the one before."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r\n?", "\n").alias("value"), F.input_file_name().alias("file"))
-    entries = raw.select("file", F.posexplode(F.split("value", r"(?m)^ER  -.*$")).alias("pos", "body")).where(F.col("body").rlike(r"(?m)^[A-Z0-9]{2}  -"))
+    """Records of RIS files: the text between two ER lines; lines without a tag continue the one before.
+
+    Files are split at ER lines, so that a large one is read by many tasks;
+    ``pos`` rises with a record's place in its file.
+    """
+    raw = spark.read.option("lineSep", "\nER  -").text(path).select(F.regexp_replace("value", "\r\n?", "\n").alias("value"), _at())
+    # what is left of an ER line goes; files with other line ends are split here
+    split = raw.select("__at", F.posexplode(F.split(F.regexp_replace("value", r"^(?!\ufeff?[A-Z0-9]{2}  -)[^\n]*\n", ""), r"(?m)^ER  -.*$")).alias("k", "body"))
+    entries = split.select(F.col("__at.file").alias("file"), F.struct("__at.start", "__at.n", "k").alias("pos"), F.regexp_replace("body", "^\ufeff", "").alias("body")).where(F.col("body").rlike(r"(?m)^[A-Z0-9]{2}  -"))
     joined = F.regexp_replace("body", r"\n(?![A-Z0-9]{2}  -)[ \t]*", " ")
     all_of = lambda t: F.filter(F.transform(F.regexp_extract_all(joined, F.lit(rf"(?m)^(?:{t})  -[ ]?(.*)$"), F.lit(1)), lambda a: F.trim(a)), lambda v: v != "")
     first = lambda *ts: F.coalesce(*[F.get(all_of(t), F.lit(0)) for t in ts])
@@ -212,9 +282,10 @@ LEDGER = "event_id string, record_id string, stage string, decision string, revi
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Events of a JSON-lines ledger; seq follows the file, as only that is the order of appending."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("seq", "line")).where("trim(line) <> ''")
-    return lines.select(F.col("seq").cast("long").alias("seq"), F.from_json("line", LEDGER).alias("e")).select("seq", "e.*").withColumn("adjudication", F.coalesce("adjudication", F.lit(False)))
+    """Events of a JSON-lines ledger in one file or several; seq follows the files by name and their lines, without gaps."""
+    lines = spark.read.text(path).select(_at(), "value").where("trim(value) <> ''")
+    events = lines.select("__at", F.from_json("value", LEDGER).alias("e")).select("__at", "e.*")
+    return ordering.numbered(events.withColumn("adjudication", F.coalesce("adjudication", F.lit(False))), "__at", name="seq").drop("__at")
 
 
 def ledger_lines(events: DataFrame) -> DataFrame:
@@ -223,16 +294,6 @@ def ledger_lines(events: DataFrame) -> DataFrame:
     return events.select("seq", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("line"))
 
 
-def decoded(content: bytes) -> str:
-    """A file's text by the first encoding that fits: UTF-8, then cp1252, then latin-1."""
-    for encoding in ("utf-8-sig", "cp1252"):
-        try:
-            return content.decode(encoding)
-        except UnicodeDecodeError:
-            continue
-    return content.decode("latin-1")
-
-
 def bundle(spark: SparkSession, folder: str, tables: dict[str, DataFrame], facts: dict | None = None) -> dict:
     """Write tables as CSV below a folder and return the manifest of what was written."""
     for name, rows in tables.items():

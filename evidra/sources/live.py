@@ -7,23 +7,27 @@ search, and ``payloads`` makes records of them again without a network.  A
 service that fails gives one row with its error and leaves the others alone.
 
 ``fetch`` is what asks a service; tests and other clients hand in their own.
+``Cached`` and ``Archived`` wrap it.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import itertools
 import json
 import random
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from evidra.plans import dialects
 from evidra.plans import language as L
@@ -90,7 +94,7 @@ def fetch(request: Request, timeout: float = 30.0) -> Answer:
 
 
 def asked(request: Request, retry: Retry, get: Callable[[Request], Answer], sleep: Callable[[float], None] = time.sleep) -> tuple[bytes, int]:
-    """(content, attempts); raises after the last attempt, or at once if the service refuses."""
+    """(content, attempts); raises after the last attempt, or at once at a status that is not worth another."""
     last = ""
     for attempt in range(1, retry.attempts + 1):
         after = None
@@ -99,6 +103,8 @@ def asked(request: Request, retry: Retry, get: Callable[[Request], Answer], slee
             if answer.status < 400:
                 return answer.content, attempt
             last, after = f"status {answer.status}", answer.retry_after
+            if answer.status not in retry.statuses:
+                raise SourceError(f"request refused at attempt {attempt}: {last}")
         except OSError as e:
             last = f"{type(e).__name__}: {e}"
         if attempt < retry.attempts:
@@ -106,6 +112,77 @@ def asked(request: Request, retry: Retry, get: Callable[[Request], Answer], slee
     raise SourceError(f"request failed after {retry.attempts} attempts: {last}")
 
 
+class _Files:
+    """Small files below a folder that driver and executors reach by the same address; a file appears whole or not at all."""
+
+    def __init__(self, folder: str):
+        self.folder = folder if "://" in folder else "file://" + folder
+
+    def _open(self):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(self.folder)
+        system.create_dir(root, recursive=True)
+        return system, root, fs.FileType
+
+    def get(self, name: str) -> bytes | None:
+        system, root, kinds = self._open()
+        if system.get_file_info(f"{root}/{name}").type != kinds.File:
+            return None
+        with system.open_input_stream(f"{root}/{name}", compression=None) as f:
+            return f.read()
+
+    def put(self, name: str, content: bytes) -> None:
+        system, root, _ = self._open()
+        own = f"{root}/.{name}.{uuid.uuid4().hex}"
+        with system.open_output_stream(own, compression=None) as f:
+            f.write(content)
+        system.move(own, f"{root}/{name}")
+
+
+def request_key(request: Request) -> str:
+    """A request's name: its method, address, parameters and body, without secrets."""
+    method = "GET" if request.body is None else "POST"
+    named = [method, request.url, sorted(redacted(request.parameters).items()), redacted(request.body) if request.body is not None else None]
+    return hashlib.sha256(json.dumps(named, sort_keys=True, ensure_ascii=False, default=str).encode()).hexdigest()
+
+
+@dataclass(frozen=True)
+class Cached:
+    """``get`` that asks for nothing twice: good answers are kept below a shared folder, by the request's key."""
+
+    get: Callable[[Request], Answer]
+    folder: str
+
+    def __call__(self, request: Request) -> Answer:
+        files, name = _Files(self.folder), request_key(request) + ".gz"
+        held = files.get(name)
+        if held is not None:
+            return Answer(200, gzip.decompress(held))
+        answer = self.get(request)
+        if answer.status < 400:
+            files.put(name, gzip.compress(answer.content, mtime=0))
+        return answer
+
+
+@dataclass(frozen=True)
+class Archived:
+    """``get`` that keeps every good body under its own hash, and beside it what was asked, without secrets."""
+
+    get: Callable[[Request], Answer]
+    folder: str
+
+    def __call__(self, request: Request) -> Answer:
+        answer = self.get(request)
+        if answer.status < 400:
+            files, digest = _Files(self.folder), hashlib.sha256(answer.content).hexdigest()
+            if files.get(digest + ".gz") is None:
+                about = {"sha256": digest, "bytes": len(answer.content), "url": request.url, "parameters": redacted(request.parameters), "body": redacted(request.body) if request.body is not None else None}
+                files.put(digest + ".json", json.dumps(about, sort_keys=True, ensure_ascii=False, default=str).encode())
+                files.put(digest + ".gz", gzip.compress(answer.content, mtime=0))
+        return answer
+
+
 def _at(body: dict, *keys: str):
     for k in keys:
         body = body.get(k) if isinstance(body, dict) else None
@@ -261,7 +338,8 @@ def live_source(get: Callable[[Request], Answer] = fetch, retry: Retry = Retry()
 
     Options: ``sources`` (comma-separated), ``query``, ``year_from``,
     ``year_to``, ``limit`` (records a source; empty: all), ``page_size``, and
-    ``<source>.<option>`` for a source's own, keys for example.
+    ``<source>.<option>`` for a source's own, keys for example.  As a stream it
+    takes one source, ``pages_a_batch`` pages a batch, and resumes at its offset.
     """
 
     class Reader(DataSourceReader):
@@ -278,6 +356,34 @@ def live_source(get: Callable[[Request], Answer] = fetch, retry: Retry = Retry()
             own = {k.split(".", 1)[1]: v for k, v in o.items() if k.startswith(partition.source + ".")}
             yield from responses(partition.source, search, number("limit") if "limit" in o else 1000, number("page_size"), own, get, retry)
 
+    class Pages(SimpleDataSourceStreamReader):
+        """One service's pages as a stream; the offset is the number of pages taken.
+
+        Pages before the offset are walked through again, as each names the
+        next; with a cache they cost no request.
+        """
+
+        def __init__(self, options: dict):
+            self.options = options
+
+        def initialOffset(self):
+            return {"page": 0}
+
+        def _rows(self, start: int, end: int) -> list[tuple]:
+            (source,) = (R.source_name(s) for s in self.options["sources"].split(","))
+            rows = [r for r in itertools.islice(Reader(self.options).read(_One(source)), end) if r[1] > start]
+            failed = [r[-1] for r in rows if r[-1] is not None]
+            if failed:
+                raise SourceError(failed[0])
+            return rows
+
+        def read(self, start):
+            rows = self._rows(start["page"], start["page"] + int(self.options.get("pages_a_batch") or 10))
+            return iter(rows), {"page": start["page"] + len(rows)}
+
+        def readBetweenOffsets(self, start, end):
+            return iter(self._rows(start["page"], end["page"]))
+
     class Live(DataSource):
         @classmethod
         def name(cls):
@@ -289,6 +395,9 @@ def live_source(get: Callable[[Request], Answer] = fetch, retry: Retry = Retry()
         def reader(self, schema):
             return Reader({k.lower(): v for k, v in self.options.items()})
 
+        def simpleStreamReader(self, schema):
+            return Pages({k.lower(): v for k, v in self.options.items()})
+
     return Live
 
 
