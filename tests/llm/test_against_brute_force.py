@@ -12,7 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from evidra.llm import editdist, op1_packing, op3_minhash, op4_mixing, op5_topk, op6_html, op7_line_dedup, op9_sharding, oracles, queries
+from evidra.llm import editdist, op1_packing, op2_quality, op3_minhash, op4_mixing, op5_topk, op6_html, op7_line_dedup, op9_sharding, oracles, queries
 
 TABLES = "documents embeddings pages labels".split()
 
@@ -115,6 +115,58 @@ def test_quality(spark, sf):
     assert sum(g > b for g in good for b in bad) / (len(good) * len(bad)) > 0.98
 
 
+def test_fourier_features_approximate_a_gaussian_kernel():
+    draw = np.random.default_rng(3)
+    width, features = len(op2_quality.NAMES), 20_000
+    weights, shift = draw.standard_normal((width, features)) / np.sqrt(2 * width), draw.uniform(0, 2 * np.pi, features)
+    z = draw.standard_normal((12, width))
+    maps = op2_quality.fourier(z, weights, shift)[:, 1:] / op2_quality.SCALE
+    kernel = np.exp(-((z[:, None] - z[None]) ** 2).sum(2) / (4 * width))
+    assert np.abs(2 * maps @ maps.T / features - kernel).max() < 0.05
+
+
+def test_the_fit_against_plain_equations(spark, sf):
+    """Whole-table ridge regression in one array, with penalties tried on halves, against the sums of partitions."""
+    where = sf.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
+    model = op2_quality.fit(op2_quality.described(docs.repartition(7)), labels)
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    rest = lambda i: zlib.crc32(str(i).encode()) % 3
+    rows = [(op2_quality.statistics(r.text), quality[r.doc_id], rest(r.doc_id)) for r in docs.collect() if quality.get(r.doc_id) in (0, 1) and rest(r.doc_id) != 1]
+    x, y, half = (np.array(c, float) for c in zip(*rows))
+    assert np.allclose(model.mean, x.mean(0), atol=1e-5) and np.allclose(model.spread[x.std(0) > 1e-5], x.std(0)[x.std(0) > 1e-5], atol=1e-5)
+    z = op2_quality.fourier((x - model.mean) / model.spread, model.weights, model.shift) / op2_quality.SCALE
+
+    def solved(rows, penalty):
+        ridge = np.diag([1e-12, *[penalty] * (z.shape[1] - 1)])
+        return np.linalg.solve(z[rows].T @ z[rows] / rows.sum() + ridge, z[rows].T @ y[rows] / rows.sum())
+
+    halves = [half == 0, half == 2]
+    loss = {p: sum(((z[b] @ solved(a, p) - y[b]) ** 2).sum() for a, b in (halves, halves[::-1])) for p in op2_quality.PENALTIES}
+    best = min(loss, key=loss.get)
+    assert np.allclose(z @ model.beta, z @ solved(half >= 0, best), atol=1e-6)
+    crossed = np.where(half == 0, z @ solved(halves[1], best), z @ solved(halves[0], best))
+    bins = np.floor((crossed.clip(-0.5, 1.5) + 0.5) / 2 * op2_quality.BINS)
+    at = np.unique(bins)
+    knots, levels = op2_quality.isotonic((at + 0.5) / op2_quality.BINS * 2 - 0.5, np.array([y[bins == b].sum() for b in at]), np.array([(bins == b).sum() for b in at], float))
+    assert np.allclose(model.curve[0], knots) and np.allclose(model.curve[1], levels)
+
+
+def test_isotonic_curve_against_the_minimax_formula():
+    draw = np.random.default_rng(8)
+    for _ in range(30):
+        n = draw.integers(1, 6, 25).astype(float)
+        k = np.array([draw.integers(0, c + 1) for c in n], float)
+        mean = lambda i, j: k[i : j + 1].sum() / n[i : j + 1].sum()  # noqa: E731, B023
+        want = [max(min(mean(i, j) for j in range(m, 25)) for i in range(m + 1)) for m in range(25)]
+        knots, levels = op2_quality.isotonic(np.arange(25.0), k, n)
+        # blocks of equal means, one knot each
+        blocks = [0, *[m for m in range(1, 25) if abs(want[m] - want[m - 1]) > 1e-12], 25]
+        assert len(knots) == len(blocks) - 1
+        for a, b, level in zip(blocks, blocks[1:], levels):
+            assert abs(level - (k[a:b].sum() + 0.5) / (n[a:b].sum() + 1)) < 1e-12
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_mixing(spark, seed):
     """Targets by sharing the excess out until nobody is above the cap; documents near them."""

@@ -70,6 +70,49 @@ def test_documents(spark, name):
     if name in ("op2", "op3", "op4", "op9", "op10"):
         assert len(got) == len(ROWS)
     assert BY_DOCUMENT[name](spark, documents(spark, [])).collect() == []
+    CONTENTS.get(name, lambda rows: None)(got)
+
+
+def _packed(rows):
+    assert sorted((r.doc_id, r.length) for r in rows if r.doc_id in (1, 2)) == [(1, 1), (2, 1)] and sum(r.doc_id is None for r in rows) == 2
+    assert sum(r.length for r in rows if r.doc_id == 6) == sum(r.length for r in rows if r.doc_id == 7)
+
+
+def _scored(rows):
+    empty = {r.score for r in rows if r.doc_id in (1, 2, 3)}
+    assert len(empty) == 1 and len({r.score for r in rows if r.doc_id == 4}) == 1 and all(0 <= r.score <= 1 for r in rows)
+
+
+def _grouped(rows):
+    of = {r.doc_id: r for r in rows}
+    assert [of[i].n_shingles for i in (1, 2, 3)] == [0, 0, 0] and of[7].component_id == of[8].component_id == 6 and of[5].component_id == 4
+    assert sorted(r.kept for r in rows if r.doc_id == 4) == [False, True] and all(r.component_id is None for r in rows if r.doc_id is None)
+
+
+def _mixed(rows):
+    assert all(r.size == r.taken == 0 for r in rows if r.doc_id in (1, 2, 3)) and len({r.copies for r in rows if r.doc_id == 4}) == 1
+    assert {r.source_size for r in rows if r.source is None} == {r.size for r in rows if r.doc_id == 8}
+
+
+def _placed(rows):
+    assert len({r.shard for r in rows if r.doc_id is None}) == 1 and len({r.shard for r in rows if r.doc_id == 4}) == 1 and all(r.shard for r in rows)
+
+
+def _judged(rows):
+    of = {r.doc_id: r for r in rows}
+    assert all(of[i].base_failed and not of[i].kept for i in (1, 2, 3, 9)) and of[6].kept and of[8].kept and of[10].base_failed
+
+
+def _kept_rows(rows):
+    assert {r.doc_id for r in rows} == {6, 7, 8} and all(r.TEXT2 == "x" for r in rows)
+
+
+def _lines_gone(rows):
+    texts = {r.doc_id: r.text for r in rows}
+    assert texts[1] is None and texts[2] == "" and texts[3] == " \t\n " and sum(r.doc_id == 4 for r in rows) == 1 and 7 not in texts
+
+
+CONTENTS = {"op1": _packed, "op2": _scored, "op3": _grouped, "op4": _mixed, "op7": _lines_gone, "op9": _placed, "op10": _judged, "op10_filter": _kept_rows}
 
 
 def _lines(repeated: int, of: int = 20) -> str:
@@ -155,7 +198,8 @@ def test_pipeline_stages(spark):
         if i < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == docs.columns, name
         docs = out
-    assert docs.count() >= 0
+    rows = docs.collect()
+    assert rows and {r.doc_id for r in rows} <= {6, 8} and all(r.offset + r.length <= 2048 for r in rows)
     empty = documents(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, "")
