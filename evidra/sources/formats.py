@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from evidra.functions import numbers as N
 from evidra.functions import text as T
 from evidra.plans import ordering
+from evidra.plans.scratch import scratch_path
 
 # What a column of a gold file may be called, after lower-casing and dropping all but letters and digits.
 HEADERS = {
@@ -118,44 +119,45 @@ def verify(found: DataFrame, lock: DataFrame) -> DataFrame:
     return both.withColumn("ok", F.coalesce(F.col("expected") == F.col("observed"), F.lit(False)))
 
 
-#: Encodings that are tried in turn, by Python's names and Java's; the last fits any bytes.
-ENCODINGS = (("utf-8-sig", "UTF-8"), ("cp1252", "windows-1252"), ("latin-1", "ISO-8859-1"))
+#: Encodings that are tried in turn; the last fits any bytes.
+ENCODINGS = ("utf-8-sig", "cp1252", "latin-1")
 
 
-def decoded(content: bytes) -> str:
-    """A file's text by the first encoding that fits."""
-    for name, _ in ENCODINGS[:-1]:
+def _encoding(content: bytes) -> str:
+    for name in ENCODINGS[:-1]:
         try:
-            return content.decode(name)
+            content.decode(name)
         except UnicodeDecodeError:
             continue
-    return content.decode(ENCODINGS[-1][0])
+        return name
+    return ENCODINGS[-1]
 
 
-def encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Java's name of the first encoding that fits -> the files below ``path``; each file is looked at where it is read."""
+def decoded(content: bytes) -> str:
+    """A file's text by the first encoding that fits."""
+    return content.decode(_encoding(content))
 
-    def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for content in batch.column(1):
-                raw = content.as_py()
-                found.append(next(java for name, java in ENCODINGS if name == "latin-1" or _decodes(raw, name)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["path", "encoding"])
-
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(fits, "path string, encoding string").collect()  # a row a file
-    out: dict[str, list[str]] = {}
-    for r in sorted(rows):
-        out.setdefault(r["encoding"], []).append(r["path"])
-    return out
 
+def in_utf8(spark: SparkSession, path: str) -> list[list[str]]:
+    """Addresses at which the files below ``path`` can be read as UTF-8: their own, and apart for those in other encodings a copy's."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_encoding(c.as_py()) == ENCODINGS[0] for c in batch.column(1)], pa.bool_())], ["path", "plain"])
 
-def _decodes(raw: bytes, name: str) -> bool:
-    try:
-        raw.decode(name)
-    except UnicodeDecodeError:
-        return False
-    return True
+    def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([decoded(c.as_py()) for c in batch.column(1)], pa.string())], ["value"])
+
+    found = files.mapInArrow(look, "path string, plain boolean").collect()  # a row a file
+    own, other = sorted(r["path"] for r in found if r["plain"]), sorted(r["path"] for r in found if not r["plain"])
+    out = [own] if own else []
+    if other:
+        copies = scratch_path(spark, "utf8")
+        files.where(F.col("path").isin(other)).sort("path").mapInArrow(text, "value string").write.option("maxRecordsPerFile", 1).text(copies)
+        out.append([copies])
+    return out
 
 
 def _at(name: str = "__at") -> Column:
@@ -170,8 +172,8 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
     """
     sep = sep or ("\t" if path.lower().endswith((".tsv", ".txt")) else ",")
     parts = []
-    for name, files in ({encoding: [path]} if encoding else encodings(spark, path)).items():
-        raw = spark.read.option("header", True).option("multiLine", True).option("sep", sep).option("quote", '"').option("escape", '"').option("encoding", name).csv(files)
+    for files in [[path]] if encoding else in_utf8(spark, path):
+        raw = spark.read.option("header", True).option("multiLine", True).option("sep", sep).option("quote", '"').option("escape", '"').option("encoding", encoding or "UTF-8").csv(files)
         parts.append(raw.select(*[F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in raw.columns], _at()))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return ordering.numbered(rows, "__at").drop("__at")

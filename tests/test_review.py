@@ -148,3 +148,30 @@ def test_the_whole_scorer(spark, sf, name):
     if name == "dedup_score_full":
         run = lambda spark, sf: catalogue.QUERIES[name](spark, sf).select("left_index", "right_index", F.round("probability", 9).alias("probability"))
     compared(spark, sf, run, sql, lend)
+
+
+def test_ledgers_in_several_files_are_numbered_as_one(spark, tmp_path):
+    for name, ids in (("a.jsonl", (1, 2)), ("b.jsonl", (3, 4, 5))):
+        (tmp_path / name).write_text("".join(f'{{"event_id": "{i}", "record_id": "r{i}"}}\n\n' for i in ids))
+    got = formats.read_ledger(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(r.seq, r.event_id) for r in got] == [(i - 1, str(i)) for i in range(1, 6)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_ris_with_other_line_ends_in_small_splits(spark, tmp_path, end):
+    one = "TY  - JOUR{e}TI  - Title {i}{e}AU  - A{e}ER  - {e}{e}"
+    (tmp_path / "a.ris").write_bytes(b"\xef\xbb\xbf" + "".join(one.format(e=end, i=i) for i in range(300)).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        got = formats.read_ris(spark, str(tmp_path / "a.ris")).orderBy("pos").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.title for r in got] == [f"Title {i}" for i in range(300)]
+
+
+def test_files_in_other_encodings(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("title,author\nÜber Schlaf,Müller\n".encode("cp1252"))
+    (tmp_path / "b.csv").write_bytes("title,author\nÉtude,Zoë\n".encode("utf-8-sig"))
+    got = formats.read_delimited(spark, str(tmp_path)).orderBy("idx").collect()
+    assert {(r.title, r.author) for r in got} == {("Über Schlaf", "Müller"), ("Étude", "Zoë")}
+    assert formats.decoded("é".encode("cp1252")) == "é" and formats.decoded("é".encode()) == "é" and formats.decoded(b"\x81") == "\x81"

@@ -148,3 +148,53 @@ def test_files(tmp_path):
     assert [x["fetched"] for x in files.download(found * 2, str(tmp_path), get=get)] == [True, False]
     with pytest.raises(ValueError):
         files.download([files.Remote("b.csv", "A", git_blob="0" * 40)], str(tmp_path), get=get)
+
+
+def test_refusals_are_not_asked_again():
+    asked = []
+
+    def get(request):
+        asked.append(request)
+        return live.Answer(401, b"")
+
+    with pytest.raises(live.SourceError, match="refused at attempt 1"):
+        live.asked(live.Request("u"), live.Retry(4, 0.0, 0.0), get, lambda s: None)
+    assert len(asked) == 1
+
+
+def test_cache_and_archive(tmp_path):
+    asked = []
+
+    def get(request):
+        asked.append(request.parameters)
+        return live.Answer(200, b"body of " + request.url.encode()) if "bad" not in request.url else live.Answer(404, b"")
+
+    cached, kept = live.Cached(get, str(tmp_path / "cache")), live.Archived(get, f"file://{tmp_path}/archive")
+    for key in ("k1", "k2"):  # a secret is no part of a request's name
+        assert cached(live.Request("u", {"q": 1, "api_key": key})).content == b"body of u"
+    assert cached(live.Request("u", {"q": 2})).content == b"body of u" and len(asked) == 2
+    assert cached(live.Request("bad")).status == 404 and cached(live.Request("bad")).status == 404 and len(asked) == 4
+    for _ in range(2):
+        kept(live.Request("v", {"token": "secret", "q": "x"}))
+    digest = hashlib.sha256(b"body of v").hexdigest()
+    assert {f.name for f in (tmp_path / "archive").iterdir()} == {digest + ".gz", digest + ".json"}
+    about = json.loads((tmp_path / "archive" / (digest + ".json")).read_text())
+    assert about["parameters"] == {"token": live.SECRET, "q": "x"} and about["bytes"] == 9
+
+
+def test_a_live_search_resumes_at_its_page(spark, tmp_path):
+    """Two runs of a stream over one service: the second takes up where the first stopped, from the cache."""
+    get = live.Cached(service, str(tmp_path / "cache"))
+    spark.dataSource.register(live.live_source(get, live.Retry(1, 0.0, 0.0), "evidra_pages"))
+    out = str(tmp_path / "out")
+    rows = spark.readStream.format("evidra_pages").options(sources="openalex", query="sleep", page_size="2", pages_a_batch="1").load()
+    for pages in (1, 3):
+        q = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "offsets")).start()
+        for _ in range(600):
+            found = spark.read.schema(rows.schema).parquet(out).count() if (tmp_path / "out" / "_spark_metadata").exists() else 0
+            if found >= pages:
+                break
+            q.awaitTermination(1)
+        q.stop()
+    got = spark.read.parquet(out).orderBy("page").collect()
+    assert [(r.page, r.first_rank) for r in got] == [(1, 1), (2, 3), (3, 5)] and all(r.error is None for r in got)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.__main__ import _main, _parser
-from evidra.operators import publication, screening, study, validation
+from evidra.operators import metrics, publication, screening, study, validation
 from evidra.plans import reports
 from evidra.sources import synthetic
 from evidra.streaming import ledger
@@ -152,3 +152,29 @@ def test_command_line(spark, plan, tmp_path, capsys):
     one = "<record><rec-number>{0}</rec-number><titles><title><style>Sleep and work in nurses</style></title></titles><dates><year><style>2001</style></year></dates><electronic-resource-num><style>10.1/a</style></electronic-resource-num><caption><style>{1}</style></caption></record>"
     xml.write_text("<xml><records>" + one.format(1, "") + one.format(2, "duplicate") + "</records></xml>")
     assert run("validate-endnote", xml, tmp_path / "en") == 0 and '"tp":1' in capsys.readouterr().out
+
+
+def test_study_metrics_count_one_publication_as_one_study(spark):
+    rows = [(0.97, "SAME_STUDY", True), (0.2, "DUPLICATE_PUBLICATION", True), (0.7, "REVIEW", False), (0.1, "DIFFERENT_STUDY", True), (0.99, "SAME_STUDY", False)]
+    m = metrics.study_metrics(spark.createDataFrame(rows, "study_probability double, decision string, same_study boolean")).first()
+    assert (m.tp, m.tn, m.fp, m.fn, m.in_review) == (2, 1, 1, 1, 1) and m.false_link_rate == 0.5 and m.review_share == 0.2
+
+
+def test_statistical_report(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 8, 90, 1, 1), ("b", 0, 50, 0, 0)], "dataset string, tp long, tn long, fp long, fn long")
+    made = validation.write_report(spark, str(tmp_path / "r"), rows, replicates=50)
+    assert {f["path"].split("/r/")[1].split("/")[0] for f in made["files"]} == {"datasets", "aggregates", "table", "report_md"}
+    tables = validation.statistical_report(rows, 50)
+    assert {(r.over, r.metric) for r in tables["aggregates"].collect()} >= {("micro", "f1"), ("micro", "accuracy"), ("macro", "sensitivity")}
+    assert [r.sensitivity for r in tables["table"].orderBy("dataset").collect()][0].startswith("0.8889 (")
+    text = validation.report_text(tables)
+    assert "2 data sets, 150 records: 1 records removed" in text and "| sensitivity | 0.8889 |" in text
+
+
+def test_benchmark_bundle(spark, tmp_path):
+    made = validation.benchmark_bundle(spark, str(tmp_path / "b"), "run 1", {"scalability": spark.createDataFrame([(50, 0.1)], "size int, seconds double")}, ("a note",))
+    facts = json.loads(made["manifest"])["facts"]
+    assert facts["parts"] == ["scalability"] and facts["notes"] == ["a note"]
+    assert {f["path"].split("/b/")[1].split("/")[0] for f in made["files"]} == {"scalability", "scalability_jsonl"}
+    with pytest.raises(ValueError):
+        validation.benchmark_bundle(spark, str(tmp_path / "b"), "x", {"other": spark.range(1)})
