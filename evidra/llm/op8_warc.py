@@ -34,6 +34,8 @@ from .common import bloom_flag, materialize, pick, scratch_path
 LEAST = 100
 #: Three records a capture; keeps archives to some megabytes.
 RECORDS_A_FILE = 6000
+#: Shares of the pages of one payload, where they meet the page that has it first.
+SHARES = 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 NL = "\r\n"
@@ -51,7 +53,9 @@ def captures(pages: DataFrame, least: int = LEAST) -> DataFrame:
     flagged = bloom_flag(rows, "digest", groups.select("digest"), "hit")
     alone = flagged.where("NOT hit").select("page_id", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to"))
     revisits = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    shared = flagged.where("hit").join(groups, "digest", "left").select("page_id", "url", "payload", "digest", revisits.alias("refers_to"))
+    # a payload that many pages share is dealt out: its group's row is repeated once a share
+    dealt = groups.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    shared = flagged.where("hit").withColumn("share", F.pmod(F.xxhash64("page_id", "url"), F.lit(SHARES)).cast("int")).join(dealt, ["digest", "share"], "left").select("page_id", "url", "payload", "digest", revisits.alias("refers_to"))
     return alone.union(shared)
 
 
