@@ -10,6 +10,8 @@ blocks in ``Result.dropped_blocks``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,6 @@ def publication_keys(records: DataFrame) -> DataFrame:
     title = filled(T.norm_folded("title"))
     words = F.slice(F.array_sort(T.substantive_tokens("title")), 1, 4)
     sign = F.when(F.size(words) > 0, F.array_join(words, "|"))
-    volume, pages = (T.metadata_text("metadata", *k) for k in (("volume",), ("pages", "page", "page_range")))
     families = [
         _one("doi", blank("doi")),
         *[_one(c, F.lower(blank(c))) for c in "pmid wos_ut scopus_eid openalex_id".split()],
@@ -46,7 +47,7 @@ def publication_keys(records: DataFrame) -> DataFrame:
         _years("title_sig_year", sign, F.col("year")),
         F.when(F.col("year").isNull(), _one("title_sig", sign)),
         _years("author_year", T.lead_author_key("authors"), F.col("year")),
-        _one("jvp", filled(T.norm_folded("journal")), T.norm_folded(volume), T.norm_folded(pages)),
+        _one("jvp", filled(T.norm_folded("journal")), T.norm_metadata("volume"), T.norm_metadata("pages", "page", "page_range")),
     ]
     keys = F.flatten(F.filter(F.array(*families), lambda k: k.isNotNull()))
     return records.select("idx", F.explode(F.array_distinct(keys)).alias("block_key"))
@@ -97,7 +98,11 @@ def exhaustive_pairs(records: DataFrame) -> DataFrame:
     return a.join(b, F.col("left_index") < F.col("right_index"))
 
 
-def candidate_pairs(records: DataFrame, keys: DataFrame, exhaustive_limit: int, cap: int | None = CAP) -> tuple[DataFrame, bool]:
-    """(pairs, whether they are exhaustive); counts no further than the limit to decide."""
-    small = records.limit(exhaustive_limit + 1).count() <= exhaustive_limit
-    return (exhaustive_pairs(records), True) if small else (blocked_pairs(keys, cap), False)
+def candidate_pairs(records: DataFrame, keys: DataFrame | Callable[[DataFrame], DataFrame], exhaustive_limit: int, cap: int | None = CAP) -> tuple[DataFrame, bool]:
+    """(pairs, whether they are exhaustive); counts no further than the limit to decide.
+
+    keys: (idx, block_key), or what makes them of the records if they are needed.
+    """
+    if records.limit(exhaustive_limit + 1).count() <= exhaustive_limit:
+        return exhaustive_pairs(records), True
+    return blocked_pairs(keys(records) if callable(keys) else keys, cap), False

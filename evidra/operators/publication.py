@@ -6,6 +6,7 @@ import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -91,7 +92,7 @@ def similarity(a: Column, b: Column, characters: bool = True) -> Column:
 def prepared(records: DataFrame) -> DataFrame:
     """All that pairs compare, once a record."""
     kinds = F.concat_ws(" ", *[F.nullif(F.col("metadata")[k], F.lit("")) for k in ("type", "publication_type", "source_record_type", "publication_types")])
-    meta = lambda *k: T.norm_folded(T.metadata_text("metadata", *k))
+    meta = T.norm_metadata
     return records.select(
         "idx", F.nullif("doi", F.lit("")).alias("doi"), *[F.nullif(F.lower(F.trim(c)), F.lit("")).alias(c) for c in IDENTIFIERS], "year",
         T.norm_folded("title").alias("title"), T.hashed(T.substantive_tokens("title")).alias("words"), T.hashed(T.author_keys("authors")).alias("authors"), T.norm_folded("journal").alias("journal"),
@@ -290,23 +291,40 @@ def merged(records: DataFrame, clustered: DataFrame) -> DataFrame:
 
 @dataclass
 class Result:
-    records: DataFrame
-    links: DataFrame
+    """What deduplication found; tables that nobody asks for are not planned."""
+
+    source: DataFrame
     assessments: DataFrame
-    review_queue: DataFrame
     clusters: DataFrame
-    stats: DataFrame
-    #: blocks that made no pairs because of their size: block_key, members
-    dropped_blocks: DataFrame
+    exhaustive: bool
+    config: Config
+
+    @cached_property
+    def records(self) -> DataFrame:
+        return merged(self.source, self.clusters)
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return links(self.assessments, self.clusters)
+
+    @cached_property
+    def review_queue(self) -> DataFrame:
+        return self.assessments.where(F.col("decision") == IN_REVIEW)
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        of = lambda d: F.count_if(F.col("decision") == d)
+        counts = self.assessments.agg(F.count(F.lit(1)).alias("assessed_pairs"), of(AUTO_MERGE).alias("auto_merge_pairs"), of(IN_REVIEW).alias("review_pairs"))
+        sizes = self.clusters.agg(F.count(F.lit(1)).alias("input_records"), F.count_distinct("cluster_id").alias("output_records"))
+        return sizes.join(counts).select("input_records", F.col("assessed_pairs").alias("candidate_pairs"), "assessed_pairs", "auto_merge_pairs", "review_pairs", "output_records", F.lit(self.exhaustive).alias("used_exhaustive_pairing"))
+
+    @cached_property
+    def dropped_blocks(self) -> DataFrame:
+        """block_key, members of the blocks that made no pairs because of their size."""
+        return blocking.dropped_blocks(blocking.publication_keys(self.source), None if self.exhaustive else self.config.block_cap)
 
 
 def deduplicate(records: DataFrame, config: Config = Config()) -> Result:
-    keys = blocking.publication_keys(records)
-    pairs, exhaustive = blocking.candidate_pairs(records, keys, config.exhaustive_limit, config.block_cap)
+    pairs, exhaustive = blocking.candidate_pairs(records, blocking.publication_keys, config.exhaustive_limit, config.block_cap)
     edges = materialize(assess(features(paired(pairs, materialize(prepared(records), "prepared")), config), config), "edges")
-    clustered = materialize(clusters(records, edges), "clusters")
-    counts = edges.agg(F.count(F.lit(1)).alias("assessed_pairs"), F.count_if(F.col("decision") == AUTO_MERGE).alias("auto_merge_pairs"), F.count_if(F.col("decision") == IN_REVIEW).alias("review_pairs"))
-    sizes = clustered.agg(F.count(F.lit(1)).alias("input_records"), F.count_distinct("cluster_id").alias("output_records"))
-    stats = sizes.join(counts).select("input_records", F.col("assessed_pairs").alias("candidate_pairs"), "assessed_pairs", "auto_merge_pairs", "review_pairs", "output_records", F.lit(exhaustive).alias("used_exhaustive_pairing"))
-    dropped = blocking.dropped_blocks(keys, None if exhaustive else config.block_cap)
-    return Result(merged(records, clustered), links(edges, clustered), edges, edges.where(F.col("decision") == IN_REVIEW), clustered, stats, dropped)
+    return Result(records, edges, materialize(clusters(records, edges), "clusters"), exhaustive, config)
