@@ -51,7 +51,7 @@ MIN_CHARS = 32
 EXACT_CHARS = 1
 #: Keys shared by more lines than this are compared in blocks of so many lines, and of so many characters.
 FEW = 16
-BLOCK, BLOCK_CHARS = 1024, 4_000_000
+BLOCK, BLOCK_CHARS = 256, 4_000_000
 Edits = int | tuple[tuple[int, int], ...]
 _WHITE = " \t\n\x0b\x0c\r"
 
@@ -240,22 +240,21 @@ def line_keys(docs: DataFrame, edits: Edits, min_chars: int, once: Once) -> Data
 
 
 def keyed_lines(docs: DataFrame, edits: Edits, min_chars: int, only: Broadcast, once: Once) -> DataFrame:
-    """key, h1, h2 likewise, of the keys that ``only`` lets through."""
+    """key, h1, h2, chars likewise, of the keys that ``only`` lets through; chars: of the line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict = {}
-        rows = _Rows(pa.schema([_hashed("key")]), 100_000)
-        owners: list[int] = []  # h1, h2 of each line in turn, and how many keys it has
+        keys: list[int] = []
+        owners: list[int] = []  # h1, h2 of each line in turn, its characters and how many keys it has
+        sizes: list[int] = []
         counts: list[int] = []
 
         def held() -> pa.RecordBatch:
-            keys, ids = np.array(rows.columns[0], np.uint64), np.array(owners, np.uint64).view(np.int64).reshape(-1, 2)
-            keys, ids = keys & _KEY, np.repeat(ids, np.array(counts, np.int64), 0)
-            keep = _hold(only, keys)
-            rows.columns[0].clear()
-            owners.clear()
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(ids[keep, 0]), pa.array(ids[keep, 1])], ["key", "h1", "h2"])
+            found, ids, each = np.array(keys, np.uint64) & _KEY, np.array(owners, np.uint64).view(np.int64).reshape(-1, 2), np.array(counts, np.int64)
+            ids, chars, keep = np.repeat(ids, each, 0), np.repeat(np.array(sizes, np.int32), each), _hold(only, found)
+            for used in (keys, owners, sizes, counts):
+                used.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(ids[keep, 0]), pa.array(ids[keep, 1]), pa.array(chars[keep])], ["key", "h1", "h2", "chars"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -264,14 +263,15 @@ def keyed_lines(docs: DataFrame, edits: Edits, min_chars: int, only: Broadcast,
                     if not once.keyed(h1, doc_id, no):
                         continue
                     found = keys_of(line, edits, plans)
-                    rows.columns[0] += found
+                    keys += found
                     owners += (h1, h2)
+                    sizes.append(len(line))
                     counts.append(len(found))
-                if rows.full():
+                if len(keys) >= 100_000:
                     yield held()
         yield held()
 
-    return docs.mapInArrow(run, "key long, h1 long, h2 long")
+    return docs.mapInArrow(run, "key long, h1 long, h2 long, chars int")
 
 
 def _near(a: str, b: str, edits: Edits) -> bool:
@@ -322,8 +322,9 @@ def near_lines(docs: DataFrame, grouped: DataFrame, edits: Edits = EDITS, min_ch
     met = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
     held = keyed_lines(docs, edits, min_chars, filter_bits(met, "key"), once).join(met, "key", "left_semi")
     every = materialize(held.distinct(), "members")
-    sizes = every.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = materialize(every.join(sizes, "key"), "members")
+    sizes = every.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("chars").alias("all_chars")).where("m > 1")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("all_chars") / BLOCK_CHARS)).cast("int")
+    members = materialize(every.drop("chars").join(sizes.select("key", "m", blocks.alias("blocks")), "key"), "members")
     drop_scratch(met)
     drop_scratch(every)
     wanted = materialize(members.select("h1", "h2").distinct(), "wanted")
@@ -346,14 +347,13 @@ def near_lines(docs: DataFrame, grouped: DataFrame, edits: Edits = EDITS, min_ch
     gone = pairs.mapInArrow(verify, "h1 long, h2 long")
 
     many = members.where(F.col("m") > FEW).join(lines, ["h1", "h2"])
-    spread = many.groupBy("key").agg(F.sum(F.length("text")).alias("chars")).select("key", F.ceil(F.greatest(F.lit(1), F.col("chars") / BLOCK_CHARS)).cast("int").alias("by_chars"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK).cast("int"), F.col("by_chars"))
-    dealt = many.join(spread, "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int"))
+    dealt = many.withColumn("own", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int"))
     row = ["h1", "h2", "doc", "line", "text"]
     dealt = dealt.select("key", *row, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     sides = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1)
     dealt = dealt.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), sides.alias("side"), *row)
-    hot = dealt.groupBy("key", "i", "j").applyInPandas(_compare(edits), "h1 long, h2 long")
+    # dealt out anew: by its key alone, all blocks of a key would be one task's
+    hot = dealt.repartition("key", "i", "j").groupBy("key", "i", "j").applyInPandas(_compare(edits), "h1 long, h2 long")
     near = materialize(gone.union(hot).distinct(), "near")
     for used in (members, wanted, lines):
         drop_scratch(used)
