@@ -46,8 +46,8 @@ from .common import bloom_filter, by_row, drop_scratch, materialize, numbered, p
 WORDS = 5
 BANDS, ROWS = 40, 5
 UNIVERSE = 1 << 20
-#: Buckets with more members than this are compared in blocks of so many, and of so many characters.
-FEW, BLOCK, BLOCK_CHARS = 24, 512, 16_000_000
+#: Buckets with more members than this are compared in blocks of so many, and of so many shingles.
+FEW, BLOCK, BLOCK_SHINGLES = 24, 512, 2_000_000
 #: Partners of one document whose text they meet together.
 PARTNERS = 1000
 _MASK = (1 << 64) - 1
@@ -254,21 +254,22 @@ def links(sketched: DataFrame, docs: DataFrame, percent: int = 80, words: int =
     many = members.where(F.col("m") > FEW)
     texts = _texts(docs, many.select(F.col("cls").alias("doc_id")).distinct())
     full = many.join(sigs, "cls").join(texts.withColumnRenamed("doc_id", "cls"), "cls")
-    spread = full.groupBy("key").agg(F.sum(F.length("text")).alias("chars")).select("key", F.ceil(F.greatest(F.lit(1), F.col("chars") / BLOCK_CHARS)).cast("int").alias("by_chars"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK).cast("int"), F.col("by_chars"))
-    dealt = full.join(spread, "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = full.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = dealt.select("key", "cls", "n", "label", "sig", "bands", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     side = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1)
     dealt = dealt.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), side.alias("side"), "cls", "n", "label", "sig", "bands", "text")
-    hot = materialize(dealt.groupBy("key", "i", "j").applyInPandas(_block(percent, words), "a long, b long"), "hot")
+    # dealt out anew: by its key alone, all blocks of a key would be one task's
+    hot = materialize(dealt.repartition("key", "i", "j").groupBy("key", "i", "j").applyInPandas(_block(percent, words), "a long, b long"), "hot")
     return connected_components(found.union(linked).union(hot))
 
 
 def relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of buckets that still hold two components."""
-    fresh = members.drop("label", "m").join(labels.select(F.col("node").alias("cls"), F.col("component").alias("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    fresh = members.drop("label", "m", "blocks").join(labels.select(F.col("node").alias("cls"), F.col("component").alias("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     fresh = materialize(fresh.select("cls", "n", "key", "label"), "members")
-    mixed = fresh.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "m")
+    mixed = fresh.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles")).where("lo < hi")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    mixed = mixed.select("key", "m", blocks.alias("blocks"))
     return materialize(fresh.join(mixed, "key"), "members")
 
 
