@@ -57,7 +57,7 @@ class _Words(dict):
     """word -> 64-bit hash; forgets everything when it grows too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value

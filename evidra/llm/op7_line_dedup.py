@@ -320,7 +320,8 @@ def near_lines(docs: DataFrame, grouped: DataFrame, edits: Edits = EDITS, min_ch
     once = Once(grouped)
     keys = line_keys(docs, edits, min_chars, once)
     met = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
-    held = keyed_lines(docs, edits, min_chars, filter_bits(met, "key"), once).join(met, "key", "left_semi")
+    meeting = filter_bits(met, "key")
+    held = keyed_lines(docs, edits, min_chars, meeting, once).join(met, "key", "left_semi")
     every = materialize(held.distinct(), "members")
     sizes = every.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("chars").alias("all_chars")).where("m > 1")
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("all_chars") / BLOCK_CHARS)).cast("int")
@@ -328,7 +329,8 @@ def near_lines(docs: DataFrame, grouped: DataFrame, edits: Edits = EDITS, min_ch
     drop_scratch(met)
     drop_scratch(every)
     wanted = materialize(members.select("h1", "h2").distinct(), "wanted")
-    texts = line_texts(docs, min_chars, filter_bits(wanted, "h1"), once).groupBy("h1", "h2").agg(F.min(F.struct("doc", "line", "text")).alias("f"))
+    needed = filter_bits(wanted, "h1")
+    texts = line_texts(docs, min_chars, needed, once).groupBy("h1", "h2").agg(F.min(F.struct("doc", "line", "text")).alias("f"))
     lines = materialize(texts.join(wanted, ["h1", "h2"], "left_semi").select("h1", "h2", "f.doc", "f.line", "f.text"), "lines")
 
     few = members.where(F.col("m") <= FEW).select("key", "h1", "h2")
@@ -357,6 +359,8 @@ def near_lines(docs: DataFrame, grouped: DataFrame, edits: Edits = EDITS, min_ch
     near = materialize(gone.union(hot).distinct(), "near")
     for used in (members, wanted, lines):
         drop_scratch(used)
+    for bits in (once.again, once.firsts, once.alarms, meeting, needed):  # what they made is written by now
+        bits.unpersist()
     return near
 
 
