@@ -54,3 +54,14 @@ def test_leading_years_of_long_numbers(spark, tmp_path):
 @pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if n.endswith("_records") and n != "merge_records"])
 def test_records_of_documents_without_a_title(spark, tmp_path, name):
     same(spark, documents(spark, tmp_path, ["", ".x", "Alpha beta. c", " . c", " x y. c", "　. c", "word", "x y z. c"]), name)
+
+
+def test_decisive_features_decide_as_exact_ones(spark, sf):
+    from evidra.operators import publication
+    from evidra.plans import views
+
+    for least in (0.75, 0.985):
+        r, config = views.records(spark, sf).where("idx < 500"), publication.Config(exhaustive_limit=2)
+        rows = lambda d: {(e.left_index, e.right_index): (e.decision, e.probability) if e.probability >= least else None for e in publication.assess(d, config).collect()}
+        exact = rows(publication.features(publication.compared(r, config), config))
+        assert rows(publication.decisive(r, config, least)) == exact and any(exact.values()) and not all(exact.values())
