@@ -252,7 +252,9 @@ def read_endnote(spark: SparkSession, path: str) -> DataFrame:
         f"`rec-number` string, database string, caption {style}, contributors struct<authors:struct<author:array<{style}>>>, titles struct<title:{style},`secondary-title`:{style}>, periodical struct<`full-title`:{style}>, "
         f"pages {style}, volume {style}, number {style}, dates struct<year:{style}>, `accession-num` {style}, abstract {style}, `electronic-resource-num` {style}"
     )
-    raw = spark.read.format("xml").option("rowTag", "record").option("ignoreSurroundingSpaces", False).schema(schema).load(path)
+    # read by splits: up to each end of a record, then from the record's start
+    ended = spark.read.option("lineSep", "</record>").text(path).select(F.regexp_extract("value", r"(?s)<record(?=[\s>]).*", 0).alias("value")).where("value <> ''")
+    raw = ended.select(F.from_xml(F.concat("value", F.lit("</record>")), schema, {"ignoreSurroundingSpaces": "false"}).alias("r")).select("r.*")
     text = lambda c: _clean(F.concat_ws("", F.col(c + ".style")))
     caption = F.lower(F.coalesce(text("caption"), F.lit("")))
     known = F.when(caption == "duplicate", True).when(caption.isin("", "unique"), False)

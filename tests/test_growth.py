@@ -65,3 +65,27 @@ def test_decisive_features_decide_as_exact_ones(spark, sf):
         rows = lambda d: {(e.left_index, e.right_index): (e.decision, e.probability) if e.probability >= least else None for e in publication.assess(d, config).collect()}
         exact = rows(publication.features(publication.compared(r, config), config))
         assert rows(publication.decisive(r, config, least)) == exact and any(exact.values()) and not all(exact.values())
+
+
+@pytest.mark.parametrize("name", ["gold_file", "endnote_file"])
+def test_files_in_several_parts(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(interchange, "IN_FILE", 40)
+    written = []
+    monkeypatch.setattr(interchange, "scratch_path", lambda s, label, f=interchange.scratch_path: written.append(f(s, label)) or written[-1])
+    compared(spark, sf, QUERIES[name], ORACLES[name])
+    assert spark.read.text(written[0]).inputFiles()[1:]
+
+
+def test_components_of_edges_that_are_joined_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    from evidra.plans import components
+
+    monkeypatch.setattr(components, "HELD", 2)
+    batch = lambda *e: pa.RecordBatch.from_arrays([pa.array([x for x, _ in e], pa.int64()), pa.array([y for _, y in e], pa.int64())], ["a", "b"])
+    got = [list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)) for b in components._joined(iter([batch((3, 2), (2, 1)), batch((9, 3))]))]
+    assert got == [[(3, 1), (2, 1), (1, 1)], [(9, 3), (3, 3)]]
+
+
+def test_inverted_index_of_each_row(spark, tmp_path):
+    same(spark, documents(spark, tmp_path, ["a b a", "", " \n", "c  a\tc "]), "abstract_from_inverted_index")
