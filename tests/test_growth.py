@@ -89,3 +89,21 @@ def test_components_of_edges_that_are_joined_in_pieces(spark, monkeypatch):
 
 def test_inverted_index_of_each_row(spark, tmp_path):
     same(spark, documents(spark, tmp_path, ["a b a", "", " \n", "c  a\tc "]), "abstract_from_inverted_index")
+
+
+def test_pairs_of_blocks_in_several_parts(spark, monkeypatch):
+    """Blocks whose parts meet two by two, in a few pairs at once, give each pair once, smaller index first."""
+    from evidra.operators import blocking
+
+    monkeypatch.setattr(blocking, "PART", 3)
+    monkeypatch.setattr(blocking, "AT_ONCE", 5)
+    blocks = {f"b{k}": list(range(k, 40, k)) for k in (1, 2, 3, 7, 39)} | {"c": [5, 90], "d": [91]}
+    keys = spark.createDataFrame([(i, b) for b, members in blocks.items() for i in members], "idx long, block_key string")
+    for cap in (None, 12):
+        want = {(i, j) for m in blocks.values() if cap is None or len(m) <= cap for i in m for j in m if i < j}
+        got = [(r.left_index, r.right_index) for r in blocking.blocked_pairs(keys, cap).collect()]
+        assert len(got) == len(want) and set(got) == want
+    # of 39 members 13 parts meet: no place holds more than two of them
+    monkeypatch.setattr(blocking, "_meet", lambda make: lambda batches: (b.select(["key", "place", "idx"]) for b in batches))
+    rows = blocking.met(keys, None, None, blocking._indices, "key long, place long, idx long").groupBy("key", "place").count().collect()
+    assert max(r["count"] for r in rows) < 25 and len(rows) > 60
