@@ -107,3 +107,43 @@ def test_pairs_of_blocks_in_several_parts(spark, monkeypatch):
     monkeypatch.setattr(blocking, "_meet", lambda make: lambda batches: (b.select(["key", "place", "idx"]) for b in batches))
     rows = blocking.met(keys, None, None, blocking._indices, "key long, place long, idx long").groupBy("key", "place").count().collect()
     assert max(r["count"] for r in rows) < 25 and len(rows) > 60
+
+
+def test_matching_characters_of_many_pairs():
+    """As ``SequenceMatcher``, also where the right text is so long that frequent signs start no run."""
+    import random
+    from difflib import SequenceMatcher
+
+    from evidra.functions import matching
+
+    random.seed(3)
+    text = lambda signs, n: "".join(random.choices(signs, k=random.randint(0, n)))
+    pairs = [(text("ab c", n), text("abcdefghijklmnopqrstuvwxyz ", m)) for n in (12, 300) for m in (12, 60, 500) for _ in range(40)]
+    pairs += [(b[3:90] + a, b) for a, b in pairs] + [("a", None), (None, "b"), ("é b", "é c"), ("x" * 150, "x" * 170), ("ab" * 400, "ba" * 130)]
+    want = [None if None in p else SequenceMatcher(None, *p).ratio() for p in pairs]
+    got = matching.ratios([a for a, _ in pairs], [b for _, b in pairs])
+    assert [None if x != x else x for x in got.tolist()] == want
+
+
+def test_features_made_where_members_meet(spark, sf, monkeypatch):
+    """Those of the expressions, with lists and identifiers that are null, empty or long."""
+    from pyspark.sql import functions as F
+
+    from evidra.operators import publication
+    from evidra.plans import views
+
+    monkeypatch.setattr(publication._Sets, "SHORT", 4)
+    i = F.col("idx")
+    r = views.records(spark, sf).where("idx < 150").withColumn("openalex_id", F.when(i % 4 == 0, F.concat(F.lit("W"), (i % 20).cast("string")))).withColumn("year", F.when(i % 9 != 0, F.col("year")))
+    r = r.withColumn("authors", F.when(i % 10 == 0, F.array().cast("array<string>")).otherwise(F.col("authors"))).withColumn("title", F.when(i % 17 == 0, "").otherwise(F.col("title")))
+    for characters in (False, True):
+        config = publication.Config(exhaustive_limit=2, characters=characters)
+        rows = lambda d: sorted(repr(x) for x in d.select("left_index", "right_index", "features", "same_title", "same_id").collect())
+        got, want = rows(publication.scored(r, config)), rows(publication.features(publication.compared(r, config), config))
+        assert got == want and got
+
+
+def test_entry_runs(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).columns == ["idx", "cluster_id", "representative_index", "cluster_size"]
